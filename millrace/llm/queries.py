@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .minhash import fingerprint_documents
 from .mixing import mix_sources
 from .packing import pack_documents
+from .secrets import scan_secrets
 from .sharding import shard_documents
 
 
@@ -15,6 +17,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(spark, documents(spark, sf_dir))
+
+
 def op6_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(spark, documents(spark, sf_dir))
 
@@ -27,8 +33,12 @@ def op9_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark, documents(spark, sf_dir))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(spark, documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_minimax_shards, op8_mix_sources, op9_pack_documents)}
+    return {f.__name__: f for f in (op4_minhash, op6_minimax_shards, op8_mix_sources, op9_pack_documents, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
