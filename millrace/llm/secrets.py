@@ -22,6 +22,8 @@ WORDS = ("password", "passwd", "secret", "token", "api")
 MIN_RUN = 16
 _RUN = np.zeros(256, dtype=bool)
 _RUN[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_="]] = True
+_LETTER = _RUN.copy()
+_LETTER[[*b"0123456789+/_="]] = False
 #: Length bands of the false-discovery control: from each length up to the next.
 BANDS = (16, 20, 24, 32, 48, 96)
 #: Scores are 20 * -log10(p), cut at BINS - 1: bin 0 is perfectly random.
@@ -98,20 +100,29 @@ def _runs(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[long], ends[long]
 
 
+def written(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What secrets must be told from: the letters of written text without what is between them, dealt into runs of every band's length in turn."""
+    letters = data[_LETTER[data]]
+    lengths = np.tile(BANDS, len(letters) // sum(BANDS))
+    ends = np.cumsum(lengths)
+    return letters, ends - lengths, ends
+
+
 def _bins(score: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(BANDS, length, "right") - 1, np.minimum(BINS - 1, (score * 20).astype(np.int64))
 
 
 def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts by band, bin and whether the run mixes letters and digits: one row each a task."""
+    """Counts by band and bin of written letters (mixed false) and of runs with letters and digits: one row each a task."""
     total = np.zeros((len(BANDS), BINS, 2), dtype=np.int64)
     for batch in batches:
         for _, _, off, data in slices(batch.column(0)):
             starts, ends = _runs(off, data)
-            if len(starts):
-                score, mixed = battery(data, starts, ends)
-                band, at = _bins(score, ends - starts)
-                np.add.at(total, (band, at, mixed.astype(np.int64)), 1)
+            for mixed, (bytes_, starts, ends) in enumerate((written(data), (data, *_runs(off, data)))):
+                if len(starts):
+                    score, both = battery(bytes_, starts, ends)
+                    band, at = _bins(score, ends - starts)
+                    np.add.at(total[:, :, mixed], (band[both | (mixed == 0)], at[both | (mixed == 0)]), 1)
     band, at, mixed = np.nonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(at), pa.array(mixed == 1), pa.array(total[band, at, mixed])], ["band", "bin", "mixed", "n"])
 
@@ -119,14 +130,13 @@ def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def discoveries(counts: np.ndarray, rate: float) -> list[int]:
     """The largest bin that counts as random in each band, -1 for none, from counts[band, bin, mixed].
 
-    Runs of letters alone are ordinary long words: the share of those, of the band's lengths or shorter ones,
-    that score at least as random is a run's p-value. Benjamini-Hochberg then holds in every band by itself, so
-    that the many short runs do not spend what long ones have earned. Runs shorter than the band are easier to
-    take for random, so pooling them errs to the safe side.
+    The share of written letters, in runs of the band's shortest length, that score at least as random is a
+    run's p-value: short runs can't be told from text, long ones can. Benjamini-Hochberg then holds in every band
+    by itself, so that the many short runs do not spend what long ones have earned.
     """
     out = []
     for band in range(counts.shape[0]):
-        null, seen = np.cumsum(counts[: band + 1, :, 0].sum(axis=0)), np.cumsum(counts[band, :, 1])
+        null, seen = np.cumsum(counts[band, :, 0]), np.cumsum(counts[band, :, 1])
         if not seen[-1]:
             out.append(-1)
             continue
