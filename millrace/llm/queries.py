@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .langid import identify_language
 from .minhash import fingerprint_documents
 from .mixing import mix_sources
 from .packing import pack_documents
@@ -17,6 +18,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(spark, documents(spark, sf_dir))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(spark, documents(spark, sf_dir))
 
@@ -38,7 +43,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_minhash, op6_minimax_shards, op8_mix_sources, op9_pack_documents, op10_secrets)}
+    return {f.__name__: f for f in (op3_language_id, op4_minhash, op6_minimax_shards, op8_mix_sources, op9_pack_documents, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
