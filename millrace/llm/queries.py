@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .langid import identify_language
 from .minhash import fingerprint_documents
 from .mixing import mix_sources
+from .ngram_join import jaccard_join
 from .packing import pack_documents
 from .secrets import scan_secrets
 from .sharding import shard_documents
@@ -30,6 +31,10 @@ def op6_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(spark, documents(spark, sf_dir))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(spark, documents(spark, sf_dir), n=3, percent=90)
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(spark, documents(spark, sf_dir)).drop("times")
 
@@ -43,7 +48,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op4_minhash, op6_minimax_shards, op8_mix_sources, op9_pack_documents, op10_secrets)}
+    return {f.__name__: f for f in (op3_language_id, op4_minhash, op6_minimax_shards, op7_ngram_join, op8_mix_sources, op9_pack_documents, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
