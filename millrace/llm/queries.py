@@ -11,6 +11,7 @@ from .minhash import fingerprint_documents
 from .mixing import mix_sources
 from .ngram_join import jaccard_join
 from .packing import pack_documents
+from .pii import find_personal_data, report
 from .secrets import scan_secrets
 from .sharding import shard_documents
 
@@ -27,6 +28,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(spark, documents(spark, sf_dir))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(find_personal_data(spark, documents(spark, sf_dir)))
+
+
 def op6_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(spark, documents(spark, sf_dir))
 
@@ -48,7 +53,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op4_minhash, op6_minimax_shards, op7_ngram_join, op8_mix_sources, op9_pack_documents, op10_secrets)}
+    return {f.__name__: f for f in (op3_language_id, op4_minhash, op5_personal_data, op6_minimax_shards, op7_ngram_join, op8_mix_sources, op9_pack_documents, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
