@@ -76,21 +76,25 @@ def ranked(df: DataFrame, keys: list[str], h: str, out: str = "rank", extra: Dat
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, root) for every id in edges (a, b): root is the smallest id that edges lead to.
 
-    Labels take the smallest label among neighbours and then jump to their label's label, so that chains shorten
-    by halves; every round is a written table. Nothing is gathered on the driver but the number of changes.
+    Each round maps every vertex to the smallest of its neighbours and itself and contracts the edges accordingly;
+    a component's smallest vertex never moves, and edges vanish within few rounds. Walking the maps back
+    gives the roots. Rounds are written tables; only whether edges are left comes to the driver.
     """
-    both = scratch.table(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).filter("a != b").distinct())
-    labels = scratch.table(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("root")))
-    while True:
-        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("root").alias("m"))
-        low = labels.join(near, labels.id == near.a, "left").select("id", "root", F.least("root", F.coalesce("m", "root")).alias("low"))
-        top = labels.select(F.col("id").alias("_id"), F.col("root").alias("jump"))
-        new = low.join(top, low.low == top._id, "left").select("id", F.col("root").alias("was"), F.least("low", F.coalesce("jump", "low")).alias("root"))
-        new = scratch.table(new)
-        changed = new.filter("was != root").limit(1).count()
-        scratch.drop(labels)
-        labels = new.select("id", "root")
-        labels.scratch_path = new.scratch_path
-        if not changed:
-            scratch.drop(both)
-            return labels
+    edges = scratch.table(edges.select("a", "b").filter("a != b").distinct())
+    maps: list[DataFrame] = []
+    while not edges.isEmpty():
+        ends = edges.select(F.col("a").alias("id"), F.col("b").alias("near")).union(edges.select("b", "a"))
+        step = scratch.table(ends.groupBy("id").agg(F.min("near").alias("near")).select("id", F.least("id", "near").alias("root")))
+        maps.append(step)
+        to_a, to_b = step.select(F.col("id").alias("a"), F.col("root").alias("ra")), step.select(F.col("id").alias("b"), F.col("root").alias("rb"))
+        moved = edges.join(to_a, "a").join(to_b, "b").filter("ra != rb")
+        left = scratch.table(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        scratch.drop(edges)
+        edges = left
+    if not maps:
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    found = maps.pop()
+    while maps:
+        later = found.select(F.col("id").alias("root"), F.col("root").alias("last"))
+        found = maps.pop().join(later, "root", "left").select("id", F.coalesce("last", "root").alias("root"))
+    return scratch.table(found)

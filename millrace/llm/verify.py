@@ -119,7 +119,8 @@ def link_components(spark: SparkSession, docs: DataFrame, keyed: DataFrame, cand
     first = keyed.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
     sizes = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     members = clusters.join(sizes, "root").join(first, clusters.id == first.node).select(F.col("rep").alias("doc_id"), "node", F.col("root").alias("cluster"), "blocks")
-    sets = docs.select("doc_id", "text").join(scratch.table(members), "doc_id").select("text", "node", "cluster", "blocks").mapInArrow(_wanted(n), "cluster long, node long, blocks int, hashes binary")
+    # few documents are members, but how few is not known beforehand: the same shuffled join at every size
+    sets = docs.select("doc_id", "text").join(scratch.table(members).hint("merge"), "doc_id").select("text", "node", "cluster", "blocks").mapInArrow(_wanted(n), "cluster long, node long, blocks int, hashes binary")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = sets.withColumn("side", own).withColumn("other", other).withColumns({"lo": F.least("side", "other"), "hi": F.greatest("side", "other")})
