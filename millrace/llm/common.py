@@ -37,6 +37,13 @@ class Scratch:
         back.scratch_path = path
         return back
 
+    def bucketed(self, df: DataFrame, n: int, key: str) -> DataFrame:
+        """Write df once, in n buckets by key, so that later reads are dealt by key without a shuffle."""
+        self.n += 1
+        name = f"millrace_{uuid.uuid4().hex}"
+        df.write.option("path", f"{self.root}/{self.n}").option("compression", "uncompressed").bucketBy(n, key).saveAsTable(name)
+        return self.spark.table(name)
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables of this scratch that no later step reads."""
         for t in tables:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .embed_dups import similar_vectors
 from .langid import identify_language
+from .lm_hpy import score_documents
 from .minhash import fingerprint_documents
 from .mixing import mix_sources
 from .ngram_join import jaccard_join
@@ -21,6 +22,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_hpy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(spark, documents(spark, sf_dir))
+
+
 def op2_similar_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -58,7 +63,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_similar_vectors, op3_language_id, op4_minhash, op5_personal_data, op6_minimax_shards, op7_ngram_join, op8_mix_sources, op9_pack_documents, op10_secrets)}
+    return {f.__name__: f for f in (op1_hpy_scores, op2_similar_vectors, op3_language_id, op4_minhash, op5_personal_data, op6_minimax_shards, op7_ngram_join, op8_mix_sources, op9_pack_documents, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
