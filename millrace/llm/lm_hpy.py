@@ -17,7 +17,7 @@ from .tokens import mix, slices, words
 #: Hashes that stand for the end of a text and for what precedes its first word.
 END, BEGIN = np.uint64(1), np.uint64(2)
 #: Tokens that a task holds before it sends them on.
-HELD = 3_000_000
+HELD = 800_000
 #: Largest count with an exact table of seatings; beyond it about d * t of t tables have a single guest.
 EXACT = 64
 
@@ -50,8 +50,8 @@ def _send(buckets: int) -> Callable:
         """One row for the documents (bucket -1) and one for each bucket of contexts: bigrams, and who has them."""
         yield -1 - block % buckets, block, pack(ids, np.bincount(doc, minlength=len(ids)), train.astype(np.uint8))
         to = (mix(u) % np.uint64(buckets)).astype(np.int64)
-        word, at = np.unique(np.concatenate([u, w]), return_inverse=True)
-        ui, wi = at[: len(u)], at[len(u) :]
+        word = np.unique(np.concatenate([np.unique(u), np.unique(w)]))
+        ui, wi = np.searchsorted(word, u), np.searchsorted(word, w)
         key = (to * len(word) + ui) * len(word) + wi if buckets * len(word) ** 2 < 1 << 62 else None
         order = np.argsort(key) if key is not None else np.lexsort((wi, ui, to))
         to, ui, wi, doc = to[order], ui[order], wi[order], doc[order]
@@ -73,6 +73,7 @@ def _send(buckets: int) -> Callable:
 
         def rows() -> pa.RecordBatch:
             ids, train, u, w, doc = (np.concatenate(x) for x in zip(*held))
+            held.clear()
             got = list(flush(first + blocks, ids, train, u, w, doc))
             return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.binary())], ["bucket", "block", "body"])
 
@@ -92,7 +93,7 @@ def _send(buckets: int) -> Callable:
                 tokens, docs = tokens + len(w), docs + hi - lo
                 if tokens >= HELD:
                     yield rows()
-                    held, tokens, docs, blocks = [], 0, 0, blocks + 1
+                    tokens, docs, blocks = 0, 0, blocks + 1
         if held:
             yield rows()
 
@@ -290,7 +291,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, rounds: int = 2, burn:
     so texts are read once.
     """
     scratch = Scratch(spark)
-    buckets = max(1, parts(spark) // 2)
+    buckets = parts(spark)
     train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
     sent = docs.select("doc_id", "text", train.alias("train")).mapInArrow(_send(buckets), "bucket int, block long, body binary")
     gathered = scratch.bucketed(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_gather, "bucket int, ones long, twos long, state binary, events array<binary>, blocks array<long>, words binary, counts binary"), buckets, "bucket")
