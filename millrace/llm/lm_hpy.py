@@ -17,7 +17,7 @@ from .tokens import mix, slices, words
 #: Hashes that stand for the end of a text and for what precedes its first word.
 END, BEGIN = np.uint64(1), np.uint64(2)
 #: Tokens that a task holds before it sends them on.
-HELD = 800_000
+HELD = 600_000
 #: Largest count with an exact table of seatings; beyond it about d * t of t tables have a single guest.
 EXACT = 64
 
@@ -254,7 +254,7 @@ def _sample(scale: dict, final: bool) -> Callable:
             step, many, doc = unpack(e.as_py())
             at = np.repeat(np.cumsum(step.astype(np.int64)), many)
             who, at_who = np.unique(doc, return_inverse=True)
-            rows.append({"bucket": bucket, "block": k, "words": b"", "body": pack(who, *(np.bincount(at_who, weights=x[at]) for x in (log_p, log_base)), small(np.bincount(at_who, weights=known[at]).astype(np.int64)))})
+            rows.append({"bucket": bucket, "block": k, "words": b"", "body": pack(small(who), np.bincount(at_who, weights=log_p[at]).astype(np.float32), np.bincount(at_who, weights=log_base[at]), small(np.bincount(at_who, weights=known[at]).astype(np.int64)))})
         return pa.Table.from_pylist(rows, schema=out_schema)
 
     return sample
@@ -291,7 +291,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, rounds: int = 2, burn:
     so texts are read once.
     """
     scratch = Scratch(spark)
-    buckets = parts(spark)
+    buckets = parts(spark) * 3 // 2
     train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
     sent = docs.select("doc_id", "text", train.alias("train")).mapInArrow(_send(buckets), "bucket int, block long, body binary")
     gathered = scratch.bucketed(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_gather, "bucket int, ones long, twos long, state binary, events array<binary>, blocks array<long>, words binary, counts binary"), buckets, "bucket")
@@ -304,6 +304,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, rounds: int = 2, burn:
         by_word = Window.partitionBy("word")
         summed = messages.select("bucket", "word", F.sum("count").over(by_word).alias("total"), F.sum("tables").over(by_word).alias("guests"), F.count(F.lit(1)).over(by_word).alias("copies"))
         summed = scratch.table(summed)
+        last = k == rounds - 1
         share = 1 / F.col("copies")
         tokens, kinds, guests, dishes = summed.agg(F.sum(F.col("total") * share), F.sum(F.when(F.col("total") > 0, share)), F.sum(F.col("guests") * share), F.sum(F.when(F.col("guests") > 0, share))).first()
         tokens, kinds, guests, dishes = (round(x or 0) for x in (tokens, kinds, guests, dishes))
@@ -314,8 +315,11 @@ def score_documents(spark: SparkSession, docs: DataFrame, rounds: int = 2, burn:
         # tables were seated by the weight that holds with one for each dish; the mass left to the base is that of all tables
         scale["opens"] = (scale["theta0"] + scale["d0"] * seats) / (kinds + 1)
         parents = summed.mapInArrow(_root(seated), "bucket int, word long, total long, guests long, copies long, seats long").select("bucket", "word", "total", "guests", "seats").repartition(buckets, "bucket")
-        run = gathered.groupBy("bucket").cogroup(parents.groupBy("bucket")).applyInArrow(_sample(dict(scale), k == rounds - 1), "bucket int, block long, words binary, body binary")
-        if k < rounds - 1:
+        # only the last round looks at who has which bigrams
+        state = gathered if last else gathered.filter("bucket >= 0").select("bucket", "state", "words")
+        run = state.groupBy("bucket").cogroup(parents.groupBy("bucket")).applyInArrow(_sample(dict(scale), last), "bucket int, block long, words binary, body binary")
+        if not last:
             told = scratch.table(run)
+            scratch.drop(summed)
             messages = told.select("bucket", "words", F.col("body").alias("counts")).mapInArrow(_messages, "bucket int, word long, count long, tables long")
     return run.groupBy("block").applyInArrow(_score(tokens), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")

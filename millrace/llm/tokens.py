@@ -15,7 +15,7 @@ _SEP[[0x20, 9, 10, 11, 12, 13]] = True
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: list[np.ndarray] = []
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
