@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -176,16 +178,19 @@ def _scan(limits: list[int]):
                     band, at = _bins(score, ends - starts)
                     hit = mixed & (at <= np.array(limits)[band])
                     rows = rows_of(off, starts)
+                    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte
                     for i in np.flatnonzero(hit):
-                        more.setdefault(int(rows[i]), []).append((int(starts[i] - off[rows[i]]), int(ends[i] - starts[i])))
+                        more.setdefault(int(rows[i]), []).append((int(points[starts[i]] - points[off[rows[i]]]), int(ends[i] - starts[i])))
                 for i in range(lo, hi):
                     text = texts[i].as_py() or ""
                     spans = base_spans(text)
                     base = _joined(spans)
+                    spans.sort()
+                    reach = list(accumulate((e for _, _, e in spans), max))
                     extra = []
-                    for b, length in more.get(i - lo, ()):
-                        s = len(text.encode()[:b].decode())  # bytes to code points
-                        if not any(x < s + length and s < y for x, _, y in spans):
+                    for s, length in more.get(i - lo, ()):
+                        before = bisect_left(spans, (s + length,))
+                        if not before or reach[before - 1] <= s:
                             extra.append((s, 3, s + length))
                     for k, v in enumerate((*(sum(x[1] == kind for x in spans) for kind in range(3)), len(extra), hashlib.sha256(base.encode()).hexdigest(), _joined(spans + extra))):
                         out[k].append(v)
