@@ -161,7 +161,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, per_language: int = 400, seed: int = 5) -> Model | None:
     """Fit on about per_language labelled texts of each language (whole texts; chosen by a hash of doc_id), None without labels.
 
-    Rows whose crc32(doc_id as text) mod 5 is 0 are never used.
+    Rows whose crc32(doc_id as text) mod 5 is 0, and those without a doc_id, are never used.
     """
     rows = docs.filter((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0) & F.col("lang").isNotNull() & text_of().rlike(r"\p{L}"))
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -197,7 +197,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, per_language: int =
             cols |= {"lang_pred": pa.array([n if ok else "und" for n, ok in zip(names, letters)], pa.string()), "score": pa.array(np.where(letters, scores, 0.0).astype(float))}
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     rows = docs.select("doc_id", held.alias("held_out"), *(c for c in keep if c not in ("doc_id", "text")), "text", text_of().rlike(r"\p{L}").alias("_letters"))
     kept = rows.drop("_letters").schema
     out = rows.mapInArrow(predict, kept.add("lang_pred", "string").add("score", "double"))

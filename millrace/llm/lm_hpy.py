@@ -16,6 +16,8 @@ from .tokens import mix, slices, words
 
 #: Hashes that stand for the end of a text and for what precedes its first word.
 END, BEGIN = np.uint64(1), np.uint64(2)
+#: Stands for a missing doc_id inside blocks.
+NO_ID = -(1 << 63)
 #: Tokens that a task holds before it sends them on.
 HELD = 600_000
 #: Largest count with an exact table of seatings; beyond it about d * t of t tables have a single guest.
@@ -78,7 +80,7 @@ def _send(buckets: int) -> Callable:
             return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.binary())], ["bucket", "block", "body"])
 
         for batch in batches:
-            ids, train = batch.column("doc_id").to_numpy(), batch.column("train").to_numpy(zero_copy_only=False)
+            ids, train = batch.column("doc_id").fill_null(NO_ID).to_numpy(), batch.column("train").to_numpy(zero_copy_only=False)
             for lo, hi, off, data in slices(batch.column("text")):
                 _, _, row, h = words(off, data)
                 h = np.maximum(h, np.uint64(3))
@@ -273,7 +275,7 @@ def _score(tokens: int) -> Callable:
                 log_p[who] += a
                 log_base[who] += b
                 known[who] += k
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(train == 0), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(ids), tokens)), "base_score": pa.array(log_base), "score": pa.array(log_p), "perplexity": pa.array(10 ** np.minimum(300, -log_p / n))})
+        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=ids == NO_ID), "held_out": pa.array(train == 0), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(ids), tokens)), "base_score": pa.array(log_base), "score": pa.array(log_p), "perplexity": pa.array(10 ** np.minimum(300, -log_p / n))})
 
     return score
 
@@ -282,7 +284,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, rounds: int = 2, burn:
     """log10 probability of every whole text under a hierarchical Pitman-Yor bigram model, with a smoothed unigram base score.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity. Training texts are
-    those whose crc32(doc_id as text) mod 7 is not 2. Null texts are empty: one end token. Repeated rows are
+    those whose crc32(doc_id as text) mod 7 is not 2 (and those without a doc_id). Null texts are empty: one end token. Repeated rows are
     scored (and learned) each; an empty table gives no rows; other columns are ignored.
 
     Contexts are dealt to buckets by hash; bigrams are counted in tasks before they are sent. In each round the
@@ -292,7 +294,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, rounds: int = 2, burn:
     """
     scratch = Scratch(spark)
     buckets = parts(spark) * 3 // 2
-    train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
+    train = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, F.lit(True))
     sent = docs.select("doc_id", "text", train.alias("train")).mapInArrow(_send(buckets), "bucket int, block long, body binary")
     gathered = scratch.bucketed(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_gather, "bucket int, ones long, twos long, state binary, events array<binary>, blocks array<long>, words binary, counts binary"), buckets, "bucket")
     ones, twos = gathered.agg(F.sum("ones"), F.sum("twos")).first()

@@ -89,22 +89,23 @@ def fingerprint_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     The next document is found without one global sort: doc_ids are cut into ranges of about equal counts, and
     each range also gets the first document of the range below (the lowest gets the highest document of all).
     Null texts are empty; texts of fewer than five words are one shingle; texts without words share one
-    fingerprint and are like each other. Rows of equal doc_id follow each other by text. An empty table gives no
+    fingerprint and are like each other. Rows of equal doc_id follow each other by text, rows without one are the lowest. An empty table gives no
     rows. Other columns are ignored.
     """
     n = 3 * parts(spark)
-    ids = docs.select("doc_id")
-    found = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n).alias("p")).first().p
+    docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"))
+    ids = docs.select("_id")
+    found = ids.agg(F.percentile_approx("_id", [i / n for i in range(1, n)], 20 * n).alias("p")).first().p
     splits = sorted(set(found or []))
-    bucket = search_tree(F.col("doc_id"), splits)
-    tops = sorted((r.b, r.top) for r in ids.groupBy(bucket.alias("b")).agg(F.max("doc_id").alias("top")).collect())
+    bucket = search_tree(F.col("_id"), splits)
+    tops = sorted((r.b, r.top) for r in ids.groupBy(bucket.alias("b")).agg(F.max("_id").alias("top")).collect())
     above = {top: tops[(i + 1) % len(tops)][0] for i, (_, top) in enumerate(tops)}
-    follows = search_tree(F.col("doc_id"), sorted(above))  # 1 + the place of the row's doc_id among the tops, if it is one
+    follows = search_tree(F.col("_id"), sorted(above))  # 1 + the place of the row's doc_id among the tops, if it is one
     place = [above[t] for t in sorted(above)]
     own = docs.select("doc_id", "text", bucket.alias("bucket"), F.lit(0).alias("follows"))
     at = F.element_at(F.array(*map(F.lit, place or [0])), F.greatest(F.lit(1), follows)).alias("bucket")
     top = F.element_at(F.array(*(F.lit(t).cast("long") for t in sorted(above) or [0])), F.greatest(F.lit(1), follows))
-    closing = docs.filter(F.col("doc_id") == top).select("doc_id", "text", at, F.lit(1).alias("follows"))
+    closing = docs.filter(F.col("_id") == top).select("doc_id", "text", at, F.lit(1).alias("follows"))
     rows = own.union(closing).repartition(parts(spark), "bucket").sortWithinPartitions("bucket", "follows", F.desc("doc_id"), F.asc_nulls_first("text"))
     return rows.select("doc_id", "text", "bucket", "follows").mapInArrow(_edited, FIELDS)
 
