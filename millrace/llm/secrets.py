@@ -27,7 +27,7 @@ _RUN[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_="]] =
 _LETTER = _RUN.copy()
 _LETTER[[*b"0123456789+/_="]] = False
 #: Length bands of the false-discovery control: from each length up to the next.
-BANDS = (16, 20, 24, 32, 48, 96)
+BANDS = (16, 20, 24, 28, 32, 40, 48, 64, 96)
 #: Scores are 20 * -log10(p), cut at BINS - 1: bin 0 is perfectly random.
 BINS = 400
 
