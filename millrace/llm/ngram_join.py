@@ -14,6 +14,8 @@ from .verify import link_components, set_keys, set_rows
 
 #: Signatures that a task holds before it sends them on.
 HELD = 1 << 20
+#: Signatures of at most so many elements are left out where no link can be lost.
+LIGHT = 4
 
 
 def bands(percent: int, largest: int) -> np.ndarray:
@@ -33,6 +35,12 @@ def signatures(rows: np.ndarray, h: np.ndarray, size: np.ndarray, percent: int)
     is cut into n2 cells, and the signatures of a part are its subsets of n2 - 1 cells: one of them leaves out
     the cell with the difference and is equal for both sets. With k = 0 only equal sets link. A set signs for its
     own band and, as the smaller partner, for the next.
+
+    A sixth more parts than needed are made, so t + 1 of them have at most one difference. Signatures of few elements
+    would join sets that have nothing else in common, so a set leaves out all those of at most c elements, for the
+    largest c up to LIGHT for which no more than t of its parts have such. No link is lost: of two linked sets take the one
+    of larger c; some part with at most one difference has no such signature, and the one both share there has more
+    than c elements, so that neither left it out.
     """
     out_rows, out = [], []
     if not len(h):
@@ -45,8 +53,8 @@ def signatures(rows: np.ndarray, h: np.ndarray, size: np.ndarray, percent: int)
         band = own + step
         k = 2 * (lows[band + 1] - 1) * (100 - percent) // (100 + percent)
         use = (size > 0) & (k > 0) & ((step == 0) | (100 * size // percent >= lows[band]))
-        n1 = np.where(use, (k + 2) // 2, 0)
-        n2 = np.where(k <= 8, 4, np.where(k <= 24, 3, 2))
+        n1 = np.where(use, (k + 2) // 2 + (k + 2) // 12, 0)
+        n2 = np.where((k <= 8) | (percent < 85), 4, np.where(k <= 24, 3, 2))
         cells = n1 * n2
         start = np.concatenate([[0], np.cumsum(cells)])
         if not start[-1]:
@@ -60,10 +68,19 @@ def signatures(rows: np.ndarray, h: np.ndarray, size: np.ndarray, percent: int)
         row = np.repeat(np.arange(len(size)), cells)
         local = np.arange(start[-1]) - start[row]
         part_first = np.flatnonzero(local % n2[row] == 0)
-        whole = np.repeat(np.add.reduceat(sums, part_first), n2[row][part_first])
+        width = n2[row][part_first]
+        whole = np.repeat(np.add.reduceat(sums, part_first), width)
         salt = mix((band[row].astype(np.uint64) << np.uint64(40)) + local.astype(np.uint64) + np.uint64(1))
-        out_rows.append(row)
-        out.append(mix((whole - sums) ^ salt))
+        held = np.bincount(cell, minlength=start[-1])
+        in_part = np.add.reduceat(held, part_first)
+        least = in_part - np.maximum.reduceat(held, part_first)  # elements of the part's lightest signature
+        light = np.full(len(size), -1)
+        for c in range(LIGHT + 1):
+            few = np.bincount(row[part_first], weights=least <= c, minlength=len(size))
+            light = np.where(few <= n1 - k // 2 - 1, c, light)
+        keep = np.repeat(in_part, width) - held > light[row]
+        out_rows.append(row[keep])
+        out.append(mix((whole - sums) ^ salt)[keep])
     return (np.concatenate(out_rows), np.concatenate(out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
@@ -78,16 +95,30 @@ def stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return sig[new], node[new], lead[edge], node[edge]
 
 
+def packed(sig: np.ndarray, node: np.ndarray) -> tuple[bytes, bytes]:
+    """Six bytes of each signature (if unequal ones meet so, they are compared in vain), and runs of equal nodes."""
+    first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+    runs = np.diff(np.append(first, len(node))).astype(np.uint32)
+    return sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), node[first].tobytes() + runs.tobytes()
+
+
+def unpacked(sig: bytes, node: bytes) -> tuple[np.ndarray, np.ndarray]:
+    whole = np.zeros((len(sig) // 6, 8), dtype=np.uint8)
+    whole[:, :6] = np.frombuffer(sig, np.uint8).reshape(-1, 6)
+    n = len(node) // 12
+    return whole.view("<u8").ravel().astype(np.uint64), np.frombuffer(node, np.uint64, n).repeat(np.frombuffer(node, np.uint32, n, 8 * n))
+
+
 def _sign(n: int, percent: int, buckets: int) -> Callable:
     def rows_of(sig: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Nodes that share a signature here go out as edges; others may meet them only through its smallest node."""
         sig, node, a, b = stars(sig, node)
         to = (sig % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(to.astype(np.uint16) if buckets < 1 << 16 else to, kind="stable")
+        order = np.lexsort((node, to))
         sig, node, to = sig[order], node[order], to[order]
         cut = np.searchsorted(to, np.arange(buckets + 1))
         some = np.flatnonzero(np.diff(cut))
-        blobs = [(int(i), sig[cut[i] : cut[i + 1]].tobytes(), node[cut[i] : cut[i + 1]].tobytes()) for i in some]
+        blobs = [(int(i), *packed(sig[cut[i] : cut[i + 1]], node[cut[i] : cut[i + 1]])) for i in some]
         if len(a):
             pairs = np.unique(np.stack([a, b], axis=1), axis=0)
             # spread over the buckets' tasks, marked by having no signatures
@@ -115,8 +146,9 @@ def _meet(table: pa.Table) -> pa.Table:
     sigs, nodes, pairs = [], [], []
     for s, v in zip(table.column("sig").to_pylist(), table.column("node").to_pylist()):
         if s:
-            sigs.append(np.frombuffer(s, np.uint64))
-            nodes.append(np.frombuffer(v, np.uint64))
+            sig, node = unpacked(s, v)
+            sigs.append(sig)
+            nodes.append(node)
         else:
             pairs.append(np.frombuffer(v, np.uint64).reshape(-1, 2))
     if sigs:
