@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import Scratch, parts
 from .tokens import mix
-from .verify import link_components, set_keys, set_rows
+from .verify import bands, link_components, set_keys, set_rows
 
 #: Signatures that a task holds before it sends them on.
 HELD = 1 << 20
@@ -18,15 +18,6 @@ HELD = 1 << 20
 LIGHT = 4
 
 
-def bands(percent: int, largest: int) -> np.ndarray:
-    """First sizes of the size bands: a set's partners lie in its own band or the next, as sizes differ by 100 / percent at most."""
-    lo = [1]
-    while lo[-1] <= largest:
-        lo.append(max(lo[-1], 100 * lo[-1] // percent) + 1)
-    lo.append(max(lo[-1], 100 * lo[-1] // percent) + 1)
-    return np.array(lo)
-
-
 def signatures(rows: np.ndarray, h: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, signature) of sets given as sorted hashes by row.
 

@@ -15,6 +15,17 @@ from .tokens import distinct, mix, shingles, slices, words
 BLOCK = 1024
 #: Cells of the sketch that bounds from below how many elements two sets don't share.
 CELLS = 256
+#: Bits of the smaller sketch that travels without the set: each is the parity of the elements it stands for.
+BITS = 1024
+
+
+def bands(percent: int, largest: int) -> np.ndarray:
+    """First sizes of the size bands: a set's partners lie in its own band or the next, as sizes differ by 100 / percent at most."""
+    lo = [1]
+    while lo[-1] <= largest:
+        lo.append(max(lo[-1], 100 * lo[-1] // percent) + 1)
+    lo.append(max(lo[-1], 100 * lo[-1] // percent) + 1)
+    return np.array(lo)
 
 
 def set_rows(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -46,18 +57,23 @@ def set_keys(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_keys(n), "doc_id long, n_shingles long, node long")
 
 
-def _wanted(n: int) -> Callable:
+def _wanted(n: int, percent: int) -> Callable:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             want = batch.column("node").to_numpy().view(np.uint64)
-            keep, blobs = [], []
+            keep, blobs, band, size_of, odd = [], [], [], [], []
             for lo, rows, h, size, key in set_rows(batch.column("text"), n):
                 upto = np.concatenate([[0], np.cumsum(size)])
+                own = np.searchsorted(bands(percent, int(size.max())), size, "right") - 1
                 for i in np.flatnonzero(key == want[lo : lo + len(key)]):
                     keep.append(lo + i)
-                    blobs.append(h[upto[i] : upto[i + 1]].tobytes())
-            cols = [batch.column(c).take(pa.array(keep, pa.int64())) for c in ("cluster", "node", "blocks")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(blobs, pa.binary())], ["cluster", "node", "blocks", "hashes"])
+                    part = h[upto[i] : upto[i + 1]]
+                    blobs.append(part.tobytes())
+                    odd.append(np.packbits(np.bincount((mix(part) >> np.uint64(54)).astype(np.int64), minlength=BITS) & 1).tobytes())
+                    band.append(own[i])
+                    size_of.append(size[i])
+            cols = [batch.column(c).take(pa.array(keep, pa.int64())) for c in ("cluster", "node")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(band, pa.int32()), pa.array(size_of, pa.int64()), pa.array(odd, pa.binary()), pa.array(blobs, pa.binary())], ["cluster", "node", "band", "n", "odd", "hashes"])
 
     return sets
 
@@ -75,6 +91,44 @@ def _sketch(h: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(48)).astype(np.uint16)
 
 
+def _near(percent: int) -> Callable:
+    def near(table: pa.Table) -> pa.Table:
+        """Edges that span the sets of one block or between two that their parities don't tell apart.
+
+        An element that only one of two sets has flips one bit, so as many bits as differ, elements differ at least.
+        Sets that are here as smaller partners only (step 1) are not compared with each other: their own band does that.
+        """
+        node, first = np.unique(table.column("node").to_numpy(), return_index=True)
+        n, side, step = (table.column(c).to_numpy()[first].astype(np.int64) for c in ("n", "side", "step"))
+        blobs = table.column("odd").combine_chunks()
+        odd = np.frombuffer(b"".join(blobs[int(i)].as_py() for i in first), np.uint64).reshape(len(first), -1)
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        root = np.arange(len(node))
+        out: list[tuple[int, int]] = []
+        for i in range(len(node) - 1):
+            rest = np.arange(i + 1, len(node))
+            ok = (root[rest] != root[i]) & (step[rest] + step[i] < 2) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))
+            if lo != hi:
+                ok &= side[rest] != side[i]
+            rest = rest[ok]
+            differ = np.bitwise_count(odd[rest] ^ odd[i]).sum(axis=1, dtype=np.int64)
+            for j in rest[differ * (100 + percent) <= (n[rest] + n[i]) * (100 - percent)]:
+                if root[i] != root[j]:
+                    out.append((int(node[i]), int(node[j])))
+                    root[root == root[j]] = root[i]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+    return near
+
+
+def _blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Every row in all pairs of blocks of its group that its own block is part of; groups of one row go."""
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").withColumn("blocks", F.ceil(F.col("_m") / BLOCK).cast("int")).drop("_m")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = rows.join(counts, keys).withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumns({"lo": F.least("side", "other"), "hi": F.greatest("side", "other")})
+
+
 def _verify(percent: int) -> Callable:
     def verify(table: pa.Table) -> pa.Table:
         """Edges that span the linked documents of one block or between two; pairs that are joined already are not compared."""
@@ -110,21 +164,24 @@ def _verify(percent: int) -> Callable:
 def link_components(spark: SparkSession, docs: DataFrame, keyed: DataFrame, candidates: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
     """component_id of every row of keyed (doc_id, n_shingles, node), from candidate edges (a, b) between nodes.
 
-    Candidate edges only say which sets must be compared: all sets of a connected cluster of them are, in blocks
-    of 1024 and pairs of blocks, by size, by a sketch that bounds the difference from below, and then exactly.
-    So edges may be left out where their ends stay connected. Sets are rebuilt from the texts of one document
-    for each distinct set.
+    Candidate edges only say which sets must be compared: all sets of a connected cluster of them are, within bands
+    of size, in blocks of 1024 and pairs of blocks, first by 128 bytes of parities, which bound the difference from
+    below. The clusters that are left are compared likewise, by a larger sketch and then exactly. So edges may be
+    left out where their ends stay connected. Sets are rebuilt from the texts of one document for each distinct set.
     """
     clusters = components(spark, candidates, scratch)
     first = keyed.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    sizes = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    members = clusters.join(sizes, "root").join(first, clusters.id == first.node).select(F.col("rep").alias("doc_id"), "node", F.col("root").alias("cluster"), "blocks")
+    members = clusters.join(first, clusters.id == first.node).select(F.col("rep").alias("doc_id"), "node", F.col("root").alias("cluster"))
     # few documents are members, but how few is not known beforehand: the same shuffled join at every size
-    sets = docs.select("doc_id", "text").join(scratch.table(members).hint("merge"), "doc_id").select("text", "node", "cluster", "blocks").mapInArrow(_wanted(n), "cluster long, node long, blocks int, hashes binary")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = sets.withColumn("side", own).withColumn("other", other).withColumns({"lo": F.least("side", "other"), "hi": F.greatest("side", "other")})
+    sets = docs.select("doc_id", "text").join(scratch.table(members).hint("merge"), "doc_id").select("text", "node", "cluster").mapInArrow(_wanted(n, percent), "cluster long, node long, band int, n long, odd binary, hashes binary")
+    sets = scratch.table(sets)
+    banded = sets.select("cluster", "node", "n", "odd", F.posexplode(F.array("band", F.col("band") + 1)).alias("step", "size_band"))
+    dealt = _blocks(banded, ["cluster", "size_band"]).select("cluster", "size_band", "lo", "hi", "side", "step", "node", "n", "odd")
+    near = scratch.table(dealt.groupBy("cluster", "size_band", "lo", "hi").applyInArrow(_near(percent), "a long, b long"))
+    closer = components(spark, near, scratch).select(F.col("id").alias("node"), F.col("root").alias("cluster"))
+    dealt = _blocks(sets.select("node", "hashes").join(closer, "node"), ["cluster"])
     links = scratch.table(dealt.select("cluster", "lo", "hi", "side", "node", "hashes").groupBy("cluster", "lo", "hi").applyInArrow(_verify(percent), "a long, b long"))
+    scratch.drop(sets, near)
     groups = components(spark, links, scratch)
     roots = groups.join(first, groups.id == first.node).select("root", "rep", "node")
     least = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
