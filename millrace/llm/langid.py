@@ -140,7 +140,7 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
     inside = [[s for s in found if family(s) == f] for f in families]
     of, lang = np.array([family(s) for s in langs]), np.array(langs)
     scale = np.float32(100)  # shares of a text's runs are small numbers
-    x = x * scale
+    x *= scale
     machines = [svm(x, np.where(of == f, 1.0, -1.0)) if len(families) > 1 else (np.zeros(DIMS, np.float32), 50.0, 1.0) for f in families]
     pairs = []
     for f, names in enumerate(inside):
@@ -155,7 +155,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = vectors(batch.column("text"))
         some = [np.flatnonzero(r) for r in x]
-        yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(some, pa.list_(pa.int32())), pa.array([r[i] for r, i in zip(x, some)], pa.list_(pa.float32()))], ["lang", "at", "share"])
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([i.astype(np.uint16).tobytes() for i in some], pa.binary()), pa.array([r[i].tobytes() for r, i in zip(x, some)], pa.binary())], ["lang", "at", "share"])
 
 
 def train(docs: DataFrame, per_language: int = 400, seed: int = 5) -> Model | None:
@@ -171,13 +171,15 @@ def train(docs: DataFrame, per_language: int = 400, seed: int = 5) -> Model | No
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, min(1.0, per_language / n)).otherwise(share)
     unit = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_003)) / 1_000_003
-    got = rows.filter(unit < share).select("lang", "text").mapInArrow(_sampled, "lang string, at array<int>, share array<float>").orderBy("lang", F.xxhash64("at")).collect()
+    got = rows.filter(unit < share).select("lang", "text").mapInArrow(_sampled, "lang string, at binary, share binary").orderBy("lang", F.xxhash64("at")).collect()
     if not got:
         return None
     x = np.zeros((len(got), DIMS), dtype=np.float32)
     for i, r in enumerate(got):
-        x[i, r["at"]] = r["share"]
-    return fit(x, [r["lang"] for r in got])
+        x[i, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["share"], np.float32)
+    langs = [r["lang"] for r in got]
+    del got
+    return fit(x, langs)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, per_language: int = 400, keep: tuple[str, ...] = ()) -> DataFrame:
