@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import WORD
 from .embed_dups import similar_vectors
 from .langid import identify_language
 from .lm_hpy import score_documents
@@ -66,5 +67,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_hpy_scores, op2_similar_vectors, op3_language_id, op4_minhash, op5_personal_data, op6_minimax_shards, op7_ngram_join, op8_mix_sources, op9_pack_documents, op10_secrets)}
 
 
+#: Roots of the nodes in n (id) by links in e (a, b), for both joins: the smallest id that links lead to.
+REACHED = """e2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT id, id AS root FROM n UNION SELECT e2.b, r.root FROM r JOIN e2 ON e2.a = r.id WHERE r.root < e2.b),
+c AS (SELECT id, min(root) AS root FROM r GROUP BY id)"""
+LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+#: Sampled models, hashes that only Spark has, dynamic programs and bisections are not SQL; the tests have plain versions of them.
+SQL = {
+    "op2_similar_vectors": f"""WITH RECURSIVE n AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings
+WHERE len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e AS (SELECT x.id AS a, y.id AS b FROM n x JOIN n y ON x.id < y.id AND len(x.v) = len(y.v) WHERE list_cosine_similarity(x.v, y.v) >= 0.95),
+{REACHED}, k AS (SELECT a AS id, count(*) AS n_links FROM e2 GROUP BY a)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, CAST(coalesce(root, vec_id) AS BIGINT) AS component_id, coalesce(root, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN c ON c.id = vec_id LEFT JOIN k ON k.id = vec_id""",
+    "op7_ngram_join": f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {LETTERS}), '{WORD}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS x FROM d),
+n AS (SELECT doc_id AS id, count(*) AS size FROM s GROUP BY doc_id),
+p AS (SELECT s.doc_id AS a, t.doc_id AS b, count(*) AS both FROM s JOIN s t ON s.x = t.x AND s.doc_id < t.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n y ON y.id = a JOIN n z ON z.id = b WHERE 100 * both >= 90 * (y.size + z.size - both)),
+{REACHED}
+SELECT doc_id, CAST(coalesce(size, 0) AS BIGINT) AS n_shingles, CAST(coalesce(root, doc_id) AS BIGINT) AS component_id
+FROM documents LEFT JOIN n ON n.id = doc_id LEFT JOIN c ON c.id = doc_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
