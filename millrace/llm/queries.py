@@ -84,8 +84,8 @@ FROM embeddings LEFT JOIN c ON c.id = vec_id LEFT JOIN k ON k.id = vec_id""",
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
 ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS x FROM d),
 n AS (SELECT doc_id AS id, count(*) AS size FROM s GROUP BY doc_id),
-p AS (SELECT s.doc_id AS a, t.doc_id AS b, count(*) AS both FROM s JOIN s t ON s.x = t.x AND s.doc_id < t.doc_id GROUP BY ALL),
-e AS (SELECT a, b FROM p JOIN n y ON y.id = a JOIN n z ON z.id = b WHERE 100 * both >= 90 * (y.size + z.size - both)),
+p AS (SELECT s.doc_id AS a, t.doc_id AS b, count(*) AS common FROM s JOIN s t ON s.x = t.x AND s.doc_id < t.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n y ON y.id = a JOIN n z ON z.id = b WHERE 100 * common >= 90 * (y.size + z.size - common)),
 {REACHED}
 SELECT doc_id, CAST(coalesce(size, 0) AS BIGINT) AS n_shingles, CAST(coalesce(root, doc_id) AS BIGINT) AS component_id
 FROM documents LEFT JOIN n ON n.id = doc_id LEFT JOIN c ON c.id = doc_id""",
