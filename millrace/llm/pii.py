@@ -31,7 +31,7 @@ WIDE = {
 }
 SPAN = "array<struct<start:int,end:int,hit:string>>"
 #: Small integers each candidate is described by; the trees split on them.
-FEATURES = ("kind", "digits", "letters", "marks", "length", "spaces", "before", "after", "luhn", "big_part", "plus", "cue")
+FEATURES = ("kind", "digits", "letters", "marks", "length", "spaces", "before", "after", "luhn", "big_part", "cue")
 ROUNDS, RATE, CHUNK = 12, 0.4, 256
 
 
@@ -125,9 +125,15 @@ def char_class(c: Column) -> Column:
 
 
 def described(text: Column, raw: Column, wide: Column) -> Column:
-    """Each candidate with its features and label: 1 inside an accepted base span of its kind, 0 inside one of another kind or a failed match, else null."""
+    """Each candidate with its features and label: 1 at an accepted base span of its kind, 0 at one of another kind or where a base match of its own kind failed, else null.
+
+    A failed match tells of a candidate only if it holds the candidate and the same digits: the base pattern then
+    judged the same number. Matches of a part of it, or of a longer run, and failures of other kinds say nothing.
+    Features leave out the plus that base phones begin with, as no candidate of another format could have it.
+    """
     def one(s: Column) -> Column:
         hit = s["hit"]
+        ahead = lambda n: F.when(s["start"] >= n, F.substring(text, s["start"] - n + 1, F.lit(1))).otherwise("")
         near = F.lower(F.substring(text, F.greatest(F.lit(1), s["start"] - 23), F.least(F.lit(24), s["start"])))
         count = lambda p: F.regexp_count(hit, F.lit(p))
         cap = lambda c, n: F.least(F.lit(n), c)
@@ -138,15 +144,15 @@ def described(text: Column, raw: Column, wide: Column) -> Column:
             "marks": cap(count(r"[^\p{L}0-9\s]"), 8),
             "length": cap(F.floor(F.length(hit) / 4).cast("int"), 15),
             "spaces": cap(count(r"\s"), 8),
-            "before": char_class(F.when(s["start"] > 0, F.substring(text, s["start"], F.lit(1))).otherwise("")),
+            "before": char_class(F.when(ahead(1) == "+", ahead(2)).otherwise(ahead(1))),
             "after": char_class(F.substring(text, s["end"] + 1, F.lit(1))),
             "luhn": luhn(hit).cast("int"),
-            "big_part": F.exists(F.regexp_extract_all(hit, F.lit("[0-9]{3}"), F.lit(0)), lambda p: p > "255").cast("int"),
-            "plus": F.when(s["start"] > 1, F.substring(text, F.greatest(F.lit(1), s["start"] - 3), F.least(F.lit(4), s["start"]))).otherwise("").contains("+").cast("int"),
+            "big_part": (~hit.contains(":") & F.exists(F.regexp_extract_all(hit, F.lit("[0-9]{3}"), F.lit(0)), lambda p: p > "255")).cast("int"),
             "cue": near.rlike(r"mail|tel|phone|call|fax|mobile|card|visa|server|host|address|contact").cast("int"),
         }
         same = F.exists(raw, lambda r: r["ok"] & (r["kind"] == s["kind"]) & overlaps(r, s))
-        other = F.exists(raw, lambda r: overlaps(r, s))
+        judged = lambda r: (r["kind"] == s["kind"]) & (r["start"] <= s["start"]) & (r["end"] >= s["end"]) & (digits(r["hit"]) == digits(hit))
+        other = F.exists(raw, lambda r: F.when(r["ok"], overlaps(r, s)).otherwise(judged(r)))
         label = F.when(same, 1).when(other, 0)
         return F.struct(s["start"].alias("start"), s["kind"].alias("place"), s["end"].alias("end"), label.alias("label"), *(v.cast("int").alias(k) for k, v in values.items()))
 
@@ -218,9 +224,10 @@ def thresholds(combos: DataFrame, trees: list[tuple], precision: float) -> dict[
 def find_personal_data(spark: SparkSession, docs: DataFrame, precision: float = 0.98, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in keep, _text (null as empty), base and extra: arrays of (start, kind, end), code points, end exclusive.
 
-    Base spans are the fixed patterns'. Extra ones are candidates of the wide generators that touch no base match
-    and score above their kind's threshold; the trees learn from candidates that touch one. All candidates of all
-    texts are counted, as combinations of small features. An empty table gives no rows; repeated rows a row each.
+    Base spans are the fixed patterns'. Extra ones are candidates of the wide generators that the base patterns
+    have not judged (described) and that score above their kind's threshold; one inside a longer one is left out.
+    The trees learn from candidates that were judged. All candidates of all texts are counted, as combinations of
+    small features. An empty table gives no rows; repeated rows a row each.
     """
     scratch = Scratch(spark)
     found = with_spans(docs, ())
@@ -237,7 +244,9 @@ def find_personal_data(spark: SparkSession, docs: DataFrame, precision: float =
         limit = lambda k: F.element_at(F.array(*(F.lit(float(limits.get(i, math.inf))) for i in range(len(KINDS)))), k + 1)
         good = lambda c: c["label"].isNull() & (tree_score(trees, lambda f: c[f]) >= limit(c["kind"]))
         chosen = F.transform(F.filter(described(F.col("_text"), F.col("_raw"), F.col("_wide")), good), lambda c: F.struct(c["start"].alias("start"), c["place"].alias("kind"), c["end"].alias("end")))
-        extra = F.when(F.size("_wide") > 0, F.array_sort(chosen)).otherwise(extra)
+        holds = lambda d, c: (d["start"] <= c["start"]) & (d["end"] >= c["end"]) & (d["end"] - d["start"] > c["end"] - c["start"])
+        longest = let(chosen, lambda all_: F.filter(all_, lambda c: ~F.exists(all_, lambda d: holds(d, c))))
+        extra = F.when(F.size("_wide") > 0, F.array_sort(longest)).otherwise(extra)
     return rows.select(*keep, "_text", base.alias("base"), extra.alias("extra"))
 
 

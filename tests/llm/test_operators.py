@@ -206,6 +206,33 @@ def test_personal_data_finds_other_formats(spark):
     assert all(got[i].count(":") >= 4 for i in range(300))
 
 
+def test_personal_data_finds_what_no_base_pattern_judged(spark):
+    """Planted spans of the four kinds in other formats, most of which hold digits that the base card pattern matches in part."""
+    rng = random.Random(4)
+    num = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+
+    def card(ok=True):
+        while True:
+            d = num(16)
+            if brute.luhn(d) == ok:
+                return [d[i : i + 4] for i in (0, 4, 8, 12)]
+
+    byte = lambda: str(rng.randint(0, 255))
+    rows = []
+    for i in range(200):
+        for hit in (f"+{num(2)} {num(3)} {num(4)} {num(3)}", f"bob{i}@host{i}.org", "".join(card()), "".join(card(False)), ".".join(card(False)), ".".join(byte() for _ in range(4)), f"{rng.randint(300, 999)}.{byte()}.{byte()}.{byte()}", f"+{num(2)} {num(3)} {num(3)}"):
+            rows.append(f"{rng.choice(('phone', 'mail', 'say', 'then', 'and from', 'near'))} {hit} there")
+    plain = len(rows)
+    planted = []
+    for i in range(20):
+        planted += [("phone", f"({num(3)}) {num(4)}-{num(4)}"), ("phone", f"{num(3)} {num(3)}-{num(4)}"), ("card", ".".join(card())), ("email", f"ann{i + 10} (at) host{i} (dot) org"), ("ip", f"2001:db{i % 10}:0:0:1:0:0:{i + 10}"), ("ip", f"192 . 168 . {i} . 1")]
+    rows += [f"say {hit} here" for _, hit in planted]
+    got = {r.doc_id: r.spans for r in report(find_personal_data(spark, spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))).collect()}
+    assert {(k, h) for i, (k, h) in enumerate(planted) if got[plain + i] != f"{k}:4:{4 + len(h)}"} == set()
+    for i in range(plain):
+        assert got[i] == brute.joined(brute.private_spans(rows[i]), KINDS)
+
+
 @pytest.mark.parametrize("table", ["awkward", "docs"])
 def test_shards(spark, request, table):
     df = request.getfixturevalue(table)
