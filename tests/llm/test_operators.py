@@ -274,6 +274,29 @@ def test_smallest_capacity(spark):
     assert smallest_capacity(small, 4) == brute_best(0, 4)
 
 
+def test_shards_beside_a_large_group_are_even(spark):
+    """A third of all bytes are equal texts: they have a shard of their own, and the others are of about one size."""
+    from millrace.llm.sharding import even_cuts, smallest_capacity
+
+    rng = random.Random(7)
+    rows = [(i, f"{i} " + "x" * rng.randint(20, 80)) for i in range(3000)]
+    rows += [(3000 + i, "the same text " * 20) for i in range(sum(len(t) + 1 for _, t in rows) // 2 // 281)]
+    size = Counter()
+    for r in shard_documents(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        size[r.shard] += r.size
+    assert sorted(size) == list(range(16))
+    *others, largest = sorted(size.values())
+    assert largest == sum(len(t) + 1 for i, t in rows if i >= 3000) and others[-1] < 1.5 * others[0]
+    draw = np.random.default_rng(12)
+    for _ in range(300):
+        sizes, shards = draw.integers(1, draw.choice([3, 100]), draw.integers(1, 60)), int(draw.integers(1, 20))
+        sizes[draw.integers(0, len(sizes))] *= draw.choice([1, 50])
+        top = smallest_capacity(sizes, shards)
+        cuts = even_cuts(sizes, top, shards)
+        sums = [int(s.sum()) for s in np.split(sizes, cuts)]
+        assert max(sums) == top and min(sums) > 0 and len(sums) == min(shards, len(sizes))
+
+
 @pytest.mark.parametrize("table", ["awkward", "docs"])
 def test_mix(spark, request, table):
     df = request.getfixturevalue(table)
