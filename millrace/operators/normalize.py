@@ -59,11 +59,10 @@ def html_tags(c: Column, remove_tables: bool = False) -> Column:
     """Known tags go and what is between them stays; tags that are left keep colspan and rowspan only."""
     names = "|".join(f"{fixed.HTML_TAGS} {fixed.TABLE_TAGS}".split() if remove_tables else fixed.HTML_TAGS.split())
     text = F.regexp_replace(c, rf"(?i)<(?:{names})(?:\s[^>]*)?>|</(?:{names})>", "")
-    # one attribute of each remaining tag goes in every pass; a tag rarely has more than a few
-    attribute = r'(<\w+(?:\s[^<>]*?)??)\s*(?!colspan=|rowspan=)\b\w+="[^"<>]+"(?=[^<>]*>)'
-    for _ in range(8):
-        text = F.regexp_replace(text, attribute, "$1")
-    return text
+    tag, attribute = r"<\w+\s[^<>]*>", r'\s*(?!colspan=|rowspan=)(?<!<)\b\w+="[^"<>]+"'
+    gaps, tags = F.split(text, tag, -1), F.regexp_extract_all(text, F.lit(tag), F.lit(0))
+    bare = lambda gap, hit: F.concat(gap, F.coalesce(F.regexp_replace(hit, attribute, ""), F.lit("")))
+    return F.array_join(F.zip_with(gaps, tags, bare), "")
 
 
 def legends(c: Column) -> Column:

@@ -20,6 +20,7 @@ CASES = [
     (normalize.legends, "", ""),
     (normalize.html_tags, "<p><b>机器学习</b>是<a href=\"x\">人工智能</a>的一个分支。</p>", "机器学习是人工智能的一个分支。"),
     (normalize.html_tags, '<td class="td8" rowspan="3" id="a">x</td>', '<td rowspan="3">x</td>'),
+    (normalize.html_tags, "a <td " + " ".join(f'k{i}="{i}"' for i in range(6)) + ' colspan="2" ' + " ".join(f'm{i}="{i}"' for i in range(6)) + '>x</td> b="c" <tr id="d">', 'a <td colspan="2">x</td> b="c" <tr>'),
     (normalize.extra_spaces, "  a   b \n\n 中  ，  d", "a b\n中， d"),
     (normalize.xml_values, "<性别>男</性别>", "性别: 男"),
     (normalize.xml_values, "<a><b>1</b></a>", "a:\n  b: 1"),
