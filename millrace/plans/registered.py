@@ -241,7 +241,7 @@ add("retention_expired", "orders", lambda df: df.filter(catalog.expired(F.col("o
 add("usage_counter", "part", lambda df: df.select("p_partkey", (F.coalesce("p_size", F.lit(0)) + 1).alias("usage_count")), "SELECT p_partkey, coalesce(p_size, 0) + 1 AS usage_count FROM part")
 add_many("lexicon_union", ("nation", "region"), lambda n, r: n.select(F.col("n_name").alias("word")).union(r.select("r_name")).distinct(), "SELECT n_name AS word FROM nation UNION SELECT r_name FROM region")
 add("directory_sort", "nation", lambda df: df.select("n_nationkey", F.row_number().over(Window.orderBy((F.col("n_regionkey") != 0), "n_name")).alias("place")), "SELECT n_nationkey, CAST(row_number() OVER (ORDER BY n_regionkey <> 0, n_name) AS INTEGER) AS place FROM nation")
-_QUERIES["lineage_graphs"] = lambda spark, sf_dir: catalog.lineage(with_folder(spark), table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("a"), (F.col("o_custkey") + 10_000_000).alias("b")))
+_QUERIES["lineage_graphs"] = lambda spark, sf_dir: catalog.lineage(with_folder(spark), table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("a"), (F.col("o_custkey") + 10_000_000).alias("b")))
 MIX = {"src0": 10, "src1": 20, "src2": 5}
 add("ratio_mix_hash", "documents", lambda df: catalog.ratio_mix(df.withColumn("file_path", F.md5("text")), MIX, None, source="source", key="doc_id").select("doc_id", "source"), "WITH p AS (SELECT *, md5(text) AS path, row_number() OVER (PARTITION BY source ORDER BY md5('7:' || doc_id), doc_id) AS turn FROM documents WHERE source IN ('src0', 'src1', 'src2')), q AS (SELECT * FROM p WHERE turn <= CASE source WHEN 'src0' THEN 10 WHEN 'src1' THEN 20 ELSE 5 END) SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY CASE source WHEN 'src0' THEN 0 WHEN 'src1' THEN 1 ELSE 2 END, doc_id) AS r FROM q) WHERE r = 1")
 add("json_props", "events", lambda df: df.select("event_id", F.size(F.json_object_keys("props")).alias("n_keys"), F.element_at(F.json_object_keys("props"), 1).alias("first_key")), "SELECT event_id, CAST(len(json_keys(props)) AS INTEGER) AS n_keys, json_keys(props)[1] AS first_key FROM events")

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.plans import catalog
+from millrace.plans import catalog, registered
 from millrace.plans.pipeline import REGISTRY, Operator, Pipeline, check, guarded
 
 
@@ -64,6 +64,22 @@ def test_lineage(spark):
     assert {r.id: r.graph_id for r in catalog.lineage(spark, edges).collect()} == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5, 9: 5, 10: 5}
 
 
+def test_lineage_of_all_orders(spark, sf_dir):
+    """The registered query against a plain union of the edges of the whole table."""
+    root = {}
+
+    def find(i):
+        root.setdefault(i, i)
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_custkey") + 10_000_000).collect():
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    assert {r.id: r.graph_id for r in registered.queries()["lineage_graphs"](spark, sf_dir).collect()} == {i: find(i) for i in root}
+
+
 def test_evaluation_columns(spark):
     (row,) = spark.range(1).select(catalog.verdicts(F.lit("结果：Y ... 结果: N")).alias("v"), catalog.filled("{a}-{b}", a=F.lit("x"), b=F.lit(None).cast("string")).alias("f")).collect()
     assert row.v == [True, False] and row.f == "x-"
