@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections import deque
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed
+
 
 def windows(c: Column, size: int, overlap: int) -> Column:
     """Windows of size characters, each beginning size - overlap after the one before; the last may be shorter."""
@@ -18,43 +23,32 @@ def windows(c: Column, size: int, overlap: int) -> Column:
     return F.when(F.length(c) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(c, i * step + 1, F.lit(size))))
 
 
-def pieces_of(text: str, size: int, overlap: int, marks: tuple[str, ...] = ("\n\n", "\n")) -> list[str]:
-    """Cut at blank lines, at line ends where a piece is still too long, and merge neighbours up to size with overlap."""
-    def cut(part: str, marks: tuple[str, ...]) -> list[str]:
-        if len(part.strip()) <= size or not marks:
-            return [part]
-        found = [p for p in re.findall(rf"(?s).*?{re.escape(marks[0])}|.+\Z", part) if p.strip()]
-        return [q for p in found for q in cut(p, marks[1:])]
-
-    def merge(parts: list[str]) -> list[str]:
-        out, at = [], 0
-        while at < len(parts):
-            if len(parts[at]) >= size:
-                out.append(parts[at])
-                at += 1
-                continue
-            first, back = at, 0
-            while first and back + len(parts[first - 1]) <= overlap and back + len(parts[first - 1]) + len(parts[at]) <= size:
-                first -= 1
-                back += len(parts[first])
-            last, whole = at, back + len(parts[at])
-            while last + 1 < len(parts) and whole + len(parts[last + 1]) <= size:
-                last += 1
-                whole += len(parts[last])
-            out.append("".join(parts[first : last + 1]))
-            at = last + 1
-        return out
-
-    def hard(part: str) -> list[str]:
-        step = size - overlap
-        return [part[i * step : i * step + size] for i in range(max(0, -(-(len(part) - size) // step)) + 1)]
+def ended(text: str, marks: str) -> list[str]:
+    """The stretches of a text that end with a mark (a pattern) each, and what is left; blank ones go."""
+    at = [0, *(m.end() for m in re.finditer(marks, text)), len(text)]
+    return [p for a, b in zip(at, at[1:]) if (p := text[a:b]).strip()]
+
+
+def joined(parts: list[str], size: int, overlap: int) -> list[str]:
+    """Runs of parts as long as size lets them be; each begins with as many of the parts before it as fit into overlap."""
+    ends, out, at = list(accumulate(map(len, parts), initial=0)), [], 0
+    while at < len(parts):
+        alone = len(parts[at]) >= size
+        first = at if alone else bisect_left(ends, max(ends[at] - overlap, ends[at + 1] - size), 0, at)
+        to = at + 1 if alone else bisect_right(ends, ends[first] + size) - 1
+        out.append("".join(parts[first:to]))
+        at = to
+    return out
+
 
+def pieces_of(text: str, size: int, overlap: int) -> list[str]:
+    """Paragraphs, or lines of those that are longer than size, joined up to size; what is longer still is cut after marks, then anywhere."""
+    whole = [text] if len(text.strip()) <= size else ended(text, "\n\n")
+    lines = [q for p in whole for q in ([p] if len(p.strip()) <= size else ended(p, "\n"))]
     out = []
-    for piece in merge(cut(text, marks)):
-        if len(piece) <= size:
-            out.append(piece)
-        else:
-            out += [h for s in merge([x for x in re.findall(r"[^，。？！；,?!;]*[，。？！；,?!;]|[^，。？！；,?!;]+", piece)]) for h in hard(s)]
+    for piece in joined(lines, size, overlap):
+        smaller = [piece] if len(piece) <= size else joined(ended(piece, "[，。？！；,?!;]"), size, overlap)
+        out += [s[i : i + size] for s in smaller for i in range(0, max(1, len(s) - overlap), size - overlap)]
     return [p.strip() for p in out if p]
 
 
@@ -70,6 +64,53 @@ def split_text(size: int, overlap: int, most: int = -1):
     return split
 
 
+def glued(parts: list[str], size: int, overlap: int, glue: str = "") -> list[str]:
+    """Parts glued up to size, stripped; a piece begins with the last parts of the one before that overlap allows."""
+    out: list[str] = []
+    held: deque[str] = deque()
+    length = lambda more=0: sum(map(len, held)) + len(glue) * max(0, len(held) - 1 + more)
+    for part in parts:
+        if held and length(1) + len(part) > size:
+            out.append(glue.join(held).strip())
+            while held and (length() > overlap or length(1) + len(part) > size):
+                held.popleft()
+        held.append(part)
+    return [p for p in (*out, glue.join(held).strip()) if p]
+
+
+def ladder_pieces(text: str, size: int, overlap: int, ladder: tuple[str, ...]) -> list[str]:
+    """Cut before each separator, the first of the ladder that the text has; parts that reach size go down the ladder, runs of smaller ones are glued."""
+    at = next((i for i, s in enumerate(ladder) if not s or s in text), len(ladder) - 1)
+    mark, lower, out, small = ladder[at], ladder[at + 1 :], [], []
+    first, *others = text.split(mark) if mark else ("", *text)
+    for part in filter(None, (first, *(mark + p for p in others))):
+        if len(part) < size:
+            small.append(part)
+            continue
+        out += glued(small, size, overlap) + (ladder_pieces(part, size, overlap, lower) if lower else [part])
+        small = []
+    return out + glued(small, size, overlap)
+
+
+def base_pieces(mode: str = "default", size: int = 500, overlap: int = 50, delimiter: str = "\n\n"):
+    """A pandas UDF: pieces for a knowledge base by mode (paragraph, sentence, default, length, custom with a delimiter); none of blank texts."""
+    if mode not in (*fixed.LADDERS, "length", "custom"):
+        raise ValueError(f"unknown mode {mode!r}")
+    ladder = fixed.LADDERS.get(mode, (delimiter, "\n", " ", ""))
+
+    @F.pandas_udf("array<string>")
+    def split(texts: pd.Series) -> pd.Series:
+        cut = lambda t: glued([p for p in t.split("\n\n") if p], size, overlap, "\n\n") if mode == "length" else ladder_pieces(t, size, overlap, ladder)
+        return texts.map(lambda t: cut(t) if t and t.strip() else [])
+
+    return split
+
+
+def sections(c: Column) -> Column:
+    """A Markdown text cut before each heading."""
+    return F.filter(F.split(c, r"(?m)(?=^#{1,6} )"), lambda x: F.length(F.trim(x)) > 0)
+
+
 def chunks(df: DataFrame, pieces: Column, key: str = "doc_id") -> DataFrame:
     """One row a piece: key, at, chunk, and n_chunks of its text."""
     return df.select(key, pieces.alias("_p")).select(key, F.size("_p").alias("n_chunks"), F.posexplode("_p").alias("at", "chunk"))
@@ -88,34 +129,29 @@ def large_enough(rows: DataFrame, size: int, share: float = 0.7) -> DataFrame:
 
 
 def knowledge_pairs(rows: DataFrame, key: str = "doc_id", block: int = 50) -> DataFrame:
-    """Chunks of a text, in blocks of so many, joined with the unused chunk that scores highest for them (Okapi); (key, at, chunk).
+    """Chunks of a text, in blocks of so many, each followed by the unused chunk of its block that scores highest for it (Okapi); (key, at, chunk).
 
-    Texts with fewer than three chunks stay as they are; an odd chunk left over stays alone.
+    Blocks of fewer than three chunks stay as they are; an odd chunk left over stays alone. A group is one block of
+    one text, whatever the text's length; places are the blocks' first places plus a count.
     """
     from .retrieval import okapi_scores
 
     def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at")
-        texts = pdf.chunk.tolist()
+        part = pdf.sort_values("at").chunk.tolist()
         out: list[str] = []
-        for begin in range(0, len(texts), block):
-            part = texts[begin : begin + block]
-            if len(texts) < 3:
-                out += part
-                continue
-            score = okapi_scores([re.findall(r"\w+", t.lower()) for t in part])
-            free = list(range(len(part)))
+        if len(part) < 3:
+            out = part
+        else:
+            score, free = okapi_scores([re.findall(r"\w+", t.lower()) for t in part]), list(range(len(part)))
             while free:
                 i = free.pop(0)
-                if not free:
-                    out.append(part[i])
-                    break
-                j = max(free, key=lambda j: (score(i, j), -j))
-                free.remove(j)
-                out.append(part[i] + "\n" + part[j])
-        return pd.DataFrame({key: pdf[key].iloc[0], "at": range(len(out)), "chunk": out})
-
-    return rows.select(key, "at", "chunk").groupBy(key).applyInPandas(pair, f"{key} long, at int, chunk string")
+                j = max(free, key=lambda j: (score(i, j), -j)) if free else None
+                out.append(part[i] + ("" if j is None else part[j]))
+                free = [k for k in free if k != j]
+        return pd.DataFrame({key: pdf[key].iloc[0], "at": range(pdf["at"].min(), pdf["at"].min() + len(out)), "chunk": out})
+
+    blocks = rows.select(key, F.col("at").cast("int").alias("at"), "chunk", F.floor(F.col("at") / block).alias("block"))
+    return blocks.groupBy(key, "block").applyInPandas(pair, f"{key} long, at int, chunk string")
 
 
 def tiles(df: DataFrame, width: str, height: str, size: tuple[int, int] = (128, 128), overlap: float = 0.0) -> DataFrame:

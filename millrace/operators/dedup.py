@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from itertools import combinations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.chars import char_class
-from .normalize import strip
+from .filters import words
+from .normalize import let, strip
 
 
 def exact(df: DataFrame, value: Column, key: str = "doc_id") -> DataFrame:
-    """The row with the smallest key of every distinct value: a partial minimum for each digest, then a semi-join, so copies never meet in one task."""
-    hashed = df.withColumn("_digest", F.md5(value))
-    first = hashed.groupBy("_digest").agg(F.min(key).alias(key))
-    return hashed.join(first, ["_digest", key], "left_semi").drop("_digest")
+    """One row of every distinct value: that with the smallest key (rows without a key last); null is a value of its own.
+
+    Rows are reduced to the smallest of each digest in every task before they are shuffled, so a value that a third of all rows have costs a row a task.
+    """
+    names, smallest = df.columns, F.struct(F.col(key).isNull(), F.col(key))
+    first = df.groupBy(F.md5(value).alias("_digest")).agg(F.min_by(F.struct(*names), smallest).alias("_row"))
+    return first.select(*(F.col("_row")[n].alias(n) for n in names))
 
 
 def normalised(c: Column) -> Column:
@@ -39,9 +48,12 @@ def segment_pairs(df: DataFrame, limit: float = 0.5, key: str = "doc_id", text:
     ranked = sets.select(key, F.explode("set").alias("s")).join(often, "s").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("o"))
     ranked = ranked.select(key, F.transform("o", lambda x: x["s"]).alias("o"))
     prefix = F.size("o") - F.ceil(F.size("o") * F.lit(limit)).cast("int") + 1
-    ahead = ranked.select(key, F.size("o").alias("n"), F.explode(F.slice("o", F.lit(1), prefix)).alias("s")).filter(F.col("n") > 0)
-    left, right = ahead.select(F.col(key).alias("a"), F.col("n").alias("na"), "s"), ahead.select(F.col(key).alias("b"), F.col("n").alias("nb"), "s")
-    met = left.join(right, "s").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= limit * F.greatest("na", "nb"))).select("a", "b").distinct()
+    ahead = ranked.select(key, F.size("o").alias("n"), F.posexplode(F.slice("o", F.lit(1), prefix)).alias("at", "s")).filter(F.col("n") > 0)
+    left, right = ahead.toDF("a", "na", "ia", "s"), ahead.toDF("b", "nb", "ib", "s")
+    # where a pair's first common segment stands bounds how many more the two can share
+    most = 1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1
+    enough = most * (1 + limit) >= limit * (F.col("na") + F.col("nb")) - 1e-9
+    met = left.join(right, "s").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= limit * F.greatest("na", "nb")) & enough).select("a", "b").distinct()
     one, two = ranked.select(F.col(key).alias("a"), F.col("o").alias("x")), ranked.select(F.col(key).alias("b"), F.col("o").alias("y"))
     both = met.join(one, "a").join(two, "b").withColumn("i", F.size(F.array_intersect("x", "y")))
     return both.select("a", "b", (F.col("i") / (F.size("x") + F.size("y") - F.col("i"))).alias("similarity")).filter(F.col("similarity") >= limit)
@@ -82,11 +94,68 @@ def simhash(df: DataFrame, key: str = "doc_id", text: str = "text", bits: int =
     return sums.select(key, sum((F.when(F.col(f"b{i}") > 0, F.lit(1 << i)).otherwise(F.lit(0)) for i in range(bits)), F.lit(0).cast("long")).alias("simhash"))
 
 
-def simhash_pairs(signed: DataFrame, most: int = 4, key: str = "doc_id") -> DataFrame:
-    """(a, b, distance) between the smallest keys of distinct simhashes that differ in at most so many bits: some one of most + 1 bands is equal."""
+def simhash_pairs(signed: DataFrame, most: int = 4, key: str = "doc_id", bits: int = 60, alike: int = 3) -> DataFrame:
+    """(a, b, distance) between the smallest keys of distinct simhashes that differ in at most so many bits.
+
+    Hashes are cut into most + alike blocks, of which alike at least are equal in such a pair; a hash is joined by
+    every choice of alike blocks, so candidates agree in bits * alike / (most + alike) bits, not in one narrow band.
+    A pair comes from the first choice in which it meets only, so none has to be made distinct.
+    """
     nodes = signed.groupBy("simhash").agg(F.min(key).alias("id"))
-    width = 60 // (most + 1)
-    bands = nodes.select("id", "simhash", F.posexplode(F.array(*(F.shiftright("simhash", i * width).bitwiseAND(F.lit((1 << width) - 1)) for i in range(most + 1)))).alias("band", "value"))
-    left, right = bands.select(F.col("id").alias("a"), F.col("simhash").alias("x"), "band", "value"), bands.select(F.col("id").alias("b"), F.col("simhash").alias("y"), "band", "value")
-    met = left.join(right, ["band", "value"]).filter("a < b").select("a", "b", F.bit_count(F.col("x").bitwiseXOR(F.col("y"))).alias("distance"))
-    return met.filter(F.col("distance") <= most).distinct()
+    edges = [bits * i // (most + alike) for i in range(most + alike + 1)]
+    masks = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
+    choices = list(combinations(range(most + alike), alike))
+    masked = F.array(*(F.col("simhash").bitwiseAND(F.lit(sum(masks[i] for i in c))) for c in choices))
+    bands = nodes.select("id", "simhash", F.posexplode(masked).alias("band", "value"))
+    left, right = bands.toDF("a", "x", "band", "value"), bands.toDF("b", "y", "band", "value")
+    met = left.join(right, ["band", "value"]).filter("a < b").withColumn("z", F.col("x").bitwiseXOR(F.col("y")))
+    same = [F.col("z").bitwiseAND(F.lit(m)) == 0 for m in masks]
+    first = F.array_position(F.array(*(reduce(lambda p, q: p & q, (same[i] for i in c)) for c in choices)), True) - 1
+    return met.filter((F.bit_count("z") <= most) & (first == F.col("band"))).select("a", "b", F.bit_count("z").alias("distance"))
+
+
+def kept_of_pairs(df: DataFrame, signed: DataFrame, pairs: DataFrame, value: str = "simhash", key: str = "doc_id") -> DataFrame:
+    """The rows of df that are first of their value and have no pair with an earlier one."""
+    first = signed.groupBy(value).agg(F.min(key).alias(key)).select(key)
+    return df.join(first, key, "left_semi").join(pairs.select(F.col("b").alias(key)), key, "left_anti")
+
+
+def signature_bands(bands: int, rows: int, seed: int = 11):
+    """A pandas UDF: one hash for each band of the minima of an array of 64-bit hashes under multiplications by odd numbers."""
+    @F.pandas_udf("array<long>")
+    def banded(hashes: pd.Series) -> pd.Series:
+        factor = np.random.default_rng(seed).integers(0, 1 << 63, (bands, rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        if not len(hashes):
+            return pd.Series([], dtype=object)
+        x = np.concatenate(hashes.tolist()).view(np.uint64)
+        first = np.concatenate([[0], np.cumsum(hashes.map(len).to_numpy())[:-1]])
+        out = np.zeros((len(hashes), bands), dtype=np.uint64)
+        for i in range(bands):
+            out[:, i] = i + 1
+            for f in factor[i]:
+                out[:, i] = (out[:, i] ^ np.minimum.reduceat(x * f, first)) * np.uint64(0x9E3779B97F4A7C15)
+        return pd.Series(list(out.view(np.int64)))
+
+    return banded
+
+
+def minhash_groups(df: DataFrame, n: int = 5, key: str = "doc_id", text: str = "text", bands: int = 16, rows: int = 8) -> DataFrame:
+    """(id, graph_id): documents that share a band of their MinHash signatures, and the smallest key that such bands lead to.
+
+    Bands meet with a chance of 1 - (1 - J ** rows) ** bands for Jaccard J of n-word shingle sets: one half at 0.7,
+    0.98 at 0.85. A bucket's members are joined to its smallest key only, never in pairs. Texts of fewer words are
+    one shingle, texts without words are in no group, and so are documents that share no band.
+    """
+    from ..plans.catalog import lineage
+
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - n + 1)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))
+    found = df.select(key, words(F.lower(text)).alias("w")).filter(F.size("w") > 0).select(key, let(F.col("w"), runs).alias("s"))
+    met = found.select(F.col(key).alias("b"), F.explode(signature_bands(bands, rows)(F.col("s"))).alias("band")).checkpoint()
+    hubs = met.groupBy("band").agg(F.min("b").alias("a"))
+    return lineage(df.sparkSession, met.join(hubs, "band").select("a", "b"))
+
+
+def minhash_kept(df: DataFrame, key: str = "doc_id", **how: object) -> DataFrame:
+    """The first document of every group of minhash_groups, and all that are in none."""
+    gone = minhash_groups(df, key=key, **how).filter("id != graph_id").select(F.col("id").alias(key))
+    return df.join(gone, key, "left_anti")

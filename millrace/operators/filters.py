@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import ahocorasick
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.chars import char_class
+from .normalize import let, strip
 
 WORDS = r"[^\s]+"
 
@@ -44,28 +47,36 @@ def by_special_chars(df: DataFrame, limit: float = 0.3, text: str = "text") -> D
 def repeated_char_share(c: Column) -> Column:
     """The commonest CJK character's share of all CJK characters; 0 without any."""
     cjk = F.array_sort(F.split(F.regexp_replace(c, r"[^\x{4E00}-\x{9FFF}]", ""), ""))
-    step = lambda a, x: F.struct(x.alias("last"), F.when(a["last"] == x, a["run"] + 1).otherwise(1).alias("run"), F.greatest(a["best"], F.when(a["last"] == x, a["run"] + 1).otherwise(1)).alias("best"))
-    best = F.aggregate(cjk, F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best")), step)["best"]
-    return F.when(c.rlike(r"[\x{4E00}-\x{9FFF}]"), best / F.size(cjk)).otherwise(F.lit(0.0))
+    return F.when(c.rlike(r"[\x{4E00}-\x{9FFF}]"), let(cjk, lambda s: commonest(s) / F.size(s))).otherwise(F.lit(0.0))
 
 
 def by_repeated_char(df: DataFrame, limit: float = 0.5, text: str = "text") -> DataFrame:
     return df.filter(repeated_char_share(F.col(text)) < limit)
 
 
-def phrase_shares(df: DataFrame, key: str = "doc_id", text: str = "text", stopwords: tuple[str, ...] = ()) -> DataFrame:
-    """key and the share of the commonest word of two letters or more among all such words of its text."""
-    words_ = df.select(key, F.explode(F.regexp_extract_all(text, F.lit(r"\p{L}{2,}"), F.lit(0))).alias("word"))
-    if stopwords:
-        words_ = words_.filter(~F.col("word").isin(*stopwords))
-    counts = words_.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy(key).agg((F.max("n") / F.sum("n")).alias("rate"))
+def commonest(sorted_: Column) -> Column:
+    """How often the commonest value of a sorted array occurs in it; 0 in an empty one."""
+    run = lambda a, x: F.when(a["last"] == x, a["run"] + 1).otherwise(1)
+    step = lambda a, x: F.struct(x.alias("last"), run(a, x).alias("run"), F.greatest(a["best"], run(a, x)).alias("best"))
+    return F.aggregate(sorted_, F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best")), step)["best"]
+
+
+def repeats(values: Column) -> Column:
+    """The share of values in an array that it holds more than once; 0 for none. The array is sorted, so equal values are neighbours."""
+    same = lambda s: F.filter(s, lambda x, i: F.coalesce(x == F.get(s, i - 1), F.lit(False)) | F.coalesce(x == F.get(s, i + 1), F.lit(False)))
+    return let(F.array_sort(values), lambda s: share(F.size(same(s)), F.size(s)))
+
 
+def phrase_share(c: Column, stopwords: tuple[str, ...] = ()) -> Column:
+    """The share of the commonest word of two letters or more among all such words; 0 without any. A run of CJK characters is one word."""
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\p{L}{2,}"), F.lit(0))
+    found = F.filter(found, lambda w: ~w.isin(*stopwords)) if stopwords else found
+    return let(F.array_sort(found), lambda s: share(commonest(s), F.size(s)))
 
-def by_repeated_phrase(df: DataFrame, limit: float = 0.5, key: str = "doc_id", text: str = "text", stopwords: tuple[str, ...] = ()) -> DataFrame:
+
+def by_repeated_phrase(df: DataFrame, limit: float = 0.5, text: str = "text", stopwords: tuple[str, ...] = ()) -> DataFrame:
     """Keep texts in which no word reaches the limit; texts without such words stay."""
-    worst = phrase_shares(df, key, text, stopwords).filter(F.col("rate") >= limit)
-    return df.join(worst, key, "left_anti")
+    return df.filter(phrase_share(F.col(text), stopwords) < limit)
 
 
 def matcher(lexicon: tuple[str, ...]) -> ahocorasick.Automaton:
@@ -77,28 +88,25 @@ def matcher(lexicon: tuple[str, ...]) -> ahocorasick.Automaton:
 
 
 def lexicon_share(lexicon: tuple[str, ...], symbols: str = fixed.SPECIAL_CHARS + "\n\t\r"):
-    """A pandas UDF: characters in lexicon words among all that are no symbols; symbols inside a word are skipped."""
+    """A pandas UDF: characters in lexicon words among all that are no symbols; symbols inside a word are skipped. The matcher is built once a task."""
     @F.pandas_udf("double")
-    def measured(texts: pd.Series) -> pd.Series:
+    def measured(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         found, drop = matcher(lexicon), {ord(s): None for s in symbols}
 
         def one(text: str | None) -> float:
             plain = (text or "").translate(drop)
-            hit = 0
-            end = 0
-            for last, n in found.iter_long(plain) if len(found) and plain else ():
-                hit, end = hit + n, last
-            return hit / len(plain) if plain else 0.0
+            return sum(n for _, n in found.iter_long(plain)) / len(plain) if len(found) and plain else 0.0
 
-        return texts.map(one)
+        for texts in batches:
+            yield texts.map(one).astype(float)
 
     return measured
 
 
 def lexicon_masked(lexicon: tuple[str, ...], symbols: str = fixed.SPECIAL_CHARS):
-    """A pandas UDF: lexicon words, longest first and symbols between their characters included, become asterisks line by line."""
+    """A pandas UDF: lexicon words, longest first and symbols between their characters included, become asterisks line by line. The matcher is built once a task."""
     @F.pandas_udf("string")
-    def masked(texts: pd.Series) -> pd.Series:
+    def masked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         found, skip = matcher(lexicon), set(symbols)
 
         def line(s: str) -> str:
@@ -109,19 +117,27 @@ def lexicon_masked(lexicon: tuple[str, ...], symbols: str = fixed.SPECIAL_CHARS)
                 out[first : final + 1] = "*" * (final - first + 1)
             return "".join(out)
 
-        return texts.map(lambda t: None if t is None else "\n".join(map(line, t.split("\n"))))
+        for texts in batches:
+            yield texts.map(lambda t: None if t is None else "\n".join(map(line, t.split("\n"))))
 
     return masked
 
 
-def distinct_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = 5) -> DataFrame:
-    """Lines that a text repeats least times or more stay at their first place; blank lines and table tags are exempt."""
-    lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("at", "line")).withColumn("bare", F.trim("line"))
-    same = Window.partitionBy(key, "bare")
-    kept = lines.withColumns({"n": F.count(F.lit(1)).over(same), "turn": F.row_number().over(same.orderBy("at"))})
-    kept = kept.filter(F.col("bare").isin(*fixed.TABLE_LINES) | (F.col("n") < least) | (F.col("turn") == 1))
-    joined = kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("_text"))
-    return df.join(joined, key, "left").withColumn(text, F.coalesce("_text", text)).drop("_text")
+def distinct_lines(c: Column, least: int = 5) -> Column:
+    """Lines that a text repeats least times or more (stripped) stay at their first place, as they are; blank lines and table tags are exempt.
+
+    Within the row: lines are sorted by what they say and their place, so equal ones are neighbours.
+    """
+    def kept(s: Column) -> Column:
+        bare = lambda i: F.get(s, i)["bare"]
+        # among least neighbours that hold this one the first and the last are equal
+        often = lambda x, i: F.exists(F.sequence(F.lit(0), F.lit(least - 1)), lambda k: F.coalesce((bare(i - k) == x["bare"]) & (bare(i - k + least - 1) == x["bare"]), F.lit(False)))
+        again = lambda x, i: F.coalesce(bare(i - 1) == x["bare"], F.lit(False)) & ~x["bare"].isin(*fixed.TABLE_LINES)
+        some = F.filter(s, lambda x, i: ~(again(x, i) & often(x, i)))
+        return F.array_join(F.transform(F.array_sort(F.transform(some, lambda x: F.struct(x["at"], x["line"]))), lambda x: x["line"]), "\n")
+
+    lines = F.transform(F.split(c, "\n"), lambda line, i: F.struct(strip(line).alias("bare"), i.alias("at"), line.alias("line")))
+    return F.when(c.contains("\n"), let(F.array_sort(lines), kept)).otherwise(c)
 
 
 def alnum_share(c: Column) -> Column:
@@ -136,20 +152,16 @@ def longest_line(c: Column) -> Column:
     return F.array_max(F.transform(F.split(c, "\n"), lambda x: F.length(x)))
 
 
-def char_repetition(df: DataFrame, n: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and the share of runs of n characters that occur more than once in their text."""
-    runs = df.filter(F.length(text) >= n).select(key, text, F.explode(F.sequence(F.lit(1), F.length(text) - n + 1)).alias("at"))
-    counts = runs.select(key, F.substring(text, F.col("at"), F.lit(n)).alias("run")).groupBy(key, "run").agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy(key).agg((F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("rate"))
+def char_repetition(c: Column, n: int = 10) -> Column:
+    """The share of runs of n characters that a text holds more than once; 0 for shorter texts."""
+    runs = lambda chars: F.transform(F.sequence(F.lit(1), F.size(chars) - n + 1), lambda i: F.array_join(F.slice(chars, i, n), ""))
+    return F.when(F.length(c) >= n, let(F.split(c, ""), lambda chars: repeats(runs(chars)))).otherwise(0.0)
 
 
-def word_repetition(df: DataFrame, n: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and the share of runs of n words that occur more than once in their text."""
-    w = words(F.lower(text))
-    runs = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
-    listed = df.select(key, w.alias("w")).filter(F.size("w") >= n).select(key, F.explode(runs).alias("run"))
-    counts = listed.groupBy(key, "run").agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy(key).agg((F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("rate"))
+def word_repetition(c: Column, n: int = 5) -> Column:
+    """The share of runs of n words that a text holds more than once; 0 for texts of fewer words."""
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+    return let(words(F.lower(c)), lambda w: F.when(F.size(w) >= n, repeats(runs(w))).otherwise(0.0))
 
 
 def word_list_share(c: Column, listed: tuple[str, ...]) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,6 +18,11 @@ from ..functions.chars import char_class, range_class
 STRIP = r"[\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{STRIP}+|{STRIP}+\z", "")
 
@@ -27,12 +33,11 @@ def unicode_spaces(c: Column) -> Column:
 
 
 def extra_spaces(c: Column) -> Column:
-    """Runs of spaces and of blank lines become one; none stay between CJK characters and signs."""
-    near = rf"[\x{{4E00}}-\x{{9FA5}}{char_class(fixed.SPECIAL_CHARS)[1:-1]}]"
-    lines = F.transform(F.split(strip(unicode_spaces(c)), "\n"), strip)
-    text = F.regexp_replace(F.concat(F.lit("【"), F.array_join(lines, "\n"), F.lit("】")), " {2,}", " ")
-    text = F.regexp_replace(F.regexp_replace(text, rf"(?<={near}) +(?={near})", ""), "[ \n]{2,}", "\n")
-    return F.substring(text, F.lit(2), F.length(text) - 2)
+    """Runs of spaces and of blank lines become one; none stay between CJK characters and signs, as which the text's edges count."""
+    near = rf"\x{{4E00}}-\x{{9FA5}}{char_class(fixed.SPACELESS_CHARS)[1:-1]}"
+    lines = F.array_join(F.transform(F.split(strip(unicode_spaces(c)), "\n"), strip), "\n")
+    text = F.regexp_replace(F.regexp_replace(lines, " {2,}", " "), rf"(?<![^{near}]) +(?![^{near}])", "")
+    return F.regexp_replace(text, "[ \n]{2,}", "\n")
 
 
 def full_width(c: Column) -> Column:
@@ -67,34 +72,26 @@ def html_tags(c: Column, remove_tables: bool = False) -> Column:
 
 def legends(c: Column) -> Column:
     """Lines that caption a figure or table go."""
-    number = r"(?:[0-9]+(?:[.-][0-9]+)*|[a-zA-Z]{1,2}(?:[.-][0-9]+)*)"
-    english = r"(?:S?[0-9]+(?:[.-][0-9]+)*|[a-zA-Z]{1,2}[0-9]?(?:[.-][0-9]+)*)"
-    caption = rf"(?i)(?<=\n)(?:(?:图|表|图片|表格) *{number} +|(?:Figure|Table|Fig\.?) *{english}[.:]? +)[^\n]*\n"
-    text = F.regexp_replace(F.concat(F.lit("\n"), c, F.lit("\n")), caption, "")
-    return F.substring(text, F.lit(2), F.greatest(F.lit(0), F.length(text) - 2))
+    kinds = (f"{prefix} *{number}{end} +" for prefix, number, end in zip(fixed.LEGEND_PREFIXES, fixed.LEGEND_NUMBERS, ("", "[.:]?")))
+    text = F.regexp_replace(F.concat(F.lit("\n"), c, F.lit("\n")), rf"(?iuU)(?<=\n)(?:{'|'.join(kinds)})[^\n]*\n", "")
+    return let(text, lambda t: F.substring(t, F.lit(2), F.greatest(F.lit(0), F.length(t) - 2)))
 
 
-@F.pandas_udf(StringType())
-def contents_table(texts: pd.Series) -> pd.Series:
+def contents_table(c: Column) -> Column:
     """Drop a table of contents: its title line to the last line that looks like an entry, when three in a row don't."""
-    title = re.compile(r" *(目 *录|CONTENTS?) *$", re.I)
-    entry = re.compile(r" *(前言|About This Document|\d+(\.\d+)*|[a-zA-Z]+(\.\d+)*).*(\d|错误!未定义书签。|[IXV]+) *$|.*\.{7,}", re.I)
-
-    def cut(text: str | None) -> str | None:
-        if text is None or "\n" not in text:
-            return text
-        lines = text.split("\n")
-        begin = next((i for i, line in enumerate(lines) if title.match(line)), None)
-        if begin is None:
-            return text
-        last, misses = begin, 0
-        for i in range(begin + 1, len(lines)):
-            if misses == 3:
-                break
-            last, misses = (i, 0) if entry.match(lines[i]) else (last, misses + 1)
-        return "\n".join(lines[:begin] + lines[last + 1 :]) if last > begin else text
-
-    return texts.map(cut)
+    title, entry = (F.lit("(?siuU)" + p) for p in (fixed.CONTENTS_TITLE, f"{fixed.CONTENTS_PREFACE}.*{fixed.CONTENTS_END}|{fixed.CONTENTS_MIDDLE}"))
+
+    def step(acc: Column, line: Column) -> Column:
+        """begin: lines before the title, at: lines seen, last: lines up to the last entry; three misses end the table."""
+        open_, hit = (acc["begin"] >= 0) & (acc["misses"] < 3), F.rlike(line, entry)
+        begin = F.when((acc["begin"] < 0) & F.rlike(line, title), acc["at"]).otherwise(acc["begin"])
+        return F.struct(begin.alias("begin"), (acc["at"] + 1).alias("at"), F.when(open_ & hit, acc["at"] + 1).otherwise(acc["last"]).alias("last"), F.when(open_ & ~hit, acc["misses"] + 1).when(open_, 0).otherwise(acc["misses"]).alias("misses"))
+
+    def cut(lines: Column) -> Column:
+        found = F.aggregate(lines, F.struct(F.lit(-1).alias("begin"), F.lit(0).alias("at"), F.lit(-1).alias("last"), F.lit(0).alias("misses")), step)
+        return let(found, lambda f: F.when(f["last"] >= 0, F.array_join(F.filter(lines, lambda _, i: (i < f["begin"]) | (i >= f["last"])), "\n")).otherwise(c))
+
+    return F.when(F.rlike(c, F.lit("(?miuU)" + fixed.CONTENTS_TITLE)), let(F.split(c, "\n"), cut)).otherwise(c)
 
 
 @F.pandas_udf(StringType())
@@ -139,11 +136,15 @@ def links(c: Column) -> Column:
     return F.regexp_replace(c, r"(?:https?|ftp)://[^\s]+", "")
 
 
+#: Entities that are decoded, the ampersand last.
+ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "copy": "©", "reg": "®", "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "amp": "&"}
+
+
 def html_text(c: Column) -> Column:
     """HTML as plain text: scripts, styles and comments go with their content, blocks end lines, entities are decoded."""
     text = F.regexp_replace(c, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", "")
     text = F.regexp_replace(F.regexp_replace(text, r"(?i)<(?:br|/p|/div|/li|/tr|/h[1-6])\b[^>]*>", "\n"), r"<[^>]*>", "")
-    for name, char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("amp", "&")):
+    for name, char in ENTITIES.items():
         text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
     return strip(F.regexp_replace(text, "\n\\s*\n", "\n"))
 
@@ -236,3 +237,12 @@ def tex_macros(texts: pd.Series) -> pd.Series:
         return text
 
     return texts.map(expand)
+
+
+def unicode_form(form: str = "NFC"):
+    """A pandas UDF: texts in a Unicode normal form."""
+    @F.pandas_udf(StringType())
+    def normal(texts: pd.Series) -> pd.Series:
+        return texts.str.normalize(form)
+
+    return normal

@@ -30,6 +30,34 @@ def bm25(df: DataFrame, query: str, key: str = "doc_id", text: str = "text", k1:
     return scored.groupBy(key).agg(F.sum(part).alias("score"))
 
 
+def okapi(df: DataFrame, query: str, key: str = "doc_id", text: str = "text", k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
+    """key and Okapi score of every document that holds a query term; idf = ln(N - n + 0.5) - ln(n + 0.5), a negative one becomes floor times the mean idf of all terms.
+
+    Terms are counted in each document first; the terms' document frequencies are one shuffle of distinct terms a task.
+    """
+    wanted = sorted(set(query.lower().split()))
+    t = df.select(key, terms(F.col(text)).alias("t"))
+    whole = t.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("t")).alias("mean"))
+    every = t.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    idf = F.log(F.col("docs") - F.col("n") + 0.5) - F.log(F.col("n") + 0.5)
+    weights = every.join(whole).select("term", idf.alias("idf"))
+    low = weights.agg((floor * F.avg("idf")).alias("low"))
+    hits = t.select(key, F.size("t").alias("len"), F.explode(F.filter("t", lambda x: x.isin(*wanted))).alias("term")).groupBy(key, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    scored = hits.join(weights.filter(F.col("term").isin(*wanted)), "term").join(whole).join(low)
+    part = F.when(F.col("idf") >= 0, F.col("idf")).otherwise(F.col("low")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
+    return scored.groupBy(key).agg(F.sum(part).alias("score"))
+
+
+def keywords(df: DataFrame, k: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, place, term, score) of each text's k terms of largest tf * ln(N / n); ties by term."""
+    counts = df.select(key, F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    often = counts.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    docs = df.agg(F.count(F.lit(1)).alias("docs"))
+    scored = counts.join(often, "term").join(docs).select(key, "term", F.round(F.col("tf") * F.log(F.col("docs") / F.col("n")), 6).alias("score"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "term"))
+    return scored.withColumn("place", place).filter(F.col("place") <= k)
+
+
 def okapi_scores(texts: list[list[str]], k1: float = 1.5, b: float = 0.75) -> Callable[[int, int], float]:
     """score(i, j) of text j for the words of text i, among a few texts; negative idf becomes a quarter of the mean idf."""
     counts = [Counter(t) for t in texts]
@@ -56,6 +84,12 @@ def nearest(df: DataFrame, query: list[float], key: str = "vec_id", vector: str
     return df.select(key, cosine(F.col(vector), F.array(*(F.lit(float(x)) for x in query))).alias("score"))
 
 
+def mean_similarity(vector: Column, probes: list[list[float]]) -> Column:
+    """The mean cosine of a vector with all probes (a validation set of few vectors)."""
+    each = [cosine(vector, F.array(*(F.lit(float(x)) for x in p))) for p in probes]
+    return sum(each[1:], each[0]) / len(each)
+
+
 def top(df: DataFrame, k: int, key: str) -> DataFrame:
     return df.orderBy(F.desc("score"), key).limit(k)
 

@@ -124,23 +124,75 @@ def lineage(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return found.toDF("id", "graph_id")
 
 
-def ratio_mix(files: DataFrame, counts: dict[str, int], status: str | None = "ACTIVE", seed: str = "7", source: str = "dataset_id", key: str = "id", path: str = "file_path") -> DataFrame:
-    """At most counts[dataset] eligible files of each dataset by seeded md5, datasets in the order given; a path that an earlier one took is not replaced."""
+def ratio_mix(files: DataFrame, counts: dict[str, int], status: str | None = "ACTIVE", seed: str = "7", source: str = "dataset_id", key: str = "id", path: str = "file_path", also: Column | None = None) -> DataFrame:
+    """At most counts[dataset] eligible files of each dataset by seeded md5, datasets in the order given; a path that an earlier one took is not replaced.
+
+    also: a further condition on files (eligible makes one). Counts must be there and positive.
+    """
     from ..operators.select import per_source
 
-    chosen = per_source(files, source, counts, key, seed, None if status is None else F.col("status") == status)
+    if not counts or any(n < 1 for n in counts.values()):
+        raise ValueError("counts must be positive")
+    ok = (F.lit(True) if status is None else F.col("status") == status) & (F.lit(True) if also is None else also)
+    chosen = per_source(files, source, counts, key, seed, ok)
     place = F.create_map(*(x for i, s in enumerate(counts) for x in (F.lit(s), F.lit(i))))
     once = Window.partitionBy(path).orderBy(F.element_at(place, F.col(source)), key)
     return chosen.withColumn("_turn", F.row_number().over(once)).filter("_turn = 1").drop("_turn")
 
 
+def eligible(date_range: tuple[str, str] | None = None, label: str | None = None, value: str | None = None, updated: str = "tags_updated_at", tags: str = "tags") -> Column:
+    """Files a mix may take: updated within the range (a missing time passes), and with a tag of the label and value where these are given."""
+    ok = F.lit(True)
+    if date_range:
+        ok = F.col(updated).isNull() | F.col(updated).cast("timestamp").between(*(F.lit(d).cast("timestamp") for d in date_range))
+    if label or value:
+        ok = ok & F.coalesce(F.exists(flat_tags(F.col(tags)), lambda t: (F.lit(not label) | (t["label"] == (label or ""))) & (F.lit(not value) | (t["value"] == (value or "")))), F.lit(False))
+    return ok
+
+
+def unique_names(df: DataFrame, folder: str, name: str, order: str) -> DataFrame:
+    """Names made unique within their folder: stem_1.ext, stem_2.ext and so on after the first in order."""
+    turn = F.row_number().over(Window.partitionBy(folder, name).orderBy(order)) - 1
+    stem, ext = F.regexp_extract(name, r"(?s)^(.+?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"(?s)^(.+?)(\.[^.]*)?$", 2)
+    return df.withColumn("_turn", turn).withColumn(name, F.when(F.col("_turn") > 0, F.concat(stem, F.lit("_"), F.col("_turn").cast("string"), ext)).otherwise(F.col(name))).drop("_turn")
+
+
+def placed(df: DataFrame, first: Column, name: str, out: str = "place") -> DataFrame:
+    """Number rows from 1, those with first before the others, then by name, without sorting all in one task.
+
+    Rows are counted by the first three characters of the name; a running sum over these few counts tells where
+    each such group begins, and only within groups are rows sorted.
+    """
+    rows = df.withColumns({"_last": ~first, "_head": F.substring(name, 1, 3)})
+    group = Window.orderBy("_last", "_head").rowsBetween(Window.unboundedPreceding, -1)
+    begins = rows.groupBy("_last", "_head").agg(F.count(F.lit(1)).alias("_n")).withColumn("_off", F.coalesce(F.sum("_n").over(group), F.lit(0))).drop("_n")
+    within = Window.partitionBy("_last", "_head").orderBy(name)
+    return rows.join(begins, ["_last", "_head"]).withColumn(out, (F.col("_off") + F.row_number().over(within)).cast("int")).drop("_last", "_head", "_off")
+
+
+def bounding(points: DataFrame, key: str, x: str, y: str) -> DataFrame:
+    """The box around each polygon's points."""
+    return points.groupBy(key).agg(F.min(x).alias("left"), F.min(y).alias("top"), F.max(x).alias("right"), F.max(y).alias("bottom"))
+
+
+def parsed_questions(answer: Column, most: int = 0) -> Column:
+    """The questions of a model's answer: the JSON array of strings between its first and last bracket, blank ones left out; none where there is no such array."""
+    found = F.coalesce(F.from_json(F.regexp_extract(answer, r"(?s)\[.*\]", 0), "array<string>"), F.array().cast("array<string>"))
+    kept = F.filter(F.transform(found, lambda q: F.trim(q)), lambda q: F.length(q) > 0)
+    return F.slice(kept, 1, most) if most else kept
+
+
 def alpaca(question: Column, answer: Column) -> Column:
     return F.to_json(F.struct(question.alias("instruction"), answer.alias("output")))
 
 
-def sharegpt(question: Column, answer: Column) -> Column:
+def sharegpt(question: Column, answer: Column, context: Column | None = None) -> Column:
+    """A conversation of two turns, after a system turn where there is a context."""
     turn = lambda who, text: F.struct(F.lit(who).alias("from"), text.alias("value"))
-    return F.to_json(F.struct(F.array(turn("human", question), turn("gpt", answer)).alias("conversations")))
+    turns = F.array(turn("human", question), turn("gpt", answer))
+    if context is not None:
+        turns = F.when(F.length(context) > 0, F.concat(F.array(turn("system", context)), turns)).otherwise(turns)
+    return F.to_json(F.struct(turns.alias("conversations")))
 
 
 def question_count(chunk: Column, per_thousand: int = 5) -> Column:

@@ -5,11 +5,16 @@ from __future__ import annotations
 import base64
 import tarfile
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.catalog import unique_names
+
 MANIFEST = "fileId string, fileName string, filePath string, fileType string, fileSize long, metadata string"
 
 
@@ -64,6 +69,18 @@ def questions(spark: SparkSession, path: str, chain: bool = False) -> DataFrame:
     return df.filter(" AND ".join(f"{n} IS NOT NULL" for n in need))
 
 
+def question_document(spark: SparkSession, path: str, chain: bool = False) -> DataFrame:
+    """Instruction records of whole JSON documents (an array or one object each), checked as a whole: a record without the needed keys stops the read."""
+    fields = ("question", "instruction", "output", "chain_of_thought") if chain else ("instruction", "input", "output")
+    need = ("question", "instruction", "output") if chain else ("instruction", "output")
+    df = spark.read.schema(", ".join(f"{f} string" for f in fields)).json(path, mode="FAILFAST", multiLine=True)
+    whole = F.lit(True)
+    for n in need:
+        whole = whole & F.col(n).isNotNull()
+    checked = F.when(whole, F.col(need[0])).otherwise(F.raise_error(F.concat(F.lit(f"a record lacks one of {', '.join(need)}: "), F.to_json(F.struct(*fields)))))
+    return df.withColumn(need[0], checked)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
@@ -74,9 +91,26 @@ def write_lines(df: DataFrame, path: str) -> None:
         df.write.mode("overwrite").json(path)
 
 
-def export_texts(df: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Texts as one-row text files below path, in a folder for each key."""
-    df.select(F.col(key).cast("string").alias("id"), "text").write.mode("overwrite").partitionBy("id").text(path, lineSep="\n")
+def export_files(df: DataFrame, folder: str, name: str = "fileName", value: str = "text", kind: str | None = None) -> DataFrame:
+    """Write every row's text (or bytes) to a file of its own in a folder and return name, path and size of each.
+
+    The folder is any that pyarrow can open: a mounted one (NFS, GlusterFS), s3:// or hdfs://. kind: the files' new
+    extension. Equal names become stem_1.ext, stem_2.ext and so on. A task that is run again writes the same files.
+    """
+    ends = F.regexp_replace(F.col(name), r"(?s)^(.+?)(?:\.[^.]*)?$", f"$1.{kind}") if kind else F.col(name)
+    rows = df.select(ends.alias("name"), F.col(value).alias("value"), F.sha2(F.col(value).cast("binary"), 256).alias("by"), F.lit("").alias("folder"))
+    rows = unique_names(rows, "folder", "name", "by").select("name", F.col("value").cast("binary").alias("value"))
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, base = fs.FileSystem.from_uri(folder)
+        files.create_dir(base, recursive=True)
+        for frame in frames:
+            for n, v in zip(frame["name"], frame["value"]):
+                with files.open_output_stream(f"{base}/{n}") as f:
+                    f.write(v or b"")
+            yield pd.DataFrame({"name": frame["name"], "path": [f"{folder.rstrip('/')}/{n}" for n in frame["name"]], "size": [len(v or b"") for v in frame["value"]]})
+
+    return rows.mapInPandas(write, "name string, path string, size long")
 
 
 def unpack(archive: str, to: str) -> list[str]:

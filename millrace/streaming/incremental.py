@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import dedup
+
 
 def collect(spark: SparkSession, path: str, schema: str, to: str, state: str, form: str = "parquet") -> StreamingQuery:
     """Move what is new in a folder to a table and stop: run again, it goes on where it ended."""
@@ -22,3 +25,21 @@ def counts(stream: DataFrame, time: str, width: str, delay: str, *keys: str) ->
     """Rows and sums of value by window and keys; late rows count up to the delay."""
     grouped = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).groupBy(F.window(time, width).alias("w"), *keys)
     return grouped.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), *keys, "n", "total")
+
+
+def near_new(stream: DataFrame, known: str, state: str, limit: float = 0.5, key: str = "doc_id") -> StreamingQuery:
+    """Add to the table at known what is not like a document that it holds, batch by batch; keys must rise with arrival.
+
+    A batch and the documents known are resolved together, those known first, as dedup.greedy_kept resolves a table.
+    A batch that is run again finds its own documents there and adds none twice.
+    """
+    def add(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        try:
+            old = spark.read.parquet(known)
+        except AnalysisException:
+            old = batch.limit(0)
+        new = batch.join(old.select(key), key, "left_anti")
+        dedup.greedy_kept(old.unionByName(new), limit, key).join(old.select(key), key, "left_anti").checkpoint().write.mode("append").parquet(known)
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", state).trigger(availableNow=True).start()

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.plans import catalog, registered
+from millrace.plans.asking import asked
 from millrace.plans.pipeline import REGISTRY, Operator, Pipeline, check, guarded
 
 
@@ -27,6 +28,43 @@ def test_pipeline_fuses_and_reports(spark):
     assert {r.doc_id: r.status for r in chain.results(rows, after).collect()} == {1: "FILTERED", 2: "COMPLETED", 3: "FILTERED"}
 
 
+def test_chain_keeps_failed_rows(spark):
+    rows = spark.createDataFrame([(1, "<a>"), (2, "<a>a value</a>"), (3, ""), (4, "<a>1</a>")], "doc_id long, text string")
+    chain = Pipeline([("xml_values", {}), ("unicode_spaces", {}), ("by_length", {"least": 6})])
+    after = chain.transform(rows)
+    assert {r.doc_id: (r.text, r.failed_reason and r.failed_reason.op_name) for r in after.collect()} == {1: ("", "xml_values"), 2: ("a: a value", None)}
+    assert {r.doc_id: r.status for r in chain.results(rows, after).collect()} == {1: "FAILED", 2: "COMPLETED", 3: "FILTERED", 4: "FILTERED"}
+
+
+def test_chain_computes_texts_once(spark):
+    rows = spark.createDataFrame([(1, "a text of some length")], "doc_id long, text string")
+    plan = Pipeline([("punctuation", {}), ("urls", {}), ("by_length", {})]).transform(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<url>") == 1
+
+
+def test_asking(spark):
+    def client():
+        def answer(prompts):
+            if "bad" in prompts:
+                raise ValueError("no")
+            return [p.upper() if p != "none" else None for p in prompts]
+
+        return answer
+
+    rows = spark.createDataFrame([(1, "a"), (2, "bad"), (3, None), (4, "none"), (5, "b")], "id int, q string")
+    got = {r.id: (r.answer, r.failed_reason and r.failed_reason.reason) for r in asked(rows, F.col("q"), client).collect()}
+    assert got == {1: ("A", None), 2: (None, "ValueError('no')"), 3: (None, None), 4: (None, "no answer"), 5: ("B", None)}
+
+
+def test_eligible_files(spark):
+    tags = json.dumps([{"from_name": "topic", "to_name": "t", "type": "Choices", "values": {"choices": ["mills"]}}])
+    rows = spark.createDataFrame([(1, "2024-01-05", tags), (2, None, tags), (3, "2023-01-01", tags), (4, None, None)], "id int, tags_updated_at string, tags string").withColumn("tags_updated_at", F.col("tags_updated_at").cast("timestamp"))
+    ids = lambda **k: {r.id for r in rows.filter(catalog.eligible(**k)).collect()}
+    assert ids(date_range=("2024-01-01", "2024-02-01")) == {1, 2, 4} and ids(label="topic", value="mills") == {1, 2, 3} and ids(label="topic") == {1, 2, 3} and ids(value="x") == set()
+    with pytest.raises(ValueError):
+        catalog.ratio_mix(rows, {})
+
+
 def test_guarded_keeps_failed_rows(spark):
     rows = spark.createDataFrame([(1, "<a>"), (2, "<a>1</a>")], "doc_id long, text string")
     from millrace.operators.normalize import xml_values

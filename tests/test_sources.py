@@ -8,6 +8,7 @@ import pytest
 
 from millrace.sources import files
 from millrace.sources.api import ApiSource
+from millrace.sources.jobs import Job
 from millrace.streaming import incremental
 
 
@@ -38,6 +39,34 @@ def test_questions_skip_incomplete_lines(spark, tmp_path):
         files.questions(spark, str(tmp_path / "bad.jsonl")).collect()
 
 
+def test_question_documents_are_checked_as_a_whole(spark, tmp_path):
+    (tmp_path / "q.json").write_text(json.dumps([{"instruction": "q", "output": "a"}, {"instruction": "r", "output": "b"}], indent=1))
+    assert files.question_document(spark, str(tmp_path / "q.json")).count() == 2
+    (tmp_path / "bad.json").write_text(json.dumps([{"instruction": "q", "output": "a"}, {"instruction": "q"}]))
+    with pytest.raises(Exception, match="lacks"):
+        files.question_document(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_job_exports_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a.md", "one"), ("a.md", "two"), ("b", "three")], "fileName string, text string")
+    rows.write.parquet(str(tmp_path / "in"))
+    spec = {"reader": {"name": "parquet", "options": {"path": str(tmp_path / "in")}}, "writer": {"name": "nfs", "options": {"folder": f"file://{tmp_path}/out", "kind": "txt"}}, "steps": [["unicode_spaces", {}]]}
+    Job.parse(json.dumps(spec)).run(spark)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.txt", "a_1.txt", "b.txt"]
+    assert {(tmp_path / "out" / n).read_text() for n in ("a.txt", "a_1.txt")} == {"one", "two"}
+    with pytest.raises(ValueError):
+        Job.parse(json.dumps(spec | {"writer": {"name": "fax"}}))
+
+
+def test_near_new_documents(spark, tmp_path):
+    text = lambda *x: "。".join(x)
+    for part, rows in enumerate(([(1, text("a", "b", "c")), (2, text("a", "b", "c", "d")), (3, "z")], [(4, text("a", "b", "c", "e")), (5, "y")])):
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in"))
+        incremental.near_new(stream, str(tmp_path / "known"), str(tmp_path / "state")).awaitTermination()
+        assert {r.doc_id for r in spark.read.parquet(str(tmp_path / "known")).collect()} == ({1, 3}, {1, 3, 5})[part]
+
+
 def test_archives(tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("d/x.txt", "x")
