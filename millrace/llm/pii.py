@@ -22,17 +22,20 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: High-recall generators: what people write instead. They overlap each other and the base spans.
-WIDE = {
-    "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]{1,64}\x20?(?:@|[(\[]at[)\]])\x20?[\p{L}0-9-]{1,63}(?:\x20?(?:\.|[(\[]dot[)\]])\x20?[\p{L}0-9-]{1,63}){1,8}",
-    "ip": r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])|(?<![0-9.])[0-9]{1,3}(?:\x20?\.\x20?[0-9]{1,3}){3}(?![0-9.])",
-    "card": r"(?<![0-9])[0-9]{4}(?:[\x20./-]?[0-9]{4}){2}[\x20./-]?[0-9]{1,7}(?![0-9])",
-    "phone": r"(?<![0-9])\(?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{3,4}[\x20./-][0-9]{3,4}(?![0-9])",
-}
+#: High-recall generators: what people write instead. They overlap each other and the base spans; of spans of which one
+#: holds the other the longer is chosen. Local parts and labels of any length; the 127 labels of a domain name and the
+#: digits of an address part, a card or a number's groups are what these formats allow, not cuts.
+WIDE = (
+    ("email", r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++\x20?(?:@|[(\[]at[)\]])\x20?[\p{L}0-9-]++(?:\x20?(?:\.|[(\[]dot[)\]])\x20?[\p{L}0-9-]++){1,126}"),
+    ("ip", r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])|(?<![0-9.])[0-9]{1,3}(?:\x20?\.\x20?[0-9]{1,3}){3}(?![0-9.])"),
+    ("card", r"(?<![0-9])[0-9]{4}(?:[\x20./-]?[0-9]{4}){2}[\x20./-]?[0-9]{1,7}(?![0-9])"),
+    ("phone", r"(?<![0-9])\(?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{3,4}[\x20./-][0-9]{3,4}(?![0-9])"),
+    ("phone", r"\+[0-9]{1,3}[\x20./-]{0,2}\(?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{3,4}[\x20./-][0-9]{3,4}(?![0-9])"),
+)
 SPAN = "array<struct<start:int,end:int,hit:string>>"
 #: Small integers each candidate is described by; the trees split on them.
 FEATURES = ("kind", "digits", "letters", "marks", "length", "spaces", "before", "after", "luhn", "big_part", "cue")
-ROUNDS, RATE, CHUNK = 12, 0.4, 256
+ROUNDS, RATE, CHUNK = 8, 0.6, 256
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -111,7 +114,7 @@ def with_spans(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
         return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end"), s["hit"].alias("hit"), (passes(kind, s["hit"]) if ok is None else ok).alias("ok")))
 
     raw = F.concat(*(tagged(k, only(some[k], spans(text, p))) for k, p in BASE.items()))
-    wide = F.concat(*(tagged(k, only(wide_some[k], spans(text, p)), F.lit(False)) for k, p in WIDE.items()))
+    wide = F.concat(*(tagged(k, only(some["phone"] if p.startswith(r"\+") else wide_some[k], spans(text, p)), F.lit(False)) for k, p in WIDE))
     return rows.withColumn("_raw", raw).withColumn("_wide", wide)
 
 
@@ -129,7 +132,8 @@ def described(text: Column, raw: Column, wide: Column) -> Column:
 
     A failed match tells of a candidate only if it holds the candidate and the same digits: the base pattern then
     judged the same number. Matches of a part of it, or of a longer run, and failures of other kinds say nothing.
-    Features leave out the plus that base phones begin with, as no candidate of another format could have it.
+    The plus that base phones begin with is hidden from the features, and a phone without its country's code is a
+    candidate of its own, so that what is learnt from base phones holds for those written without either.
     """
     def one(s: Column) -> Column:
         hit = s["hit"]
@@ -141,8 +145,8 @@ def described(text: Column, raw: Column, wide: Column) -> Column:
             "kind": s["kind"],
             "digits": cap(count("[0-9]"), 20),
             "letters": cap(count(r"\p{L}"), 15),
-            "marks": cap(count(r"[^\p{L}0-9\s]"), 8),
-            "length": cap(F.floor(F.length(hit) / 4).cast("int"), 15),
+            "marks": cap(count(r"[^\p{L}0-9\s+]"), 8),
+            "length": cap(F.floor(F.length(F.replace(hit, F.lit("+"), F.lit(""))) / 4).cast("int"), 15),
             "spaces": cap(count(r"\s"), 8),
             "before": char_class(F.when(ahead(1) == "+", ahead(2)).otherwise(ahead(1))),
             "after": char_class(F.substring(text, s["end"] + 1, F.lit(1))),
@@ -169,7 +173,7 @@ def tree_score(trees: list[tuple], value: Callable[[str], Column]) -> Column:
 
 
 def boost(combos: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> list[tuple]:
-    """Newton boosting of depth-two trees for the logistic loss over counted feature combinations (FEATURES, label, n).
+    """Newton boosting of depth-two trees for the logistic loss over counted feature combinations (FEATURES, label, held, n), but those held out.
 
     A round sums gradients by feature and value in Spark, once for the root and once for its two sides; the driver
     picks splits from at most the sum of the features' values.
@@ -179,7 +183,7 @@ def boost(combos: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> list[t
 
     def sums(side: Column) -> dict[int, dict[str, list[tuple]]]:
         p = 1 / (1 + F.exp(-tree_score(trees, F.col)))
-        rows = combos.select(side.alias("side"), (F.col("n") * (F.col("label") - p)).alias("g"), (F.col("n") * p * (1 - p)).alias("h"), long.alias("x")).groupBy("side", "x").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+        rows = combos.filter("NOT held").select(side.alias("side"), (F.col("n") * (F.col("label") - p)).alias("g"), (F.col("n") * p * (1 - p)).alias("h"), long.alias("x")).groupBy("side", "x").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
         out: dict = {}
         for r in sorted(rows.collect(), key=lambda r: (r.x.feature, r.x.value)):
             out.setdefault(r.side, {}).setdefault(r.x.feature, []).append((r.x.value, r.g, r.h))
@@ -206,11 +210,12 @@ def boost(combos: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> list[t
 
 
 def thresholds(combos: DataFrame, trees: list[tuple], precision: float) -> dict[int, float]:
-    """For each kind the lowest score from which on the labelled candidates are right with at least this precision.
+    """For each kind the lowest score from which on labelled candidates that the trees have not seen are right with at least this precision.
 
-    Scores are cut into tenths; a bin's precision counts one wrong candidate besides those seen.
+    Scores are cut into tenths; a bin's precision counts one wrong candidate besides those seen, so a kind needs about
+    1 / (1 - precision) right ones before any of it is added.
     """
-    rows = combos.select("kind", F.floor(tree_score(trees, F.col) * 10).alias("bin"), (F.col("n") * F.col("label")).alias("good"), "n").groupBy("kind", "bin").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).collect()
+    rows = combos.filter("held").select("kind", F.floor(tree_score(trees, F.col) * 10).alias("bin"), (F.col("n") * F.col("label")).alias("good"), "n").groupBy("kind", "bin").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).collect()
     out = {}
     for k in range(len(KINDS)):
         good = all_ = 0
@@ -226,13 +231,15 @@ def find_personal_data(spark: SparkSession, docs: DataFrame, precision: float =
 
     Base spans are the fixed patterns'. Extra ones are candidates of the wide generators that the base patterns
     have not judged (described) and that score above their kind's threshold; one inside a longer one is left out.
-    The trees learn from candidates that were judged. All candidates of all texts are counted, as combinations of
-    small features. An empty table gives no rows; repeated rows a row each.
+    The trees learn from judged candidates of one half of the texts (by a hash), thresholds are set on those of the
+    other half. All candidates of all texts are counted, as combinations of small features. Nothing is added where
+    no candidate was judged wrong, or too few right. Null texts are empty; an empty table gives no rows; repeated
+    rows a row each; other columns are ignored.
     """
     scratch = Scratch(spark)
     found = with_spans(docs, ())
-    counted = found.filter(F.size("_wide") > 0).select(F.explode(described(F.col("_text"), F.col("_raw"), F.col("_wide"))).alias("c")).select("c.*").filter("label IS NOT NULL")
-    combos = scratch.table(counted.groupBy(*FEATURES, "label").agg(F.count(F.lit(1)).alias("n"))).coalesce(1).cache()
+    counted = found.filter(F.size("_wide") > 0).select((F.pmod(F.xxhash64("_text"), F.lit(2)) == 0).alias("held"), F.explode(described(F.col("_text"), F.col("_raw"), F.col("_wide"))).alias("c")).select("held", "c.*").filter("label IS NOT NULL")
+    combos = scratch.table(counted.groupBy(*FEATURES, "label", "held").agg(F.count(F.lit(1)).alias("n"))).cache()
     labels = {r.label for r in combos.select("label").distinct().collect()}
     trees = boost(combos) if labels == {0, 1} else []
     limits = thresholds(combos, trees, precision) if trees else {}
@@ -261,7 +268,8 @@ def report(found: DataFrame) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long").alias(f"n_{KINDS[i]}")
 
     counts = [count(i) for i in range(len(KINDS))]
-    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.array_sort(F.concat("base", "extra"))).alias("spans"))
+    both = F.concat("base", "extra")
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.array_sort(both)).alias("spans"), F.size("extra").cast("long").alias("n_added"), F.size(both).cast("long").alias("n_spans"))
 
 
 def redacted(text: Column, found: Column) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.registered import spread
 from .common import WORD
 from .embed_dups import similar_vectors
 from .langid import identify_language
@@ -20,7 +21,7 @@ from .sharding import shard_documents
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op1_hpy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
