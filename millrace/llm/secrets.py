@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -20,14 +20,21 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so shorter ones cannot hide longer ones
 KINDS = ("assign", "access", "hex", "random")
 WORDS = ("password", "passwd", "secret", "token", "api")
-#: Candidates are maximal runs of these bytes, at least MIN_RUN long.
+#: Candidates are maximal runs of letters, digits and + / _ =, of MIN_RUN bytes at least: with fewer, chi-squared cells
+#: would expect less than one symbol each, and the test says nothing.
 MIN_RUN = 16
 _RUN = np.zeros(256, dtype=bool)
 _RUN[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_="]] = True
-_LETTER = _RUN.copy()
-_LETTER[[*b"0123456789+/_="]] = False
-#: Length bands of the false-discovery control: from each length up to the next.
-BANDS = (16, 20, 24, 28, 32, 40, 48, 64, 96)
+_DIGIT = np.zeros(256, dtype=bool)
+_DIGIT[[*b"0123456789"]] = True
+_LETTER = _RUN & ~_DIGIT
+_LETTER[[*b"+/_="]] = False
+#: Encodings a run may be in, by what it holds: digits; hexadecimal; digits and letters of one case; letters of one case;
+#: letters of both; digits and letters of both; any of these and marks.
+ENCODINGS = ("digits", "hex", "base36", "letters", "both cases", "base62", "base64")
+SIZES = np.array([10, 16, 36, 26, 52, 62, 66])
+#: Lengths that have a null of their own: every one up to 64, then coarser.
+BANDS = (*range(16, 65), 72, 80, 96, 128, 192)
 #: Scores are 20 * -log10(p), cut at BINS - 1: bin 0 is perfectly random.
 BINS = 400
 
@@ -53,11 +60,11 @@ def log_sf_normal(z: np.ndarray) -> np.ndarray:
 
 
 def battery(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(-log10 p, has letters and digits) of every run, p for "drawn uniformly from its alphabet".
+    """(-log10 p, place of the encoding) of every run, p for "drawn uniformly from its alphabet".
 
-    The encoding is inferred from the bytes seen: digits, lower or upper hex, 32 or 36 symbols of one case, 62 or
-    64 of both. Tests: chi-squared uniformity of the alphabet in up to 16 equal cells (Wilson-Hilferty), runs
-    above and below the alphabet's middle, and lag-one serial correlation; the smallest p counts three times.
+    The encoding is inferred from the bytes seen. Tests: chi-squared uniformity of its alphabet in up to 16 equal cells
+    (Wilson-Hilferty), runs above and below the alphabet's middle, and lag-one serial correlation; the smallest p
+    counts three times.
     """
     n = (ends - starts).astype(float)
     row = np.repeat(np.arange(len(starts)), ends - starts)
@@ -66,13 +73,10 @@ def battery(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     some = lambda on: np.bincount(row[on], minlength=len(starts)) > 0
     digit, low, up, mark = some(sym < 10), some((sym >= 10) & (sym < 36)), some((sym >= 36) & (sym < 62)), some(sym >= 62)
     past_f = some(((sym >= 16) & (sym < 36)) | (sym >= 42))
-    hexed = digit & ~past_f & ~(low & up)
-    one_case = ~(low & up) & ~mark
-    size = np.where(~low & ~up & ~mark, 10, np.where(hexed, 16, np.where(one_case & digit, 36, np.where(one_case, 26, np.where(mark, 66, np.where(digit, 62, 52)))))).astype(float)
+    encoding = np.where(mark, 6, np.where(low & up, np.where(digit, 5, 4), np.where(~digit, 3, np.where(low | up, np.where(past_f, 2, 1), 0))))
+    size = SIZES[encoding].astype(float)
     # symbols counted from 0 within the alphabet that was inferred
-    less_up = np.where(one_case & up, 26, 0)[row]
-    less_digit = np.where(digit | mark, 0, 10)[row]
-    rank = sym - np.where(sym >= 36, less_up, 0) - less_digit
+    rank = sym - np.where(up & ~low & ~mark, 26, 0)[row] * (sym >= 36) - np.where(digit | mark, 0, 10)[row]
     cells = np.minimum(16, size)
     cell = (rank * (cells / size)[row]).astype(np.int64)
     # cells hold unequal numbers of symbols where the alphabet is no multiple of 16
@@ -93,7 +97,7 @@ def battery(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     serial = np.bincount(row[1:][same], weights=(x[1:] * x[:-1])[same], minlength=len(starts))
     z_serial = np.abs(serial) / (var * np.sqrt(n - 1))
     worst = np.minimum(log_sf_normal(z_chi), np.log10(2) + np.minimum(log_sf_normal(z_runs), log_sf_normal(z_serial)))
-    return np.maximum(0, -worst - np.log10(3)), digit & (low | up)
+    return np.maximum(0, -worst - np.log10(3)), encoding
 
 
 def _runs(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,12 +106,23 @@ def _runs(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[long], ends[long]
 
 
-def written(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What secrets must be told from: the letters of written text without what is between them, dealt into runs of every band's length in turn."""
-    letters = data[_LETTER[data]]
-    lengths = np.tile(BANDS, len(letters) // sum(BANDS))
+def written(off: np.ndarray, data: np.ndarray, digits: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What secrets must be told from, dealt into runs of every band's length in turn.
+
+    Either the letters (in one case) of whatever is no candidate, without what is between them, or all digits: those
+    of long numbers too, as account and card numbers look random without being secret.
+    """
+    ordinary = (_DIGIT if digits else _LETTER)[data]
+    if not digits:
+        depth = np.zeros(len(data) + 1, dtype=np.int64)
+        for place, by in zip(_runs(off, data), (1, -1)):
+            depth[place] += by
+        ordinary &= np.cumsum(depth[:-1]) == 0
+    symbols = data[ordinary] if digits else data[ordinary] | 0x20
+    lengths = np.tile(BANDS, len(symbols) // sum(BANDS) + 1)
     ends = np.cumsum(lengths)
-    return letters, ends - lengths, ends
+    lengths, ends = lengths[ends <= len(symbols)], ends[ends <= len(symbols)]
+    return symbols, ends - lengths, ends
 
 
 def _bins(score: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,36 +130,39 @@ def _bins(score: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts by band and bin of written letters (mixed false) and of runs with letters and digits: one row each a task."""
-    total = np.zeros((len(BANDS), BINS, 2), dtype=np.int64)
+    """Counts by encoding, band and bin of candidates, and of written letters and digits (written true): one row each a task.
+
+    Letters and digits are gathered from all texts of a slice, so that short texts make long runs too.
+    """
+    total = np.zeros((len(ENCODINGS), len(BANDS), BINS, 2), dtype=np.int64)
     for batch in batches:
         for _, _, off, data in slices(batch.column(0)):
-            starts, ends = _runs(off, data)
-            for mixed, (bytes_, starts, ends) in enumerate((written(data), (data, *_runs(off, data)))):
+            for null, (bytes_, starts, ends) in ((0, (data, *_runs(off, data))), (1, written(off, data, False)), (1, written(off, data, True))):
                 if len(starts):
-                    score, both = battery(bytes_, starts, ends)
-                    band, at = _bins(score, ends - starts)
-                    np.add.at(total[:, :, mixed], (band[both | (mixed == 0)], at[both | (mixed == 0)]), 1)
-    band, at, mixed = np.nonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(at), pa.array(mixed == 1), pa.array(total[band, at, mixed])], ["band", "bin", "mixed", "n"])
+                    score, encoding = battery(bytes_, starts, ends)
+                    np.add.at(total[..., null], (encoding, *_bins(score, ends - starts)), 1)
+    encoding, band, at, null = np.nonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(encoding), pa.array(band), pa.array(at), pa.array(null == 1), pa.array(total[encoding, band, at, null])], ["encoding", "band", "bin", "written", "n"])
 
 
-def discoveries(counts: np.ndarray, rate: float) -> list[int]:
-    """The largest bin that counts as random in each band, -1 for none, from counts[band, bin, mixed].
+def discoveries(counts: np.ndarray, rate: float) -> np.ndarray:
+    """The largest bin that counts as random for each encoding and band, -1 for none, from counts[encoding, band, bin, written].
 
-    The share of written letters, in runs of the band's shortest length, that score at least as random is a
-    run's p-value: short runs can't be told from text, long ones can. Benjamini-Hochberg then holds in every band
-    by itself, so that the many short runs do not spend what long ones have earned.
+    A candidate's p-value is the share of written runs of its band's length that score at least as random: letters for
+    all encodings with letters, digits for digits. Short runs can't be told from text, long ones can. Then
+    Benjamini-Hochberg over all candidates of an encoding, of whatever length.
     """
-    out = []
-    for band in range(counts.shape[0]):
-        null, seen = np.cumsum(counts[band, :, 0]), np.cumsum(counts[band, :, 1])
-        if not seen[-1]:
-            out.append(-1)
-            continue
-        p = (1 + null) / (1 + null[-1])
-        good = np.flatnonzero((p * seen[-1] <= rate * np.maximum(seen, 1)) & (seen > 0))
-        out.append(int(good[-1]) if len(good) else -1)
+    out = np.full(counts.shape[:2], -1)
+    for e in range(len(ENCODINGS)):
+        null = np.cumsum(counts[0 if e == 0 else 3, :, :, 1], axis=1)
+        p, seen = (1 + null) / (1 + null[:, -1:]), counts[e, :, :, 0]
+        order = np.argsort(p, axis=None, kind="stable")
+        upto = np.cumsum(seen.ravel()[order])
+        # equal p-values stand or fall together
+        good = np.flatnonzero((seen.ravel()[order] > 0) & (p.ravel()[order] * upto[-1] <= rate * np.maximum(upto, 1)))
+        if len(good):
+            limit = p.ravel()[order][good[-1]]
+            out[e] = (p <= limit).sum(axis=1) - 1
     return out
 
 
@@ -163,7 +181,7 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
-def _scan(limits: list[int]):
+def _scan(limits: np.ndarray) -> Callable:
     names = ("doc_id", "n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,9 +192,9 @@ def _scan(limits: list[int]):
                 more: dict[int, list[tuple[int, int]]] = {}
                 starts, ends = _runs(off, data)
                 if len(starts):
-                    score, mixed = battery(data, starts, ends)
+                    score, encoding = battery(data, starts, ends)
                     band, at = _bins(score, ends - starts)
-                    hit = mixed & (at <= np.array(limits)[band])
+                    hit = at <= limits[encoding, band]
                     rows = rows_of(off, starts)
                     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte
                     for i in np.flatnonzero(hit):
@@ -202,12 +220,13 @@ def _scan(limits: list[int]):
 def scan_secrets(spark: SparkSession, docs: DataFrame, rate: float = 0.01) -> DataFrame:
     """Secrets in every whole text: the fixed patterns' spans, and runs that the battery cannot tell from random ones.
 
-    rate: the false-discovery rate of the added spans, over all documents. Nulls are empty texts, which have no
-    spans; repeated rows give a row each; an empty table gives none; other columns are ignored. Two passes: the
-    first brings the driver at most bands x bins x 2 counts, the second marks.
+    rate: the false-discovery rate of the added spans of each encoding, over all documents. Runs of fewer than MIN_RUN
+    symbols are found by the fixed patterns only. Nulls are empty texts, which have no spans; repeated rows give a row
+    each; an empty table gives none; other columns are ignored. Two passes: the first brings the driver at most
+    encodings x bands x bins x 2 counts, whatever the input, the second marks.
     """
-    counts = np.zeros((len(BANDS), BINS, 2), dtype=np.int64)
-    found = docs.select("text").mapInArrow(_histogram, "band long, bin long, mixed boolean, n long").groupBy("band", "bin", "mixed").agg(F.sum("n").alias("n"))
+    counts = np.zeros((len(ENCODINGS), len(BANDS), BINS, 2), dtype=np.int64)
+    found = docs.select("text").mapInArrow(_histogram, "encoding long, band long, bin long, written boolean, n long").groupBy("encoding", "band", "bin", "written").agg(F.sum("n").alias("n"))
     for r in found.collect():
-        counts[r.band, r.bin, int(r.mixed)] = r.n
+        counts[r.encoding, r.band, r.bin, int(r.written)] = r.n
     return docs.select("doc_id", "text").mapInArrow(_scan(discoveries(counts, rate)), "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string")

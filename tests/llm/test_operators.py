@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from millrace.llm import queries
+from millrace.llm import queries, secrets
 from millrace.llm.embed_dups import similar_vectors
 from millrace.llm.langid import identify_language
 from millrace.llm.lm_hpy import score_documents
@@ -397,14 +397,39 @@ def test_secrets(spark, request, table):
 
 
 def test_random_strings_stand_out(spark):
+    """Random runs of each encoding among prose, long words, account numbers and other ordinary runs."""
     rng = random.Random(9)
-    key = lambda: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(44))
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = {"base62": low + low.upper() + digits, "hex": digits + "ABCDEF", "letters": low, "both": low + low.upper(), "base36": low + digits, "base64": low + low.upper() + digits + "+/"}
     vocabulary = "the old mill by river was built long ago and its stones were carried down from hills hand é where people often meet before winter comes to talk about harvest prices weather children letters journey quiet evening garden window street".split()
     plain = lambda: " ".join(rng.choice(vocabulary) for _ in range(400)) + " "
-    rows = [(i, plain() + (key() if i % 10 == 0 else "internationalization2013committee") + " " + plain()) for i in range(400)]
+    decoys = ("internationalization2013committee", "Donaudampfschifffahrtsgesellschaft", "counterrevolutionarieswithoutgovernment", "user_name_of_the_last_person_here")
+    rows, planted = [], {}
+    for i in range(600):
+        if i % 3 == 0:
+            planted[i] = list(alphabets)[i // 3 % 6]
+            hit = "".join(rng.choice(alphabets[planted[i]]) for _ in range(48))
+        else:
+            hit = rng.choice((*decoys, "".join(rng.choice(digits) for _ in range(16))))
+        rows.append((i, plain() + hit + " " + plain()))
     got = {r.doc_id: r for r in scan_secrets(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert sum(got[i].n_random for i in range(0, 400, 10)) >= 20
-    assert sum(got[i].n_random for i in range(400) if i % 10) <= 4
-    i = next(i for i in range(0, 400, 10) if got[i].n_random)
-    _, s, e = got[i].spans.split(":")
-    assert rows[i][1][int(s) : int(e)].isalnum() and int(e) - int(s) >= 44
+    found = Counter(kind for i, kind in planted.items() if got[i].n_random)
+    assert all(found[kind] >= 15 for kind in alphabets) and found.total() >= 140, found  # of 33 or 34 each, 200 in all
+    assert sum(got[i].n_random for i in range(600) if i not in planted) <= 4
+    i = next(i for i in planted if got[i].n_random)
+    kind, s, e = got[i].spans.split(":")
+    assert kind == "random" and " " not in rows[i][1][int(s) : int(e)] and int(e) - int(s) == 48
+
+
+def test_discoveries_are_those_of_benjamini_and_hochberg():
+    """Against the plain procedure over a list of p-values."""
+    rng = np.random.default_rng(3)
+    counts = np.zeros((len(secrets.ENCODINGS), len(secrets.BANDS), secrets.BINS, 2), dtype=np.int64)
+    counts[3, :4, :, 1] = rng.integers(0, 9, (4, secrets.BINS)) * (np.arange(secrets.BINS) > 30)
+    seen = [(int(b), int(k)) for b, k in zip(rng.integers(0, 4, 60), np.abs(rng.normal(0, 40, 60)).astype(int))]
+    for b, k in seen:
+        counts[5, b, k, 0] += 1
+    p = sorted(((1 + counts[3, b, : k + 1, 1].sum()) / (1 + counts[3, b, :, 1].sum()), b, k) for b, k in seen)
+    last = max((i for i, (x, _, _) in enumerate(p) if x <= 0.05 * (i + 1) / len(p)), default=-1)
+    limits = secrets.discoveries(counts, 0.05)
+    assert last >= 0 and sorted(x for x in p[: last + 1]) == sorted(x for x in p if x[2] <= limits[5, x[1]])
