@@ -8,14 +8,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import Scratch, components
 
 #: Vectors of a tile at most, and tiles that even small tables are cut into where they have vectors enough.
-TILE, LEAST_TILES, LEAST_TILE = 4096, 24, 64
-#: Leading dimensions that a tile's box is kept for, and those up to which products are accumulated before a test.
-BOX, STOPS = 8, (8, 16, 32)
+TILE, LEAST_TILES, LEAST_TILE = 4096, 8, 64
+#: Leading axes that a tile's box is kept for; share of all variance that the axes accumulated first hold at least.
+BOX, FIRST = 8, 0.4
 SLACK = 1e-4
+MEMBER = "tile long, pos int, id long, n long, embedding array<double>, x int, lo array<double>, hi array<double>, lead binary"
 
 
 def moments(dim: int) -> Callable:
@@ -31,7 +33,9 @@ def moments(dim: int) -> Callable:
 
 
 def unit(column: pa.Array, dim: int) -> np.ndarray:
+    """Rows of length one; largest components are made 1 first, so that no square over- or underflows."""
     x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -44,68 +48,67 @@ def _lead(dim: int, axes: np.ndarray) -> Callable:
     return lead
 
 
-def _tile(dim: int, axes: np.ndarray) -> Callable:
+def leading(x: np.ndarray, axes: np.ndarray, first: int) -> np.ndarray:
+    """Coordinates on the first principal axes and, as one more, the norm of the rest: the product of two such rows bounds the whole product from above."""
+    y = x @ axes
+    return np.hstack([y[:, :first], np.sqrt((y[:, first:] ** 2).sum(axis=1, keepdims=True))]).astype(np.float32)
+
+
+def _tile(dim: int, axes: np.ndarray, first: int) -> Callable:
     def build(table: pa.Table) -> pa.Table:
+        """The tile's members, numbered, and one row (pos -1) for the tile: its box and its members' leading coordinates."""
         x = unit(table.column("embedding").combine_chunks(), dim)
-        y = x @ axes[:, :BOX]
-        row = {"tile": table.column("tile")[0].as_py(), "lo": y.min(axis=0).tolist(), "hi": y.max(axis=0).tolist()}
-        row |= {"ids": table.column("id").to_numpy().tobytes(), "many": table.column("n").to_numpy().tobytes(), "unit": x.tobytes()}
-        return pa.Table.from_pylist([row], schema=pa.schema([("tile", pa.int64()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("ids", pa.binary()), ("many", pa.binary()), ("unit", pa.binary())]))
+        y, m = x @ axes[:, :BOX], table.num_rows
+        head = {"tile": table.column("tile")[0].as_py(), "pos": -1, "x": table.column("x")[0].as_py(), "lo": y.min(axis=0).tolist(), "hi": y.max(axis=0).tolist(), "lead": leading(x, axes, first).tobytes()}
+        kinds = dict(f.split(" ") for f in MEMBER.split(", "))
+        schema = pa.schema([(c, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64())}[k]) for c, k in kinds.items()])
+        rows = {"tile": table.column("tile"), "pos": pa.array(np.arange(m), pa.int32()), "id": table.column("id"), "n": table.column("n"), "embedding": table.column("embedding").combine_chunks().cast(pa.list_(pa.float64())), "x": table.column("x")}
+        members = pa.table([rows[c] if c in rows else pa.nulls(m, schema.field(c).type) for c in kinds], schema=schema)
+        return pa.concat_tables([pa.Table.from_pylist([head], schema=schema), members])
 
     return build
 
 
-def compare(x: np.ndarray, y: np.ndarray, axes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows, columns, links): which rows of x and y have links at all, and the matrix of links between those.
-
-    Products are accumulated along the principal axes, largest first. After each stop the rest of a product is at
-    most the product of the vectors' norms over the remaining axes; rows and columns in which no sum can reach the
-    threshold leave. What is left is decided by whole products in double precision.
-    """
-    a, b = (x @ axes).astype(np.float32), (y @ axes).astype(np.float32)
-    rows, cols = np.arange(len(x)), np.arange(len(y))
-    part, at = np.zeros((len(x), len(y)), dtype=np.float32), 0
-    for to in (s for s in STOPS if s < a.shape[1]):
-        part = part + a[rows, at:to] @ b[cols, at:to].T
-        rest = np.sqrt((a[rows, to:] ** 2).sum(axis=1))[:, None] * np.sqrt((b[cols, to:] ** 2).sum(axis=1))[None, :]
-        open_ = part + rest >= threshold - SLACK
-        r, c = open_.any(axis=1), open_.any(axis=0)
-        rows, cols, part, at = rows[r], cols[c], part[r][:, c], to
-        if not len(rows):
-            break
-    links = x[rows] @ y[cols].T >= threshold
-    r, c = links.any(axis=1), links.any(axis=0)
-    return rows[r], cols[c], links[r][:, c]
-
-
-def _pairs(dim: int, axes: np.ndarray, threshold: float) -> Callable:
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            get = lambda c, i, kind: np.frombuffer(batch.column(c)[i].as_buffer(), dtype=kind)  # noqa: E731, B023
-            for i in range(batch.num_rows):
-                same = batch.column("tile")[i] == batch.column("other")[i]
-                ids, ids2 = get("ids", i, np.int64), get("ids2", i, np.int64)
-                many, many2 = get("many", i, np.int64), get("many2", i, np.int64)
-                rows, cols, links = compare(get("unit", i, float).reshape(-1, dim), get("unit2", i, float).reshape(-1, dim), axes, threshold)
-                if not len(rows):
-                    continue
-                if same:
-                    links = links & (ids[rows][:, None] != ids2[cols][None, :])
-                # components of the tiles' links: every vector takes the least label that it sees until none changes
-                left, right = ids[rows].copy(), ids2[cols].copy()
-                while True:
-                    low = np.minimum(left, np.where(links, right[None, :], np.iinfo(np.int64).max).min(axis=1))
-                    low2 = np.minimum(right, np.where(links, low[:, None], np.iinfo(np.int64).max).min(axis=0))
-                    if (low == left).all() and (low2 == right).all():
-                        break
-                    left, right = low, low2
-                out = [(ids[rows], links @ many2[cols], left)]
-                if not same:
-                    out.append((ids2[cols], many[rows] @ links, right))
-                cols_ = [np.concatenate(v) for v in zip(*out)]
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in cols_], ["id", "links", "root"])
-
-    return pair
+def _survivors(first: int, threshold: float) -> Callable:
+    def survive(table: pa.Table) -> pa.Table:
+        """Members of two tiles that may have a link to the other tile, by the bound that the leading axes and the norms of the rest give."""
+        tile, other = (table.column(c)[0].as_py() for c in ("tile", "other"))
+        side = table.column("side").to_numpy()
+        leads = [np.frombuffer(table.column("lead")[int(np.flatnonzero(side == s)[0])].as_py(), np.float32).reshape(-1, first + 1) for s in ((0, 1) if tile != other else (0, 0))]
+        bound = leads[0] @ leads[1].T
+        if tile == other:
+            np.fill_diagonal(bound, -1)
+        open_ = bound >= threshold - SLACK
+        found = [(s, np.flatnonzero(open_.any(axis=1 - s))) for s in ((0, 1) if tile != other else (0,))]
+        pos = np.concatenate([f for _, f in found])
+        own = np.concatenate([np.full(len(f), s) for s, f in found])
+        return pa.table({"a": pa.array(np.full(len(pos), tile)), "b": pa.array(np.full(len(pos), other)), "side": pa.array(own, pa.int32()), "tile": pa.array(np.where(own == 0, tile, other)), "pos": pa.array(pos, pa.int32())})
+
+    return survive
+
+
+def _exact(dim: int, threshold: float) -> Callable:
+    def exact(table: pa.Table) -> pa.Table:
+        """Links between the survivors of two tiles by whole products: each one's number of links here, and the least id that links here lead to."""
+        side, one = table.column("side").to_numpy(), table.column("a")[0] == table.column("b")[0]
+        x, ids, many = unit(table.column("embedding").combine_chunks(), dim), table.column("id").to_numpy(), table.column("n").to_numpy()
+        p, q = (np.flatnonzero(side == s) for s in ((0, 0) if one else (0, 1)))
+        links = x[p] @ x[q].T >= threshold
+        if one:
+            np.fill_diagonal(links, False)
+        left, right = ids[p].copy(), ids[q].copy()
+        while True:  # every vector takes the least label that it sees until none changes
+            low = np.minimum(left, np.where(links, right[None, :], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max))
+            low2 = np.minimum(right, np.where(links, low[:, None], np.iinfo(np.int64).max).min(axis=0, initial=np.iinfo(np.int64).max))
+            if (low == left).all() and (low2 == right).all():
+                break
+            left, right = low, low2
+        out = [(ids[p], links @ many[q], left)] + ([] if one else [(ids[q], many[p] @ links, right)])
+        found = [np.concatenate(v) for v in zip(*out)]
+        some = found[1] > 0
+        return pa.table({c: pa.array(v[some], pa.int64()) for c, v in zip(("id", "links", "root"), found)})
+
+    return exact
 
 
 def similar_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
@@ -115,9 +118,11 @@ def similar_vectors(spark: SparkSession, vectors: DataFrame, threshold: float =
     lengths don't link, nor do rows without a vec_id. Equal vectors are one node with a count, so copies are linked without being paired. Rows
     of equal vec_id count as vectors of their own that share a component. An empty table gives no rows.
 
-    Tiles are cut by quantiles of the first two principal axes. Two tiles meet unless their boxes on the leading
-    axes are too far apart; a tile travels as one row. All links are counted where tiles meet, and only counts and
-    spanning edges leave.
+    Tiles are cut by quantiles of the first two principal axes. Two tiles meet unless their slabs or their boxes on the
+    leading axes are too far apart. First only the leading coordinates travel, those that hold FIRST of the variance,
+    each with the norm of what is left, which bound every product from above; then the whole vectors of those members
+    that can still reach the threshold, whose products in double precision decide. All links are counted where
+    tiles meet, and only counts and spanning edges leave.
     """
     scratch = Scratch(spark)
     v = F.col("embedding")
@@ -128,7 +133,7 @@ def similar_vectors(spark: SparkSession, vectors: DataFrame, threshold: float =
     for dim, count in sorted((r.d, r.c) for r in nodes.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("c")).collect()):
         some = _links(spark, nodes.filter(F.size("embedding") == dim).select("id", "n", "embedding"), dim, count, threshold, scratch)
         found = some if found is None else found.union(some)
-    if found is None:
+    if found is None:  # no vector can link
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     found = scratch.table(found)
     roots = components(spark, found.filter("id != root").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct(), scratch)
@@ -144,11 +149,13 @@ def _links(spark: SparkSession, nodes: DataFrame, dim: int, count: int, threshol
     square = np.zeros((dim, dim))
     for r in nodes.select("embedding").mapInArrow(moments(dim), "i long, j long, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect():
         square[r.i, r.j] = r.s
-    axes = np.linalg.eigh((square + square.T) / 2)[1][:, ::-1].copy()
+    values, vectors = np.linalg.eigh((square + square.T) / 2)
+    axes, held = vectors[:, ::-1].copy(), np.cumsum(np.maximum(values[::-1], 0)) / max(1e-300, np.maximum(values, 0).sum())
+    first = min(dim, max(BOX, int(np.searchsorted(held, FIRST)) + 1))
     tiles = max(-(-count // TILE), min(LEAST_TILES, -(-count // LEAST_TILE)))
     wide = max(1, round(tiles**0.5))
     high = -(-tiles // wide)
-    led = nodes.mapInArrow(_lead(dim, axes), "id long, n long, embedding array<float>, c1 double, c2 double") if dict(nodes.dtypes)["embedding"] == "array<float>" else nodes.mapInArrow(_lead(dim, axes), "id long, n long, embedding array<double>, c1 double, c2 double")
+    led = nodes.mapInArrow(_lead(dim, axes), StructType([*nodes.schema.fields]).add("c1", "double").add("c2", "double"))
     quantiles = lambda c, n: F.percentile_approx(c, [i / n for i in range(1, n)] or [0.5], 10_000)
     cut1 = led.agg(quantiles("c1", wide).alias("q")).first().q if wide > 1 else []
     led = led.withColumn("x", sum((F.when(F.col("c1") >= q, 1).otherwise(0) for q in cut1), F.lit(0)))
@@ -156,18 +163,19 @@ def _links(spark: SparkSession, nodes: DataFrame, dim: int, count: int, threshol
     cut2 = cut2.select("x", F.when(F.lit(high > 1), F.col("q")).otherwise(F.array().cast("array<double>")).alias("q"), F.ceil(F.col("m") / F.lit(high * TILE)).alias("more"))
     led = led.join(cut2, "x").withColumn("y", F.size(F.filter("q", lambda q: q <= F.col("c2"))))
     key = (F.col("x").cast("long") * high + F.col("y")) * 1_000_000 + F.pmod(F.xxhash64("id"), F.col("more"))
-    packed = scratch.table(led.withColumn("tile", key).select("tile", "id", "n", "embedding").groupBy("tile").applyInArrow(_tile(dim, axes), "tile long, lo array<double>, hi array<double>, ids binary, many binary, unit binary"))
-    boxes = packed.select("tile", "lo", "hi")
-    order = [r.tile for r in boxes.select("tile").orderBy("tile").collect()]
-    # in a ring of tiles each meets itself and the half that follows it, so all have equal work
-    place = spark.createDataFrame(list(enumerate(order)), "place long, tile long")
-    m = len(order)
-    ring = boxes.join(place, "tile").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(m // 2)))).withColumn("to", (F.col("place") + F.col("step")) % m)
-    ring = ring.filter(~((F.col("step") * 2 == m) & (F.col("place") >= F.col("to")))) if m > 1 else ring
-    other = boxes.join(place, "tile").select(F.col("place").alias("to"), F.col("tile").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    members = scratch.table(led.withColumn("tile", key).select("tile", "x", "id", "n", "embedding").groupBy("tile").applyInArrow(_tile(dim, axes, first), MEMBER))
+    heads = members.filter("pos = -1")
+    # a slab meets itself and those after it that begin within reach of the tile's end on the first axis
+    reach = (2 - 2 * threshold) ** 0.5 + SLACK
+    last = F.size(F.filter(F.array(*map(F.lit, cut1)).cast("array<double>"), lambda q: q <= F.col("hi")[0] + reach))
+    boxes = heads.select("tile", "x", "lo", "hi").withColumn("to", F.explode(F.sequence("x", F.greatest("x", last))))
+    others = heads.select(F.col("tile").alias("other"), F.col("x").alias("to"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     gap = lambda i: F.greatest(F.lit(0.0), F.get("lo", i) - F.get("hi2", i), F.get("lo2", i) - F.get("hi", i))
     apart = F.aggregate(F.sequence(F.lit(0), F.size("lo") - 1), F.lit(0.0), lambda s, i: s + gap(i) * gap(i))
-    meet = ring.join(other, "to").filter(apart <= 2 - 2 * threshold + SLACK).select("tile", "other")
-    second = packed.select(F.col("tile").alias("other"), F.col("ids").alias("ids2"), F.col("many").alias("many2"), F.col("unit").alias("unit2"))
-    both = packed.select("tile", "ids", "many", "unit").join(meet, "tile").join(second, "other")
-    return both.select("tile", "other", "ids", "many", "unit", "ids2", "many2", "unit2").mapInArrow(_pairs(dim, axes, threshold), "id long, links long, root long")
+    meet = boxes.join(others, "to").filter((F.col("to") > F.col("x")) | (F.col("other") >= F.col("tile"))).filter(apart <= 2 - 2 * threshold + SLACK).select("tile", "other")
+    ends = F.array(*(F.struct(F.lit(i).alias("side"), F.col(c).alias("own")) for i, c in enumerate(("tile", "other"))))
+    dealt = meet.select("tile", "other", F.explode(F.when(F.col("tile") == F.col("other"), F.slice(ends, 1, 1)).otherwise(ends)).alias("e")).select("tile", "other", "e.*")
+    sent = dealt.join(heads.select(F.col("tile").alias("own"), "lead"), "own").select("tile", "other", "side", "lead")
+    left = scratch.table(sent.groupBy("tile", "other").applyInArrow(_survivors(first, threshold), "a long, b long, side int, tile long, pos int"))
+    whole = left.join(members.filter("pos >= 0").select("tile", "pos", "id", "n", "embedding"), ["tile", "pos"]).select("a", "b", "side", "id", "n", "embedding")
+    return whole.groupBy("a", "b").applyInArrow(_exact(dim, threshold), "id long, links long, root long")

@@ -117,6 +117,21 @@ def test_vectors(spark):
     for i, _ in odd:
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
     assert similar_vectors(spark, table.limit(0)).collect() == []
+    huge = spark.createDataFrame([(1, [1e200, 2e200]), (2, [1e-200, 2.001e-200]), (3, [-1e200, 1e-300]), (4, [5e-324, 0.0])], "vec_id long, embedding array<double>")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in similar_vectors(spark, huge).collect()} == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4)}
+
+
+def test_vectors_of_decaying_spectrum(spark):
+    """Many tiles, of which far ones are never compared: every link is found all the same."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1500, 24)) * 0.6 ** np.arange(24)
+    x[700:] = x[:800] + rng.normal(size=(800, 24)) * 0.12 * 0.6 ** np.arange(24)
+    u = np.float32(x).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.99).sum(axis=1) - 1
+    table = spark.createDataFrame([(int(i), [float(v) for v in np.float32(r)]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in similar_vectors(spark, table, 0.99).collect()}
+    assert links.sum() > 500 and [got[i] for i in range(len(u))] == links.tolist()
 
 
 def test_languages(spark, docs, awkward):
