@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import Scratch, parts
 from .tokens import mix
@@ -14,6 +15,8 @@ from .verify import bands, link_components, set_keys, set_rows
 
 #: Signatures that a task holds before it sends them on.
 HELD = 1 << 20
+#: Shingles whose signatures one bucket has on average.
+BUCKET = 1 << 20
 #: Signatures of at most so many elements are left out where no link can be lost.
 LIGHT = 4
 
@@ -160,7 +163,8 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int
     """
     scratch = Scratch(spark)
     keyed = scratch.table(set_keys(docs, n))
-    buckets = 4 * parts(spark)
+    # a bucket has the signatures of so many shingles on average, however much there is
+    buckets = max(4 * parts(spark), (keyed.agg(F.sum("n_shingles")).first()[0] or 0) // BUCKET)
     signed = docs.select("text").mapInArrow(_sign(n, percent, buckets), "bucket int, sig binary, node binary")
     edges = scratch.table(signed.groupBy("bucket").applyInArrow(_meet, "a long, b long"))
     return link_components(spark, docs, keyed, edges, n, percent, scratch)

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, components
 from .tokens import distinct, mix, shingles, slices, words
 
-BLOCK = 1024
+#: Sets of a block that meets its group's pivots, and of a block that meets a block of what the pivots left over.
+BLOCK, REST = 256, 1024
+#: Pivots of a group, on average; groups of no more sets consist of pivots only.
+PIVOTS = 32
 #: Cells of the sketch that bounds from below how many elements two sets don't share.
 CELLS = 256
 #: Bits of the smaller sketch that travels without the set: each is the parity of the elements it stands for.
@@ -91,83 +94,142 @@ def _sketch(h: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(48)).astype(np.uint16)
 
 
-def _near(percent: int) -> Callable:
-    def near(table: pa.Table) -> pa.Table:
-        """Edges that span the sets of one block or between two that their parities don't tell apart.
+#: Says which of the rest rows of a table may link (or link) to row i.
+Linker = Callable[[int, np.ndarray], np.ndarray]
+
+
+def _by_parity(percent: int) -> Callable[[pa.Table, np.ndarray], Linker]:
+    def make(table: pa.Table, rows: np.ndarray) -> Linker:
+        """Sets that their parities don't tell apart: an element that only one of two sets has flips one bit, so as many bits as differ, elements differ at least.
 
-        An element that only one of two sets has flips one bit, so as many bits as differ, elements differ at least.
         Sets that are here as smaller partners only (step 1) are not compared with each other: their own band does that.
         """
-        node, first = np.unique(table.column("node").to_numpy(), return_index=True)
-        n, side, step = (table.column(c).to_numpy()[first].astype(np.int64) for c in ("n", "side", "step"))
+        n, step = (table.column(c).to_numpy()[rows].astype(np.int64) for c in ("n", "step"))
         blobs = table.column("odd").combine_chunks()
-        odd = np.frombuffer(b"".join(blobs[int(i)].as_py() for i in first), np.uint64).reshape(len(first), -1)
-        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        root = np.arange(len(node))
-        out: list[tuple[int, int]] = []
-        for i in range(len(node) - 1):
-            rest = np.arange(i + 1, len(node))
-            ok = (root[rest] != root[i]) & (step[rest] + step[i] < 2) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))
-            if lo != hi:
-                ok &= side[rest] != side[i]
-            rest = rest[ok]
-            differ = np.bitwise_count(odd[rest] ^ odd[i]).sum(axis=1, dtype=np.int64)
-            for j in rest[differ * (100 + percent) <= (n[rest] + n[i]) * (100 - percent)]:
-                if root[i] != root[j]:
-                    out.append((int(node[i]), int(node[j])))
-                    root[root == root[j]] = root[i]
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+        odd = np.frombuffer(b"".join(blobs[int(i)].as_py() for i in rows), np.uint64).reshape(len(rows), -1)
 
-    return near
+        def near(i: int, rest: np.ndarray) -> np.ndarray:
+            rest = rest[(step[rest] + step[i] < 2) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))]
+            differ = np.bitwise_count(odd[rest] ^ odd[i]).sum(axis=1, dtype=np.int64)
+            return rest[differ * (100 + percent) <= (n[rest] + n[i]) * (100 - percent)]
 
+        return near
 
-def _blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Every row in all pairs of blocks of its group that its own block is part of; groups of one row go."""
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").withColumn("blocks", F.ceil(F.col("_m") / BLOCK).cast("int")).drop("_m")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = rows.join(counts, keys).withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.withColumns({"lo": F.least("side", "other"), "hi": F.greatest("side", "other")})
+    return make
 
 
-def _verify(percent: int) -> Callable:
-    def verify(table: pa.Table) -> pa.Table:
-        """Edges that span the linked documents of one block or between two; pairs that are joined already are not compared."""
-        node, side = table.column("node").to_numpy(), table.column("side").to_numpy()
-        node, first = np.unique(node, return_index=True)
-        side = side[first]
+def _by_sets(percent: int) -> Callable[[pa.Table, np.ndarray], Linker]:
+    def make(table: pa.Table, rows: np.ndarray) -> Linker:
+        """Sets that link: first by a sketch, of which every cell that differs holds at least one element that only one of the two has, then exactly."""
         blobs = table.column("hashes").combine_chunks()
-        sets = [np.frombuffer(blobs[int(i)].as_buffer(), dtype=np.uint64) for i in first]
+        sets = [np.frombuffer(blobs[int(i)].as_buffer(), dtype=np.uint64) for i in rows]
         n = np.array([len(s) for s in sets])
-        sketch = np.stack([_sketch(s) for s in sets]) if len(sets) > 2 else None
-        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        root = np.arange(len(sets))
-        out: list[tuple[int, int]] = []
-        for i in range(len(sets) - 1):
-            rest = np.arange(i + 1, len(sets))
-            ok = (root[rest] != root[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))
-            if lo != hi:
-                ok &= side[rest] != side[i]
-            rest = rest[ok]
-            if sketch is not None and len(rest):
-                # every cell that differs holds at least one element that only one of the two has
-                differ = (sketch[rest] != sketch[i]).sum(axis=1)
-                rest = rest[differ * (100 + percent) <= (n[rest] + n[i]) * (100 - percent)]
-            for j in rest:
-                if root[i] != root[j] and linked(sets[i], sets[j], percent):
-                    out.append((int(node[i]), int(node[j])))
-                    root[root == root[j]] = root[i]
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
-
-    return verify
+        sketch = np.stack([_sketch(s) for s in sets])
+
+        def link(i: int, rest: np.ndarray) -> np.ndarray:
+            rest = rest[100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i])]
+            differ = (sketch[rest] != sketch[i]).sum(axis=1)
+            rest = rest[differ * (100 + percent) <= (n[rest] + n[i]) * (100 - percent)]
+            return rest[np.array([linked(sets[i], sets[j], percent) for j in rest], dtype=bool)]
+
+        return link
+
+    return make
+
+
+class Joined:
+    """Groups of connected nodes, and the edges that connected them."""
+
+    def __init__(self, label: np.ndarray):
+        self.label, self.edges = label, []
+
+    def meet(self, link: Linker, i: int, rest: np.ndarray) -> None:
+        """Join i with those of the rest that it links to; what is joined already is not compared."""
+        for j in link(i, rest[self.label[rest] != self.label[i]]):
+            if self.label[i] != self.label[j]:
+                self.edges.append((i, j))
+                self.label[self.label == self.label[j]] = self.label[i]
+
+
+def _pivoted(make: Callable[[pa.Table, np.ndarray], Linker], keys: list[str], schema: pa.Schema) -> Callable:
+    def pivoted(table: pa.Table) -> pa.Table:
+        """Edges of a block's members to the group's pivots, and (b null) those members that are not joined to the core: the largest set of pivots joined among themselves, which is the same in every block."""
+        node, rows = np.unique(table.column("node").to_numpy(), return_index=True)
+        pivot, own = (table.column(c).to_numpy(zero_copy_only=False)[rows] for c in ("pivot", "own"))
+        link, group = make(table, rows), Joined(np.arange(len(node)))
+        pivots, members = np.flatnonzero(pivot), np.flatnonzero(~pivot)
+        for k, i in enumerate(pivots):
+            group.meet(link, i, pivots[k + 1 :])
+        labels, many = np.unique(group.label[pivots], return_counts=True)
+        core = pivots[np.argmax(group.label[pivots] == labels[np.argmax(many)])] if len(pivots) else None
+        for i in pivots:
+            group.meet(link, i, members)
+        rest = np.flatnonzero(own & (group.label != group.label[core])) if core is not None else np.flatnonzero(own)
+        a = np.concatenate([np.array([i for i, _ in group.edges], dtype=np.int64), rest])
+        b = np.array([node[j] for _, j in group.edges] + [0] * len(rest), dtype=np.int64)
+        cols = {k: pa.array(np.full(len(a), table.column(k)[0].as_py())).cast(schema.field(k).type) for k in keys}
+        return pa.table(cols | {"a": pa.array(node[a]), "b": pa.array(b, mask=np.arange(len(a)) >= len(group.edges))})
+
+    return pivoted
+
+
+def _rest(make: Callable[[pa.Table, np.ndarray], Linker]) -> Callable:
+    def rest(table: pa.Table) -> pa.Table:
+        """Edges between a block of what the pivots left over and a block of the group; members of the core are joined to each other already."""
+        node, over = table.column("node").to_numpy(), table.column("over").to_numpy(zero_copy_only=False)
+        # a set that is here for both sides is there once, as one that was left over
+        order = np.lexsort((~over, node))
+        node, rows = np.unique(node[order], return_index=True)
+        rows = order[rows]
+        left_over, core = over[rows], ~table.column("left_over").to_numpy(zero_copy_only=False)[rows]
+        link, group = make(table, rows), Joined(np.where(core, -1, np.arange(len(node))))
+        every = np.arange(len(node))
+        for i in np.flatnonzero(left_over):
+            group.meet(link, i, every[every != i])
+        return pa.table({"a": pa.array([int(node[i]) for i, _ in group.edges], pa.int64()), "b": pa.array([int(node[j]) for _, j in group.edges], pa.int64())})
+
+    return rest
+
+
+def spanning(rows: DataFrame, keys: list[str], carried: list[str], make: Callable[[pa.Table, np.ndarray], Linker], scratch: Scratch) -> DataFrame:
+    """Edges (a, b) that span the links between the nodes of each group, without comparing all pairs of a group of copies.
+
+    About PIVOTS nodes of a group, chosen by hash, are sent to all blocks of it. What links to the pivots is joined
+    to them there; most of a group of copies then is one core. Only what is left over meets all nodes of its group,
+    in blocks; in groups of no more than PIVOTS nodes nothing is.
+    """
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1")
+    sized = rows.join(counts, keys)
+    blocks = F.ceil(F.col("_m") / BLOCK).cast("int")
+    pivot = F.pmod(F.xxhash64(F.lit(7), "node"), F.greatest("_m", F.lit(PIVOTS))) < PIVOTS
+    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    dealt = sized.withColumn("pivot", pivot).withColumn("mine", mine).withColumn("block", F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("mine"))))
+    dealt = dealt.select(*keys, "block", "node", "pivot", (F.col("block") == F.col("mine")).alias("own"), *carried)
+    out = rows.select(*keys).schema
+    edges_of = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out)
+    arrow = pa.schema([(f.name, pa.int64() if f.dataType.simpleString() == "bigint" else pa.int32()) for f in out])
+    first = scratch.table(dealt.groupBy(*keys, "block").applyInArrow(_pivoted(make, keys, arrow), f"{edges_of}, a long, b long"))
+    over = first.filter("b IS NULL").select(*keys, F.col("a").alias("node")).distinct()
+    many = over.groupBy(*keys).agg(F.count(F.lit(1)).alias("_o"))
+    # among the pivots all pairs have been compared
+    left = sized.filter(F.col("_m") > PIVOTS).join(many, keys).join(over.withColumn("left_over", F.lit(True)), [*keys, "node"], "left").withColumn("left_over", F.coalesce("left_over", F.lit(False)))
+    place = lambda n: F.pmod(F.xxhash64("node"), F.ceil(F.col(n) / REST)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / REST).cast("int") - 1))
+    names = [*keys, "i", "j", "node", "over", "left_over", *carried]
+    one = left.withColumns({"over": F.lit(False), "j": place("_m")}).withColumn("i", every("_o")).select(*names)
+    two = left.filter("left_over").withColumns({"over": F.lit(True), "i": place("_o")}).withColumn("j", every("_m")).select(*names)
+    second = scratch.table(one.union(two).groupBy(*keys, "i", "j").applyInArrow(_rest(make), "a long, b long"))
+    return first.filter("b IS NOT NULL").select("a", "b").union(second)
 
 
 def link_components(spark: SparkSession, docs: DataFrame, keyed: DataFrame, candidates: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
     """component_id of every row of keyed (doc_id, n_shingles, node), from candidate edges (a, b) between nodes.
 
     Candidate edges only say which sets must be compared: all sets of a connected cluster of them are, within bands
-    of size, in blocks of 1024 and pairs of blocks, first by 128 bytes of parities, which bound the difference from
-    below. The clusters that are left are compared likewise, by a larger sketch and then exactly. So edges may be
-    left out where their ends stay connected. Sets are rebuilt from the texts of one document for each distinct set.
+    of size, by 128 bytes of parities, which bound the difference from below. The clusters that are left are compared
+    likewise, by a larger sketch and then exactly. Either time only spanning edges are sought (spanning), so edges may
+    be left out where their ends stay connected, and a cluster of copies takes work in proportion to its members.
+    Sets are rebuilt from the texts of one document for each distinct set.
     """
     clusters = components(spark, candidates, scratch)
     first = keyed.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
@@ -176,11 +238,9 @@ def link_components(spark: SparkSession, docs: DataFrame, keyed: DataFrame, cand
     sets = docs.select("doc_id", "text").join(scratch.table(members).hint("merge"), "doc_id").select("text", "node", "cluster").mapInArrow(_wanted(n, percent), "cluster long, node long, band int, n long, odd binary, hashes binary")
     sets = scratch.table(sets)
     banded = sets.select("cluster", "node", "n", "odd", F.posexplode(F.array("band", F.col("band") + 1)).alias("step", "size_band"))
-    dealt = _blocks(banded, ["cluster", "size_band"]).select("cluster", "size_band", "lo", "hi", "side", "step", "node", "n", "odd")
-    near = scratch.table(dealt.groupBy("cluster", "size_band", "lo", "hi").applyInArrow(_near(percent), "a long, b long"))
+    near = scratch.table(spanning(banded, ["cluster", "size_band"], ["n", "step", "odd"], _by_parity(percent), scratch))
     closer = components(spark, near, scratch).select(F.col("id").alias("node"), F.col("root").alias("cluster"))
-    dealt = _blocks(sets.select("node", "hashes").join(closer, "node"), ["cluster"])
-    links = scratch.table(dealt.select("cluster", "lo", "hi", "side", "node", "hashes").groupBy("cluster", "lo", "hi").applyInArrow(_verify(percent), "a long, b long"))
+    links = scratch.table(spanning(sets.select("node", "hashes").join(closer, "node"), ["cluster"], ["hashes"], _by_sets(percent), scratch))
     scratch.drop(sets, near)
     groups = components(spark, links, scratch)
     roots = groups.join(first, groups.id == first.node).select("root", "rep", "node")

@@ -192,6 +192,28 @@ def test_join_loses_no_link_at_the_threshold(spark):
         assert got[i + 1] == (i if 100 * len(sets[i] & sets[i + 1]) >= 90 * len(sets[i] | sets[i + 1]) else i + 1)
 
 
+@pytest.mark.parametrize("n, percent", [(3, 90), (5, 80)])
+def test_join_of_large_clusters(spark, n, percent):
+    """Clusters of more sets than pivots: copies with few and with many edits, chains, and texts that share a long passage only."""
+    rng, rows = random.Random(11), []
+    base = [f"b{i}" for i in range(150)]
+    for i in range(260):
+        w = list(base)
+        for _ in range(rng.choice((0, 1, 1, 2, 3, 5, 8))):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(30)}"
+        rows.append((len(rows), " ".join(w)))
+    for i in range(80):  # each text of a chain is like its neighbours only
+        rows.append((len(rows), " ".join(f"c{k}" for k in range(3 * i, 3 * i + 120))))
+    for i in range(60):
+        rows.append((len(rows), " ".join(base[:100] + [f"p{i}x{k}" for k in range(30)])))
+    rng.shuffle(rows)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    sets = {i: brute.shingles(t, n) for i, t in rows}
+    root = brute.roots(sorted(sets), lambda i, j: 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]))
+    got = {r.doc_id: r.component_id for r in jaccard_join(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4), n=n, percent=percent).collect()}
+    assert got == root and len(set(root.values())) > 20
+
+
 @pytest.mark.parametrize("table", ["awkward", "docs"])
 def test_personal_data(spark, request, table):
     df = request.getfixturevalue(table)
