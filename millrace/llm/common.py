@@ -13,9 +13,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver see: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all executors and the driver see: spark.checkpoint.dir, or a local one where that is unset and all runs on this machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -68,7 +70,7 @@ def ranked(df: DataFrame, keys: list[str], h: str, out: str = "rank", extra: Dat
     A window over a hot key would sort it in one task. Instead the top ten bits of h split every key into 1024
     ordered slices: slice counts give each slice its offset, and row_number runs within slices only.
     extra: a table with one row a key (columns keys and others) whose columns are to be added on the way.
-    Keys must not be null. Rows with equal h are numbered in either order.
+    Keys must not be null. Rows with equal h are numbered in either order, so h is to be of all that tells rows apart.
     """
     salted = df.withColumn("_salt", F.shiftright(F.col(h), 54))
     slices = salted.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_n"))

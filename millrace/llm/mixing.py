@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, Scratch, ranked, text_of
 
-#: Words left of a budget from which the exact dynamic program takes over.
+#: Words left of a budget from which the exact dynamic program takes over, at least; twice the longest document's if that is more.
 DP_WORDS = 8192
 
 
@@ -33,9 +33,10 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int, dp_words: int
     """How many documents of each length to take so that their words come as near below the budget as can be.
 
     Every length first gives the same share of its documents, rounded down; the largest fractions add one more
-    document each while over dp_words remain; the rest is an exact bounded knapsack over the remaining words
-    (bit sets of reachable sums, counts split into powers of two).
+    document each while over dp_words, or two of the longest documents, remain; the rest is an exact bounded knapsack
+    over the remaining words and all documents not taken (bit sets of reachable sums, counts split into powers of two).
     """
+    dp_words = max(dp_words, 2 * max(lengths, default=0))
     total = sum(n * c for n, c in zip(lengths, counts))
     budget = min(budget, total)
     if budget <= 0 or not total:
@@ -78,11 +79,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...]
     Sources in code-point order (null last) take the weights in turn. Times is 0, 1 or 2: whole passes over a
     source, plus one for the first documents of each length in seeded hash order, as many as the knapsack says.
     Null or empty texts have size 0 and are never extra; an empty table gives no rows; documents of equal
-    doc_id are separate rows. The driver holds one row a source, and tasks one histogram row a source and length.
+    doc_id are separate rows, told apart by their texts, so reruns agree; equal rows are alike in all but which of
+    them is taken. The driver holds one row a source, and tasks one histogram row a source and length.
     """
     scratch = Scratch(spark)
     skey = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("z"))
-    rows = docs.select("doc_id", skey.alias("skey"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id").alias("h"), *keep)
+    rows = docs.select("doc_id", skey.alias("skey"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"), *keep)
     if not keep:
         rows = scratch.table(rows)
     lengths = scratch.table(rows.groupBy("skey", "size").agg(F.count(F.lit(1)).alias("n")))

@@ -152,8 +152,8 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
 
 
-def jaccard_join(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id: documents whose sets of n-word shingles have Jaccard >= percent / 100 link.
+def jaccard_join(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int = 80, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id and the (small) columns in keep: documents whose sets of n-word shingles have Jaccard >= percent / 100 link.
 
     Words are lower-cased (A-Z). A text of fewer words is one shingle; null, empty and blank texts have no set and
     link with nothing. component_id is the smallest doc_id that links reach. Equal sets are one node, however
@@ -162,9 +162,9 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int
     other columns are ignored.
     """
     scratch = Scratch(spark)
-    keyed = scratch.table(set_keys(docs, n))
+    keyed = scratch.table(set_keys(docs, n, keep))
     # a bucket has the signatures of so many shingles on average, however much there is
     buckets = max(4 * parts(spark), (keyed.agg(F.sum("n_shingles")).first()[0] or 0) // BUCKET)
     signed = docs.select("text").mapInArrow(_sign(n, percent, buckets), "bucket int, sig binary, node binary")
     edges = scratch.table(signed.groupBy("bucket").applyInArrow(_meet, "a long, b long"))
-    return link_components(spark, docs, keyed, edges, n, percent, scratch)
+    return link_components(spark, docs, keyed, edges, n, percent, scratch, keep)

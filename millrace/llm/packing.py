@@ -48,8 +48,8 @@ def pack_documents(spark: SparkSession, docs: DataFrame, max_len: int = 2048, bu
     """
     scratch = Scratch(spark)
     n = F.regexp_count(text_of(), F.lit(WORD)).cast("long")
-    pieces = docs.select("doc_id", n.alias("n")).select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / max_len).cast("int") - 1))).alias("piece"))
-    pieces = pieces.select("doc_id", "piece", (F.col("piece").cast("long") * max_len).alias("first_word"), F.least(F.lit(max_len).cast("long"), F.col("n") - F.col("piece") * F.lit(max_len)).alias("n_words"), F.xxhash64(F.lit(seed), "doc_id", "piece").alias("h"))
+    pieces = docs.select("doc_id", n.alias("n"), F.xxhash64("text").alias("of")).select("doc_id", "n", "of", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / max_len).cast("int") - 1))).alias("piece"))
+    pieces = pieces.select("doc_id", "piece", (F.col("piece").cast("long") * max_len).alias("first_word"), F.least(F.lit(max_len).cast("long"), F.col("n") - F.col("piece") * F.lit(max_len)).alias("n_words"), F.xxhash64(F.lit(seed), "doc_id", "of", "piece").alias("h"))
     pieces = scratch.table(pieces)
     found = pieces.groupBy(F.greatest(F.lit(1), "n_words").alias("len")).agg(F.count(F.lit(1)).alias("n")).collect()
     if not found:

@@ -120,7 +120,7 @@ def shard_documents(spark: SparkSession, docs: DataFrame, shards: int = 16) -> D
     """
     scratch = Scratch(spark)
     raw = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
-    rows = scratch.table(docs.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64("text").alias("key"), F.xxhash64("doc_id").alias("h")))
+    rows = scratch.table(docs.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64("text").alias("key"), F.xxhash64("doc_id", "text").alias("h")))
     cuts, _ = minimax_cuts(rows.select("key", "size"), shards)
     shard = sum((F.when(F.col("key") >= c, 1).otherwise(0) for c in cuts), F.lit(0)).cast("int")
     return ranked(rows.withColumn("shard", shard), ["shard"], "h", "slot").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -44,20 +44,21 @@ def set_rows(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndar
         yield lo, rows, h, size, key
 
 
-def _keys(n: int) -> Callable:
+def _keys(n: int, keep: tuple[str, ...]) -> Callable:
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [(s, k) for _, _, _, s, k in set_rows(batch.column("text"), n)]
             size = np.concatenate([s for s, _ in got]) if got else np.zeros(0, np.int64)
             key = np.concatenate([k for _, k in got]) if got else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(key.view(np.int64))], ["doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(key.view(np.int64)), *(batch.column(c) for c in keep)], ["doc_id", "n_shingles", "node", *keep])
 
     return keys
 
 
-def set_keys(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles and node: a 64-bit key of the document's shingle set, equal for equal sets."""
-    return docs.select("doc_id", "text").mapInArrow(_keys(n), "doc_id long, n_shingles long, node long")
+def set_keys(docs: DataFrame, n: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, node (a 64-bit key of the document's shingle set, equal for equal sets), and the columns in keep."""
+    kept = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select("doc_id", "text", *keep).mapInArrow(_keys(n, keep), f"doc_id long, n_shingles long, node long{kept}")
 
 
 def _wanted(n: int, percent: int) -> Callable:
@@ -222,8 +223,8 @@ def spanning(rows: DataFrame, keys: list[str], carried: list[str], make: Callabl
     return first.filter("b IS NOT NULL").select("a", "b").union(second)
 
 
-def link_components(spark: SparkSession, docs: DataFrame, keyed: DataFrame, candidates: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
-    """component_id of every row of keyed (doc_id, n_shingles, node), from candidate edges (a, b) between nodes.
+def link_components(spark: SparkSession, docs: DataFrame, keyed: DataFrame, candidates: DataFrame, n: int, percent: int, scratch: Scratch, keep: tuple[str, ...] = ()) -> DataFrame:
+    """component_id of every row of keyed (doc_id, n_shingles, node, and what is in keep), from candidate edges (a, b) between nodes.
 
     Candidate edges only say which sets must be compared: all sets of a connected cluster of them are, within bands
     of size, by 128 bytes of parities, which bound the difference from below. The clusters that are left are compared
@@ -250,4 +251,4 @@ def link_components(spark: SparkSession, docs: DataFrame, keyed: DataFrame, cand
     of_node = joined.union(alone).withColumnRenamed("node", "_node")
     key = F.when(F.col("n_shingles") > 0, F.col("node")).otherwise(F.xxhash64("doc_id"))
     out = keyed.withColumn("_key", key).join(of_node, F.col("_key") == F.col("_node"), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *keep)
