@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import queries, secrets
 from millrace.llm.embed_dups import similar_vectors
@@ -393,6 +394,12 @@ def test_budget_is_met_exactly_where_it_can_be():
         assert budget - got <= 29 and (sum(counts) > 8 or got == max(s for s in can if s <= budget) or budget - got < 29)
 
 
+def test_takes_of_equal_ids_agree(spark):
+    rows = [(1, f"{i} word" if i % 2 else f"word {i} more", "a") for i in range(40)] + [(2, "x " * 30, "b")]
+    of = lambda parts: sorted((r.h, r.taken) for r in mix_sources(spark, spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts).withColumn("h", F.md5("text")), keep=("h",)).collect())
+    assert of(1) == of(3) == of(4)
+
+
 def test_packing(spark, awkward, docs):
     for df in (awkward, docs):
         got = pack_documents(spark, df, max_len=64, buckets=4, token_budget=256).collect()

@@ -52,6 +52,13 @@ def test_one_of_each_group_stays(spark, docs, sf_dir):
     assert {r.doc_id for r in STAGES["near_duplicates"](spark, docs, sf_dir).collect()} == {i for i in rows if root[i] == i}
 
 
+def test_texts_of_one_id_are_told_apart(spark, sf_dir):
+    t, u = " ".join(f"t{i}" for i in range(30)), " ".join(f"u{i}" for i in range(30))
+    rows = [(1, t), (2, t), (2, u), (3, u + " end"), (None, t), (4, None), (4, ""), (5, u)]
+    got = STAGES["near_duplicates"](spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, t), (2, u), (None, t), (4, None), (4, "")], key=str)
+
+
 def test_personal_data_goes(spark, docs, awkward, sf_dir):
     for df in (docs, awkward):
         before = {r.doc_id: r.text for r in df.collect()}
