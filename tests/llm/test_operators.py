@@ -396,7 +396,7 @@ def test_budget_is_met_exactly_where_it_can_be():
 
 def test_takes_of_equal_ids_agree(spark):
     rows = [(1, f"{i} word" if i % 2 else f"word {i} more", "a") for i in range(40)] + [(2, "x " * 30, "b")]
-    of = lambda parts: sorted((r.h, r.taken) for r in mix_sources(spark, spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts).withColumn("h", F.md5("text")), keep=("h",)).collect())
+    of = lambda parts: sorted((r._of, r.taken) for r in mix_sources(spark, spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts).withColumn("_of", F.md5("text")), keep=("_of",)).collect())
     assert of(1) == of(3) == of(4)
 
 
