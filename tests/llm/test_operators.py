@@ -1,6 +1,7 @@
 """The ten operators against plain versions, on the driver's small tables and on awkward ones."""
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import queries, secrets
+from millrace.llm import lm_hpy, queries, secrets
 from millrace.llm.embed_dups import similar_vectors
 from millrace.llm.langid import identify_language
 from millrace.llm.lm_hpy import score_documents
@@ -99,6 +100,99 @@ def test_scores(spark, request, table):
         assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def rising(theta, d, t):
+    return math.prod(theta + d * k for k in range(t))
+
+
+def seatings(c, d):
+    """Weights of t tables for c guests, by seating them one after another."""
+    weight = {0: 1.0}
+    for i in range(c):
+        new = Counter()
+        for t, w in weight.items():
+            new[t + 1] += w
+            if t:
+                new[t] += w * (i - d * t)
+        weight = new
+    return {t: w for t, w in weight.items() if w}
+
+
+def test_tables_are_drawn_from_their_conditional():
+    d, theta, p, rest = 0.6, 1.0, 0.07, 3
+    table, rng = lm_hpy.stirling(d), np.random.default_rng(1)
+    for c in (2, 5, 9):
+        want = {t: w * p**t * rising(theta + d * rest, d, t) for t, w in seatings(c, d).items()}
+        n = 40_000
+        got = Counter(lm_hpy.drawn(np.full(n, c), np.full(n, rest), np.full(n, p), theta, d, rng.random(n), table).tolist())
+        assert max(abs(got[t] / n - w / sum(want.values())) for t, w in want.items()) < 0.01
+    # the moves of dishes with more guests have the exact conditional's mean
+    table, n = lm_hpy.stirling(d, 400), 4000
+    weight = table[400, 1:] + np.cumsum(np.log((theta + d * (rest + np.arange(400))) * p))
+    chance = np.exp(weight - weight.max())
+    mean = (chance * np.arange(1, 401)).sum() / chance.sum()
+    t = np.ones(n, dtype=np.int64)
+    for _ in range(30):
+        t = lm_hpy.moved(np.full(n, 400), t, lambda: rng.random(n), d, lambda now: (theta + d * (rest + now)) * p)
+    assert t.mean() == pytest.approx(mean, rel=0.08)
+
+
+def test_scores_of_a_small_corpus_are_the_models(spark):
+    """Predictive probabilities summed over all tables that a corpus of a few words can have."""
+    texts = ["a b a b", "a b c", "c b a b", "b a"]
+    ids = [i for i in range(100) if crc(i, 7) != 2][: len(texts)]
+    held = next(i for i in range(100) if crc(i, 7) == 2)
+    rows = [*zip(ids, texts), (held, "a b c b z")]
+    counts, vocabulary = defaultdict(Counter), set()
+    for t in texts:
+        w = ["<", *t.split(), ">"]
+        vocabulary.update(w[1:])
+        for u, v in zip(w, w[1:]):
+            counts[u][v] += 1
+    pairs = [(u, v, c) for u in counts for v, c in counts[u].items()]
+    ones, twos = sum(c == 1 for *_, c in pairs), sum(c == 2 for *_, c in pairs)
+    d1, d0, theta = min(0.95, max(0.3, ones / (ones + 2 * twos))), 0.5, 1.0
+    base = 1 / (len(vocabulary) + 1)
+    w = ["<", *rows[-1][1].split(), ">"]
+    asked = list(zip(w, w[1:]))
+    total, sums = 0.0, Counter()
+    ways = [seatings(c, d1) for *_, c in pairs]
+    for tables in itertools.product(*ways):
+        weight = math.prod(x[t] for x, t in zip(ways, tables))
+        tables_u, guests = Counter(), Counter()
+        for (u, v, _), t in zip(pairs, tables):
+            tables_u[u] += t
+            guests[v] += t
+        weight *= math.prod(rising(theta, d1, t) for t in tables_u.values())
+        dishes = sorted(guests)
+        top = [seatings(guests[v], d0) for v in dishes]
+        for seats in itertools.product(*top):
+            whole = weight * rising(theta, d0, sum(seats)) * math.prod(x[t] * base**t for x, t in zip(top, seats)) / rising(theta, 1, sum(guests.values()))
+            total += whole
+            of = dict(zip(dishes, seats))
+            for u, v in set(asked):
+                p = (guests[v] - d0 * of.get(v, 0) + (theta + d0 * sum(seats)) * base) / (theta + sum(guests.values()))
+                at = next((t for (x, y, _), t in zip(pairs, tables) if (x, y) == (u, v)), 0)
+                n = sum(counts[u].values())
+                sums[u, v] += whole * (counts[u][v] - d1 * at + (theta + d1 * tables_u[u]) * p) / (theta + n)
+    want = sum(math.log10(sums[x] / total) for x in asked)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [next(r.score for r in score_documents(spark, table, rounds=3, samples=60, seed=s).collect() if r.doc_id == held) for s in (1, 2, 3)]
+    assert np.mean(got) == pytest.approx(want, abs=0.02 * len(asked))
+
+
+def test_common_contexts_are_split(spark):
+    """A word that most others follow: its parts lie in many buckets and share guests and tables, and scores hardly change with the number of buckets."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(x for _ in range(150) for x in ("the", f"w{int(rng.paretovariate(0.9)) % 4000}"))) for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = []
+    for parts in (2, 24):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got.append({r.doc_id: r.score / r.n_tokens for r in score_documents(spark, table).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert np.mean([abs(got[0][i] - got[1][i]) for i in got[0]]) < 0.005 and len(got[0]) == 400
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 16))
