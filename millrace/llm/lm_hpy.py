@@ -185,10 +185,7 @@ def drawn(c: np.ndarray, rest: np.ndarray, p: np.ndarray, theta: float, d: float
     t factors. numbers: uniform ones, one a dish.
     """
     out = np.ones(len(c), dtype=np.int64)
-    order = np.argsort(c, kind="stable")
-    cut = np.searchsorted(c[order], np.arange(2, EXACT + 2))
-    for n in range(2, EXACT + 1):
-        rows = order[cut[n - 2] : cut[n - 1]]
+    for n, rows in by_count(c):
         for at in range(0, len(rows), max(1, 2_000_000 // n)):
             i = rows[at : at + max(1, 2_000_000 // n)]
             weight = table[n, 1 : n + 1] + np.cumsum(np.log((theta + d * (rest[i, None] + np.arange(n))) * p[i, None]), axis=1)
@@ -197,6 +194,13 @@ def drawn(c: np.ndarray, rest: np.ndarray, p: np.ndarray, theta: float, d: float
     return out
 
 
+def by_count(c: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Where each count of two or more is."""
+    order = np.argsort(c, kind="stable")
+    found, first = np.unique(c[order], return_index=True)
+    return [(int(n), rows) for n, rows in zip(found, np.split(order, first[1:])) if n > 1]
+
+
 def moved(c: np.ndarray, t: np.ndarray, draw: Callable[[], np.ndarray], d: float, opens: Callable[[np.ndarray], np.ndarray | float]) -> np.ndarray:
     """Tables of dishes with more guests than EXACT after each guest has left and been seated again, in PARTS parts.
 
@@ -223,16 +227,16 @@ def parent_tables(word: np.ndarray, guests: np.ndarray, opens: float, d: float,
         return (mix(key + np.uint64(step) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(float) / (1 << 53)
 
     t = (guests > 0).astype(np.int64)
-    key = word.view(np.uint64)
-    some, many = (guests > 1) & (guests <= EXACT), guests > EXACT
-    numbers, table = draw(), stirling(d)
-    for n in np.unique(guests[some]):
+    some, many = np.flatnonzero((guests > 1) & (guests <= EXACT)), guests > EXACT
+    key, table = word.view(np.uint64)[some], stirling(d)
+    numbers, seated = draw(), np.ones(len(some), dtype=np.int64)
+    for n, at in by_count(guests[some]):
         chance = table[n, 1 : n + 1] + np.arange(1, n + 1) * np.log(opens)
         chance = np.cumsum(np.exp(chance - chance.max()))
-        at = np.flatnonzero(guests == n)
-        t[at] = 1 + np.searchsorted(chance, numbers[at] * chance[-1])
+        seated[at] += np.searchsorted(chance, numbers[at] * chance[-1])
+    t[some] = seated
     if many.any():
-        key, c = key[many], guests[many]
+        key, c = word.view(np.uint64)[many], guests[many]
         first = np.maximum(1, np.minimum(c, (opens * (c / opens) ** d).astype(np.int64)))
         for _ in range(3):
             first = moved(c, first, draw, d, lambda _: opens)
@@ -245,7 +249,9 @@ def _root(scale: dict, turns: int) -> Callable:
         """The parent's tables in each turn; a word counts once over all buckets that have it."""
         for batch in batches:
             word, guests, copies = (batch.column(c).to_numpy() for c in ("word", "guests", "copies"))
-            total = [float((parent_tables(word, guests, scale["opens"], scale["d0"], k) / copies).sum()) for k in range(turns)]
+            first = np.flatnonzero(np.diff(word, prepend=~word[:1]))  # equal words follow each other
+            share = np.diff(np.append(first, len(word))) / copies[first]
+            total = [float((parent_tables(word[first], guests[first], scale["opens"], scale["d0"], k) * share).sum()) for k in range(turns)]
             yield pa.RecordBatch.from_arrays([pa.array(range(turns), pa.int32()), pa.array(total)], ["turn", "seats"])
 
     return root
@@ -279,7 +285,12 @@ def _sample(scale: dict, final: bool) -> Callable:
         t = (count > 0).astype(np.int64)
         some = np.flatnonzero(count > 1)
         turn_of = (some - first[ui[some]]) % TURNS
-        table = stirling(d)
+        turns = [(some[(turn_of == k) & (count[some] <= EXACT)], some[(turn_of == k) & (count[some] > EXACT)]) for k in range(TURNS)]
+        table, tables_u = stirling(d), np.add.reduceat(t, first) + elsewhere
+
+        def put(i: np.ndarray, new: np.ndarray) -> None:
+            np.add.at(tables_u, ui[i], new - t[i])
+            t[i] = new
 
         def parent(turn: int) -> np.ndarray:
             seats = parent_tables(tails, guests, scale["opens"], scale["d0"], turn)
@@ -287,23 +298,19 @@ def _sample(scale: dict, final: bool) -> Callable:
 
         def sweep(p: np.ndarray) -> None:
             """Every dish once; what a context's other dishes have is looked up again after each of TURNS parts of them."""
-            for k in range(TURNS):
-                i = some[turn_of == k]
-                rest = (np.add.reduceat(t, first) + elsewhere)[ui[i]] - t[i]
-                small_ = count[i] <= EXACT
-                j, q = i[small_], i[~small_]
-                t[j] = drawn(count[j], rest[small_], p[wi[j]], theta, d, rng.random(len(j)), table)
+            for i, q in turns:
+                put(i, drawn(count[i], tables_u[ui[i]] - t[i], p[wi[i]], theta, d, rng.random(len(i)), table))
                 if len(q):
-                    far, chance = rest[~small_], p[wi[q]]
-                    t[q] = moved(count[q], t[q], lambda: rng.random(len(q)), d, lambda now: (theta + d * (far + now)) * chance)
+                    far, chance = tables_u[ui[q]] - t[q], p[wi[q]]
+                    put(q, moved(count[q], t[q], lambda: rng.random(len(q)), d, lambda now: (theta + d * (far + now)) * chance))
 
         mean, p = np.zeros(len(count)), parent(0)
         for _ in range(scale["burn"]):
             sweep(p)
         for k in range(scale["samples"] if final else 0):
-            p = parent(k)
+            if k * scale["draws"] % scale["samples"] < scale["draws"]:
+                p = parent(k * scale["draws"] // scale["samples"])
             sweep(p)
-            tables_u = np.add.reduceat(t, first) + elsewhere
             mean += (count - d * t + (theta + d * tables_u[ui]) * p[wi]) / (theta + guests_u[ui])
         if not final:
             sent = pack(small(np.bincount(wi, weights=count, minlength=len(tails)).astype(np.int64)), small(np.bincount(wi, weights=t, minlength=len(tails)).astype(np.int64)))
@@ -341,7 +348,7 @@ def _score(tokens: int) -> Callable:
     return score
 
 
-def score_documents(spark: SparkSession, docs: DataFrame, rounds: int = 2, burn: int = 4, samples: int = 6, seed: int = 23) -> DataFrame:
+def score_documents(spark: SparkSession, docs: DataFrame, rounds: int = 2, burn: int = 2, samples: int = 6, draws: int = 3, seed: int = 23) -> DataFrame:
     """log10 probability of every whole text under a hierarchical Pitman-Yor bigram model, with a smoothed unigram base score.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity. Training texts are
@@ -352,7 +359,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, rounds: int = 2, burn:
     before they are sent. In each round the parent's guests are summed over all buckets by word, and every bucket
     sweeps over its contexts given the parent. A sweep draws the number of tables of every dish anew from its
     conditional, exactly for up to EXACT guests, beyond that guest by guest in PARTS parts. In the last round the
-    predictions are averaged over samples, each with a draw of the parent's tables of its own. Three things are held
+    predictions are averaged over samples, during which the parent's tables are drawn draws times. Three things are held
     for a while: the parent's guests within a round, a context's tables while one in TURNS of its dishes is drawn (so
     contexts of up to TURNS dishes are exact), and the tables of a very common context's parts in other buckets
     within a round. Buckets keep which documents have which bigrams.
@@ -379,7 +386,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, rounds: int = 2, burn:
             out[:, r.place] = r.g, r.t
         return out[0], out[1]
 
-    scale = {"d1": float(np.clip(ones / max(1, ones + 2 * twos), 0.3, 0.95)), "d0": 0.5, "theta1": 1.0, "theta0": 1.0, "burn": burn, "samples": samples, "seed": seed}
+    scale = {"d1": float(np.clip(ones / max(1, ones + 2 * twos), 0.3, 0.95)), "d0": 0.5, "theta1": 1.0, "theta0": 1.0, "burn": burn, "samples": samples, "draws": min(draws, samples), "seed": seed}
     scale["hot_guests"], scale["hot_first"] = shared(gathered)
     scale["hot_tables"] = scale["hot_first"]
     messages = gathered.select("bucket", "words", "counts").mapInArrow(_messages, "bucket int, word long, count long, tables long")
@@ -394,7 +401,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, rounds: int = 2, burn:
         tokens, kinds, guests, dishes = (round(x or 0) for x in (tokens, kinds, guests, dishes))
         # tables are drawn by the weight that the last round's tables give, at first one for each dish
         scale |= {"round": k, "guests": guests, "cells": tokens + kinds + 1, "cells0": kinds + 1, "opens": (scale["theta0"] + scale["d0"] * (seats or dishes)) / (kinds + 1)}
-        turns = samples if last else 1
+        turns = scale["draws"] if last else 1
         found = {r.turn: r.s for r in summed.mapInArrow(_root(dict(scale), turns), "turn int, seats double").groupBy("turn").agg(F.sum("seats").alias("s")).collect()}
         scale["seats"] = [found.get(i, 0.0) for i in range(turns)]
         seats = scale["seats"][0]

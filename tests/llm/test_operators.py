@@ -176,7 +176,7 @@ def test_scores_of_a_small_corpus_are_the_models(spark):
                 sums[u, v] += whole * (counts[u][v] - d1 * at + (theta + d1 * tables_u[u]) * p) / (theta + n)
     want = sum(math.log10(sums[x] / total) for x in asked)
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    got = [next(r.score for r in score_documents(spark, table, rounds=3, samples=60, seed=s).collect() if r.doc_id == held) for s in (1, 2, 3)]
+    got = [next(r.score for r in score_documents(spark, table, rounds=3, samples=60, draws=60, seed=s).collect() if r.doc_id == held) for s in (1, 2, 3)]
     assert np.mean(got) == pytest.approx(want, abs=0.02 * len(asked))
 
 
