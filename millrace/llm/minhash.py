@@ -3,21 +3,22 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, parts
+from .common import parts, text_of
+from .ngram_join import signed_join
 from .tokens import mix, shingles, slices, words
-from .verify import link_components, set_keys, set_rows
 
 PERMUTATIONS, SHINGLE = 128, 5
 #: Texts of at most so many bytes are hashed at once, so that a permutation's values stay in the CPU's cache.
 CHUNK = 1 << 19
-FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles long, component_id long"
 
 
 def permutations(n: int = PERMUTATIONS, seed: int = 41) -> tuple[np.ndarray, np.ndarray]:
@@ -61,39 +62,61 @@ def search_tree(at: Column, splits: list[int], lo: int = 0, hi: int | None = Non
     return F.when(at < splits[mid], search_tree(at, splits, lo, mid)).otherwise(search_tree(at, splits, mid + 1, hi))
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, as all of them are shuffled."""
+    press = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        texts = batch.column("text").cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names[1:]), pa.array([press.compress(t.as_buffer()) if t.is_valid else None for t in texts], pa.binary())], [*batch.schema.names[1:], "body"])
+
+
 def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of bucket and falling doc_id, each bucket closed by the document that follows it."""
+    """Rows in order of bucket and falling doc_id, each bucket closed by the document that follows it; a row without a text tells the component of the rows of its doc_id and text that come next."""
     a, b = permutations()
+    unpress = zstandard.ZstdDecompressor()
     held: pa.Table | None = None
     held_sig = np.zeros((0, len(a)), dtype=np.uint32)
+    told = (0, None)
     names = [f.split()[0] for f in FIELDS.split(", ")]
     for batch in batches:
-        new = pa.Table.from_batches([batch])
+        text = batch.column("kind").to_numpy() == 1
+        size, component = batch.column("n_shingles").to_pylist(), batch.column("component").to_pylist()
+        last = np.maximum.accumulate(np.where(text, -1, np.arange(len(text))))
+        found = [(size[i], component[i]) if i >= 0 else told for i in last]
+        told = found[-1] if found else told
+        at = np.flatnonzero(text)
+        bodies = batch.column("body").take(pa.array(at))
+        new = pa.table({"doc_id": batch.column("doc_id").take(pa.array(at)), "bucket": batch.column("bucket").take(pa.array(at)), "follows": batch.column("follows").take(pa.array(at)), "text": pa.array([unpress.decompress(x.as_buffer()).decode() if x.is_valid else "" for x in bodies], pa.large_string()), "n_shingles": pa.array([found[i][0] for i in at], pa.int64()), "component_id": pa.array([found[i][1] for i in at], pa.int64())})
         sig = np.vstack([held_sig, signatures(new.column("text"), a, b)])
         rows = new if held is None else pa.concat_tables([held, new])
+        if not rows.num_rows:
+            continue
         held, held_sig = rows.slice(rows.num_rows - 1), sig[-1:]
         flag, bucket = rows.column("follows").to_numpy(), rows.column("bucket").to_numpy()
         own = np.flatnonzero((flag[:-1] == 0) & (bucket[:-1] == bucket[1:]))
         if not len(own):
             continue
-        texts = rows.column("text").fill_null("").to_pylist()
+        texts = rows.column("text").to_pylist()
         edited = [t[: len(t) - len(t) // 2] + texts[i + 1][: len(t) // 2] for i in own for t in (texts[i],)]
         new_sig = signatures(pa.array(edited, pa.large_string()), a, b)
-        cols = [rows.column("doc_id").take(pa.array(own)).combine_chunks(), pa.array([len(texts[i]) for i in own], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]), pa.array(hexes(sig[own])), pa.array(hexes(new_sig)), pa.array(likeness(sig[own], new_sig)), pa.array(likeness(sig[own], sig[own + 1]))]
+        take = lambda c: rows.column(c).take(pa.array(own)).combine_chunks()  # noqa: E731, B023
+        cols = [take("doc_id"), pa.array([len(texts[i]) for i in own], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]), pa.array(hexes(sig[own])), pa.array(hexes(new_sig)), pa.array(likeness(sig[own], new_sig)), pa.array(likeness(sig[own], sig[own + 1])), take("n_shingles"), take("component_id")]
         yield pa.RecordBatch.from_arrays(cols, names)
 
 
-def fingerprint_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Each document's fingerprint, and that of its text with the second half taken from the next document.
+def fingerprint_documents(spark: SparkSession, docs: DataFrame, percent: int = 80) -> DataFrame:
+    """Each document's fingerprint, that of its text with the second half taken from the next document, and its near duplicates.
 
     The next document is found without one global sort: doc_ids are cut into ranges of about equal counts, and
     each range also gets the first document of the range below (the lowest gets the highest document of all).
-    Null texts are empty; texts of fewer than five words are one shingle; texts without words share one
-    fingerprint and are like each other. Rows of equal doc_id follow each other by text, rows without one are the lowest. An empty table gives no
+    component_id and n_shingles are those of near_duplicates. Null texts are empty; texts of fewer than five words are
+    one shingle; texts without words share one fingerprint and are like each other, but are in no component. Rows of
+    equal doc_id follow each other by a hash of their texts, rows without one are the lowest. An empty table gives no
     rows. Other columns are ignored.
     """
     n = 3 * parts(spark)
-    docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"))
+    docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), F.xxhash64(text_of()).alias("_of"))
+    near = near_duplicates(spark, docs, percent=percent, keep=("_id", "_of"))
     ids = docs.select("_id")
     found = ids.agg(F.percentile_approx("_id", [i / n for i in range(1, n)], 20 * n).alias("p")).first().p
     splits = sorted(set(found or []))
@@ -102,45 +125,39 @@ def fingerprint_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     above = {top: tops[(i + 1) % len(tops)][0] for i, (_, top) in enumerate(tops)}
     follows = search_tree(F.col("_id"), sorted(above))  # 1 + the place of the row's doc_id among the tops, if it is one
     place = [above[t] for t in sorted(above)]
-    own = docs.select("doc_id", "text", bucket.alias("bucket"), F.lit(0).alias("follows"))
+    none = [F.lit(None).cast("long").alias(c) for c in ("n_shingles", "component")]
+    own = docs.select("text", "doc_id", "_of", bucket.alias("bucket"), F.lit(0).alias("follows"), F.lit(1).alias("kind"), *none)
     at = F.element_at(F.array(*map(F.lit, place or [0])), F.greatest(F.lit(1), follows)).alias("bucket")
     top = F.element_at(F.array(*(F.lit(t).cast("long") for t in sorted(above) or [0])), F.greatest(F.lit(1), follows))
-    closing = docs.filter(F.col("_id") == top).select("doc_id", "text", at, F.lit(1).alias("follows"))
-    rows = own.union(closing).repartition(parts(spark), "bucket").sortWithinPartitions("bucket", "follows", F.desc("doc_id"), F.asc_nulls_first("text"))
-    return rows.select("doc_id", "text", "bucket", "follows").mapInArrow(_edited, FIELDS)
-
-
-def _banded(n: int, rows: int) -> Callable:
-    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = permutations()
-        bands = len(a) // rows
-        for batch in batches:
-            some = [(s, k) for _, _, _, s, k in set_rows(batch.column(0), n)]
-            if not some:
-                continue
-            size, node = (np.concatenate(x) for x in zip(*some))
-            _, one = np.unique(node, return_index=True)
-            one = one[size[one] > 0]
-            sig = signatures(batch.column(0), a, b, n)[one].astype(np.uint64)
-            h = np.tile(np.arange(bands, dtype=np.uint64), (len(one), 1))
-            for r in range(rows):
-                h = mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, r : bands * rows : rows] + np.uint64(1))
-            yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(np.repeat(node[one], bands).view(np.int64))], ["band", "node"])
-
-    return banded
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, n: int = SHINGLE, percent: int = 80, rows: int = 5) -> DataFrame:
-    """doc_id, n_shingles and component_id: documents that share a band of their signatures and whose Jaccard is verified link.
+    closing = docs.filter(F.col("_id") == top).select("text", "doc_id", "_of", at, F.lit(1).alias("follows"), F.lit(1).alias("kind"), *none)
+    fields = "doc_id long, _of long, bucket int, follows int, kind int, n_shingles long, component long, body binary"
+    texts = own.union(closing).mapInArrow(_packed, fields)
+    told = near.select("doc_id", "_of", bucket.alias("bucket"), F.lit(0).alias("follows"), F.lit(0).alias("kind"), "n_shingles", F.col("component_id").alias("component"), F.lit(None).cast("binary").alias("body"))
+    rows = texts.union(told).repartition(parts(spark), "bucket").sortWithinPartitions("bucket", "follows", F.desc("doc_id"), "_of", "kind")
+    return rows.mapInArrow(_edited, FIELDS)
+
+
+def banded(rows: np.ndarray, h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash of a band) for every band of width minima of the sets given as hashes by row."""
+    if not len(h):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    a, b = permutations()
+    bands = len(a) // width
+    first = np.flatnonzero(np.diff(rows, prepend=-1))
+    x = (h >> np.uint64(32)).astype(np.uint32)
+    out = np.tile(np.arange(bands, dtype=np.uint64), (len(first), 1))
+    for i in range(bands):
+        for j in range(i * width, (i + 1) * width):
+            out[:, i] = mix(out[:, i] * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(a[j] * x + b[j], first) + np.uint64(1))
+    return np.repeat(rows[first], bands), out.ravel()
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, n: int = SHINGLE, percent: int = 80, rows: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id and the columns in keep: documents that share a band of their signatures and whose Jaccard is verified link.
 
     128 permutations make 25 bands of 5 rows: sets of Jaccard 0.8 share one with a chance of 0.9999. A band's
     documents meet through its smallest set, never in pairs; equal sets are one node however many documents have
-    them. The Jaccard of n-word shingle sets is then taken exactly inside each cluster, in blocks. Null, empty and
+    them. The Jaccard of n-word shingle sets is then taken exactly inside each cluster. Null, empty and
     blank texts link with nothing; repeated rows give a row each; an empty table gives none; other columns are ignored.
     """
-    scratch = Scratch(spark)
-    keyed = scratch.table(set_keys(docs, n))
-    banded = scratch.table(docs.select("text").mapInArrow(_banded(n, rows), "band long, node long").distinct())
-    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"))
-    edges = banded.join(hubs, "band").filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    return link_components(spark, docs, keyed, edges, n, percent, scratch)
+    return signed_join(spark, docs, n, percent, lambda of, h, size: banded(of, h, rows), keep)

@@ -103,7 +103,7 @@ def unpacked(sig: bytes, node: bytes) -> tuple[np.ndarray, np.ndarray]:
     return whole.view("<u8").ravel().astype(np.uint64), np.frombuffer(node, np.uint64, n).repeat(np.frombuffer(node, np.uint32, n, 8 * n))
 
 
-def _sign(n: int, percent: int, buckets: int) -> Callable:
+def _sign(n: int, signer: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], buckets: int) -> Callable:
     def rows_of(sig: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Nodes that share a signature here go out as edges; others may meet them only through its smallest node."""
         sig, node, a, b = stars(sig, node)
@@ -124,7 +124,7 @@ def _sign(n: int, percent: int, buckets: int) -> Callable:
         count = 0
         for batch in batches:
             for _, rows, h, size, key in set_rows(batch.column(0), n):
-                row, sig = signatures(rows, h, size, percent)
+                row, sig = signer(rows, h, size)
                 held.append((sig, key[row]))
                 count += len(sig)
                 if count >= HELD:
@@ -161,10 +161,15 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int
     first, so a common signature costs one row a task. Repeated rows give a row each; an empty table gives none;
     other columns are ignored.
     """
+    return signed_join(spark, docs, n, percent, lambda rows, h, size: signatures(rows, h, size, percent), keep)
+
+
+def signed_join(spark: SparkSession, docs: DataFrame, n: int, percent: int, signer: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], keep: tuple[str, ...]) -> DataFrame:
+    """Documents linked by Jaccard among those that share a signature: signer gives (row, signature) for sets given as sorted hashes by row, and their sizes."""
     scratch = Scratch(spark)
     keyed = scratch.table(set_keys(docs, n, keep))
     # a bucket has the signatures of so many shingles on average, however much there is
     buckets = max(4 * parts(spark), (keyed.agg(F.sum("n_shingles")).first()[0] or 0) // BUCKET)
-    signed = docs.select("text").mapInArrow(_sign(n, percent, buckets), "bucket int, sig binary, node binary")
+    signed = docs.select("text").mapInArrow(_sign(n, signer, buckets), "bucket int, sig binary, node binary")
     edges = scratch.table(signed.groupBy("bucket").applyInArrow(_meet, "a long, b long"))
     return link_components(spark, docs, keyed, edges, n, percent, scratch, keep)

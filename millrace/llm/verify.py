@@ -14,6 +14,8 @@ from .tokens import distinct, mix, shingles, slices, words
 
 #: Sets of a block that meets its group's pivots, and of a block that meets a block of what the pivots left over.
 BLOCK, REST = 256, 1024
+#: Members of candidate clusters that are sent to all tasks at most: 24 MB.
+SENT = 1_000_000
 #: Pivots of a group, on average; groups of no more sets consist of pivots only.
 PIVOTS = 32
 #: Cells of the sketch that bounds from below how many elements two sets don't share.
@@ -235,8 +237,10 @@ def link_components(spark: SparkSession, docs: DataFrame, keyed: DataFrame, cand
     clusters = components(spark, candidates, scratch)
     first = keyed.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
     members = clusters.join(first, clusters.id == first.node).select(F.col("rep").alias("doc_id"), "node", F.col("root").alias("cluster"))
-    # few documents are members, but how few is not known beforehand: the same shuffled join at every size
-    sets = docs.select("doc_id", "text").join(scratch.table(members).hint("merge"), "doc_id").select("text", "node", "cluster").mapInArrow(_wanted(n, percent), "cluster long, node long, band int, n long, odd binary, hashes binary")
+    members = scratch.table(members)
+    # few documents are members: up to so many, at 24 bytes each, they go to the texts; beyond that both are shuffled
+    members = F.broadcast(members) if members.count() <= SENT else members.hint("merge")
+    sets = docs.select("doc_id", "text").join(members, "doc_id").select("text", "node", "cluster").mapInArrow(_wanted(n, percent), "cluster long, node long, band int, n long, odd binary, hashes binary")
     sets = scratch.table(sets)
     banded = sets.select("cluster", "node", "n", "odd", F.posexplode(F.array("band", F.col("band") + 1)).alias("step", "size_band"))
     near = scratch.table(spanning(banded, ["cluster", "size_band"], ["n", "step", "odd"], _by_parity(percent), scratch))

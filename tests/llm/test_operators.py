@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from millrace.llm import lm_hpy, queries, secrets
@@ -240,10 +241,16 @@ def test_languages(spark, docs, awkward):
     assert {r.lang_pred for r in unlabelled.collect()} == {"und"}
 
 
+def signed(text):
+    """Spark's hash of a text."""
+    h = xxhash.xxh64_intdigest(text.encode(), seed=42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 @pytest.mark.parametrize("table", ["awkward", "docs"])
 def test_fingerprints(spark, request, table):
     df = request.getfixturevalue(table).select("doc_id", "text")
-    rows = sorted(((r[0], r[1] or "") for r in df.collect()), key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), r[1]))
+    rows = sorted(((r[0], r[1] or "") for r in df.collect()), key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), signed(r[1])))
     want = Counter()
     for (i, t), (_, nxt) in zip(rows, rows[1:] + rows[:1]):
         edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
@@ -256,6 +263,9 @@ def test_fingerprints(spark, request, table):
         prints[text[r.doc_id]].add(r.fingerprint)
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
     assert all(len(p) == 1 for p in prints.values())
+    sets = {i: brute.shingles(t, 5) for i, t in text.items() if i is not None}
+    root = brute.roots(sorted(sets), lambda i, j: bool(sets[i]) and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]))
+    assert all((r.n_shingles, r.component_id) == (len(sets[r.doc_id]), root[r.doc_id]) for r in got if r.doc_id is not None)
     following = {i: t for (i, _), (_, t) in zip(rows, rows[1:] + rows[:1]) if [x for x, _ in rows].count(i) == 1}
     off = [abs(r.near_next - brute.jaccard(brute.shingles(text[r.doc_id], 5), brute.shingles(following[r.doc_id], 5))) for r in got if r.doc_id in following and brute.words(text[r.doc_id]) and brute.words(following[r.doc_id])]
     assert np.mean(off) < 0.05
