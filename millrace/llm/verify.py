@@ -207,21 +207,23 @@ def spanning(rows: DataFrame, keys: list[str], carried: list[str], make: Callabl
     pivot = F.pmod(F.xxhash64(F.lit(7), "node"), F.greatest("_m", F.lit(PIVOTS))) < PIVOTS
     mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
     dealt = sized.withColumn("pivot", pivot).withColumn("mine", mine).withColumn("block", F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("mine"))))
-    dealt = dealt.select(*keys, "block", "node", "pivot", (F.col("block") == F.col("mine")).alias("own"), *carried)
+    # one column names the block: rows dealt by the group's keys, as a join leaves them, would count as dealt by group and block
+    cell = lambda *names: F.concat_ws(":", *(F.col(c).cast("string") for c in (*keys, *names))).alias("cell")
+    dealt = dealt.select(cell("block"), *keys, "node", "pivot", (F.col("block") == F.col("mine")).alias("own"), *carried)
     out = rows.select(*keys).schema
     edges_of = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out)
     arrow = pa.schema([(f.name, pa.int64() if f.dataType.simpleString() == "bigint" else pa.int32()) for f in out])
-    first = scratch.table(dealt.groupBy(*keys, "block").applyInArrow(_pivoted(make, keys, arrow), f"{edges_of}, a long, b long"))
+    first = scratch.table(dealt.groupBy("cell").applyInArrow(_pivoted(make, keys, arrow), f"{edges_of}, a long, b long"))
     over = first.filter("b IS NULL").select(*keys, F.col("a").alias("node")).distinct()
     many = over.groupBy(*keys).agg(F.count(F.lit(1)).alias("_o"))
     # among the pivots all pairs have been compared
     left = sized.filter(F.col("_m") > PIVOTS).join(many, keys).join(over.withColumn("left_over", F.lit(True)), [*keys, "node"], "left").withColumn("left_over", F.coalesce("left_over", F.lit(False)))
     place = lambda n: F.pmod(F.xxhash64("node"), F.ceil(F.col(n) / REST)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / REST).cast("int") - 1))
-    names = [*keys, "i", "j", "node", "over", "left_over", *carried]
+    names = [cell("i", "j"), "node", "over", "left_over", *carried]
     one = left.withColumns({"over": F.lit(False), "j": place("_m")}).withColumn("i", every("_o")).select(*names)
     two = left.filter("left_over").withColumns({"over": F.lit(True), "i": place("_o")}).withColumn("j", every("_m")).select(*names)
-    second = scratch.table(one.union(two).groupBy(*keys, "i", "j").applyInArrow(_rest(make), "a long, b long"))
+    second = scratch.table(one.union(two).groupBy("cell").applyInArrow(_rest(make), "a long, b long"))
     return first.filter("b IS NOT NULL").select("a", "b").union(second)
 
 
