@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, components, parts
 from .tokens import distinct, mix, shingles, slices, words
 
 #: Sets of a block that meets its group's pivots, and of a block that meets a block of what the pivots left over.
@@ -18,6 +18,8 @@ BLOCK, REST = 256, 1024
 SENT = 1_000_000
 #: Pivots of a group, on average; groups of no more sets consist of pivots only.
 PIVOTS = 32
+#: A group of more nodes than one of FAIR * (shuffle partitions) equal parts of all is split where it meets its count.
+FAIR = 4
 #: Cells of the sketch that bounds from below how many elements two sets don't share.
 CELLS = 256
 #: Bits of the smaller sketch that travels without the set: each is the parity of the elements it stands for.
@@ -201,8 +203,15 @@ def spanning(rows: DataFrame, keys: list[str], carried: list[str], make: Callabl
     to them there; most of a group of copies then is one core. Only what is left over meets all nodes of its group,
     in blocks; in groups of no more than PIVOTS nodes nothing is.
     """
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1")
-    sized = rows.join(counts, keys)
+    counts = scratch.table(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1"))
+    # groups that hold more than a task's fair share meet their counts in several tasks; no more than FAIR * parts groups can
+    total = counts.agg(F.sum("_m")).first()[0] or 0
+    fair = max(BLOCK, total // (FAIR * parts(rows.sparkSession)))
+    tasks = F.ceil(F.col("_m") / fair).cast("int")
+    large = F.broadcast(counts.filter(F.col("_m") > fair).select(*keys, tasks.alias("_tasks")))
+    salted = [*keys, "_salt"]
+    counts = counts.withColumn("_salt", F.explode(F.sequence(F.lit(0), tasks - 1)))
+    sized = rows.join(large, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(F.lit(3), "node"), F.coalesce("_tasks", F.lit(1))).cast("int")).drop("_tasks").join(counts, salted)
     blocks = F.ceil(F.col("_m") / BLOCK).cast("int")
     pivot = F.pmod(F.xxhash64(F.lit(7), "node"), F.greatest("_m", F.lit(PIVOTS))) < PIVOTS
     mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
@@ -215,9 +224,9 @@ def spanning(rows: DataFrame, keys: list[str], carried: list[str], make: Callabl
     arrow = pa.schema([(f.name, pa.int64() if f.dataType.simpleString() == "bigint" else pa.int32()) for f in out])
     first = scratch.table(dealt.groupBy("cell").applyInArrow(_pivoted(make, keys, arrow), f"{edges_of}, a long, b long"))
     over = first.filter("b IS NULL").select(*keys, F.col("a").alias("node")).distinct()
-    many = over.groupBy(*keys).agg(F.count(F.lit(1)).alias("_o"))
+    many = over.groupBy(*keys).agg(F.count(F.lit(1)).alias("_o")).join(counts.select(*salted), keys)
     # among the pivots all pairs have been compared
-    left = sized.filter(F.col("_m") > PIVOTS).join(many, keys).join(over.withColumn("left_over", F.lit(True)), [*keys, "node"], "left").withColumn("left_over", F.coalesce("left_over", F.lit(False)))
+    left = sized.filter(F.col("_m") > PIVOTS).join(many, salted).join(over.withColumn("left_over", F.lit(True)), [*keys, "node"], "left").withColumn("left_over", F.coalesce("left_over", F.lit(False)))
     place = lambda n: F.pmod(F.xxhash64("node"), F.ceil(F.col(n) / REST)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / REST).cast("int") - 1))
     names = [cell("i", "j"), "node", "over", "left_over", *carried]
