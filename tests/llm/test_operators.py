@@ -581,3 +581,16 @@ def test_discoveries_are_those_of_benjamini_and_hochberg():
     last = max((i for i, (x, _, _) in enumerate(p) if x <= 0.05 * (i + 1) / len(p)), default=-1)
     limits = secrets.discoveries(counts, 0.05)
     assert last >= 0 and sorted(x for x in p[: last + 1]) == sorted(x for x in p if x[2] <= limits[5, x[1]])
+
+
+def test_large_groups_of_near_copies(spark):
+    """Two groups that hold most rows and share much of their texts: each is one component, and they don't link."""
+    import random
+
+    r = random.Random(1)
+    base = [f"w{r.randrange(9999)}" for _ in range(300)]
+    far = [f"f{j}" if j % 9 == 0 else w for j, w in enumerate(base)]
+    changed = lambda text, i: " ".join(f"x{i}" if j == i % 300 else w for j, w in enumerate(text))
+    rows = [(i, changed(base if i < 1500 else far, i)) for i in range(1900)] + [(i, " ".join(f"q{r.randrange(9999)}" for _ in range(50))) for i in range(1900, 2000)]
+    got = {x.doc_id: x.component_id for x in jaccard_join(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(8), 3, 90).collect()}
+    assert got == {i: 0 if i < 1500 else 1500 if i < 1900 else i for i in range(2000)}
