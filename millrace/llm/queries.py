@@ -15,6 +15,7 @@ from .minhash import fingerprint_documents
 from .mixing import mix_sources
 from .ngram_join import jaccard_join
 from .packing import pack_documents
+from .phrases import mine_phrases
 from .pii import find_personal_data, report
 from .secrets import scan_secrets
 from .sharding import shard_documents
@@ -64,8 +65,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(spark, documents(spark, sf_dir))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(spark, documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hpy_scores, op2_similar_vectors, op3_language_id, op4_minhash, op5_personal_data, op6_minimax_shards, op7_ngram_join, op8_mix_sources, op9_pack_documents, op10_secrets)}
+    return {f.__name__: f for f in (op1_hpy_scores, op2_similar_vectors, op3_language_id, op4_minhash, op5_personal_data, op6_minimax_shards, op7_ngram_join, op8_mix_sources, op9_pack_documents, op10_secrets, op11_phrases)}
 
 
 #: Roots of the nodes in n (id) by links in e (a, b), for both joins: the smallest id that links lead to.
@@ -90,6 +95,20 @@ e AS (SELECT a, b FROM p JOIN n y ON y.id = a JOIN n z ON z.id = b WHERE 100 * c
 {REACHED}
 SELECT doc_id, CAST(coalesce(size, 0) AS BIGINT) AS n_shingles, CAST(coalesce(root, doc_id) AS BIGINT) AS component_id
 FROM documents LEFT JOIN n ON n.id = doc_id LEFT JOIN c ON c.id = doc_id""",
+    "op11_phrases": f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {LETTERS}), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p), every AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+s AS (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM (SELECT lang, w, unnest([1, 2, 3, 4]) AS size FROM w)),
+f AS (SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase, count(*) AS a FROM s GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+t AS (SELECT lang, w, a, size, unnest(range(2, size)) AS sub FROM c),
+u AS (SELECT lang, a, w, sub, unnest(range(1, size - sub + 2)) AS i FROM t),
+longer AS (SELECT lang, array_to_string(w[i:i + sub - 1], ' ') AS phrase, max(a) AS longest FROM u GROUP BY ALL),
+k AS (SELECT lang, phrase, a, w, size, unnest(range(1, size)) AS k FROM c LEFT JOIN longer USING (lang, phrase) WHERE longest IS NULL OR NOT 100::HUGEINT * longest >= 80::HUGEINT * a),
+x AS (SELECT k.lang, k.phrase, k.a, k.k, l.a AS l, r.a AS r, (2000000::HUGEINT * k.a) // (l.a::HUGEINT + r.a) AS score FROM k
+JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(k.w[1:k.k], ' ') JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(k.w[k.k + 1:k.size], ' ')),
+y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM y)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM z JOIN every USING (lang) WHERE rank <= 2000""",
 }
 
 

@@ -78,9 +78,9 @@ def rows_of(off: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(off) - 1), np.diff(np.searchsorted(starts, off)))
 
 
-def words(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends, rows and 64-bit hashes of the words of lower-cased (A-Z) texts."""
-    starts, ends = bounds(off, ~_SEP[data])
+def words(off: np.ndarray, data: np.ndarray, between: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends, rows and 64-bit hashes of the words of lower-cased (A-Z) texts; between: which bytes end a word."""
+    starts, ends = bounds(off, ~between[data])
     if not len(starts):
         return starts, ends, starts, np.zeros(0, np.uint64)
     p, q = _powers(len(data))
