@@ -19,6 +19,7 @@ from .phrases import mine_phrases
 from .pii import find_personal_data, report
 from .secrets import scan_secrets
 from .sharding import shard_documents
+from .tries import conversation_trie
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +70,12 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_phrases(spark, documents(spark, sf_dir))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hpy_scores, op2_similar_vectors, op3_language_id, op4_minhash, op5_personal_data, op6_minimax_shards, op7_ngram_join, op8_mix_sources, op9_pack_documents, op10_secrets, op11_phrases)}
+    return {f.__name__: f for f in (op1_hpy_scores, op2_similar_vectors, op3_language_id, op4_minhash, op5_personal_data, op6_minimax_shards, op7_ngram_join, op8_mix_sources, op9_pack_documents, op10_secrets, op11_phrases, op13_conversation_trie)}
 
 
 #: Roots of the nodes in n (id) by links in e (a, b), for both joins: the smallest id that links lead to.
@@ -78,6 +83,9 @@ REACHED = """e2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT id, id AS root FROM n UNION SELECT e2.b, r.root FROM r JOIN e2 ON e2.a = r.id WHERE r.root < e2.b),
 c AS (SELECT id, min(root) AS root FROM r GROUP BY id)"""
 LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+#: CRC-32 of a number's decimal digits, bit by bit.
+CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda d: ord(d)::BIGINT)),
+lambda crc, d: list_reduce(list_prepend(xor(crc, d), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
 #: Sampled models, hashes that only Spark has, dynamic programs and bisections are not SQL; the tests have plain versions of them.
 SQL = {
     "op2_similar_vectors": f"""WITH RECURSIVE n AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings
@@ -109,6 +117,18 @@ JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(k.w[1:k.k], ' ') JOIN
 y AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM y)
 SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM z JOIN every USING (lang) WHERE rank <= 2000""",
+    "op13_conversation_trie": f"""WITH o AS (SELECT conv_id, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS t, strlen(coalesce(text, '')) AS bytes,
+row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS place FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, max(place) AS total, conv_id - conv_id % 5 AS base, {CRC32} % 9 AS h FROM o GROUP BY conv_id),
+k AS (SELECT c.*, least(c.h, coalesce(b.total, 0)) AS k FROM c LEFT JOIN c b ON b.conv_id = c.base),
+r AS (SELECT k.conv_id, o.place AS depth, t, bytes FROM k JOIN o ON o.conv_id = k.base AND o.place <= k.k UNION ALL SELECT k.conv_id, k.k + o.place - k.h, t, bytes FROM k JOIN o ON o.conv_id = k.conv_id AND o.place > k.h),
+p AS (SELECT conv_id, depth, bytes, string_agg(t, '/') OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM r UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+e AS (SELECT conv_id, max(depth) AS ends FROM p GROUP BY conv_id),
+n AS (SELECT path, depth, count(*) AS n_convs, min(conv_id) AS conv_id, max(bytes) AS bytes, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = ends), '') AS ids,
+CASE WHEN depth > 0 THEN left(path, greatest(0, 33 * depth::BIGINT - 34)) END AS up FROM p JOIN e USING (conv_id) GROUP BY path, depth),
+m AS (SELECT n.*, (SELECT count(*) FROM n x WHERE x.up = n.path) AS n_children FROM n)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, q.conv_id AS parent_conv_id, n.n_convs, n.n_children, CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(n.ids) AS ends_sha256 FROM m n
+JOIN (SELECT n.path, sum((u.n_convs - 1) * u.bytes) AS saved, count(*) FILTER (u.n_children = 0) AS leaves FROM m n JOIN m u ON left(u.path, length(n.path)) = n.path GROUP BY n.path) s ON s.path = n.path LEFT JOIN m q ON q.path = n.up""",
 }
 
 
