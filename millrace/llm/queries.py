@@ -17,6 +17,7 @@ from .ngram_join import jaccard_join
 from .packing import pack_documents
 from .phrases import mine_phrases
 from .pii import find_personal_data, report
+from .rules import score_quality
 from .secrets import scan_secrets
 from .sharding import shard_documents
 from .tries import conversation_trie
@@ -70,12 +71,16 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_phrases(spark, documents(spark, sf_dir))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hpy_scores, op2_similar_vectors, op3_language_id, op4_minhash, op5_personal_data, op6_minimax_shards, op7_ngram_join, op8_mix_sources, op9_pack_documents, op10_secrets, op11_phrases, op13_conversation_trie)}
+    return {f.__name__: f for f in (op1_hpy_scores, op2_similar_vectors, op3_language_id, op4_minhash, op5_personal_data, op6_minimax_shards, op7_ngram_join, op8_mix_sources, op9_pack_documents, op10_secrets, op11_phrases, op12_quality_rules, op13_conversation_trie)}
 
 
 #: Roots of the nodes in n (id) by links in e (a, b), for both joins: the smallest id that links lead to.
