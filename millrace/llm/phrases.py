@@ -25,6 +25,8 @@ HELD = 1 << 19
 AT_ONCE = 1 << 17
 #: A word that has more than one of FAIR * (shuffle partitions) equal parts of all words is a pivot in several tasks.
 FAIR = 4
+#: No word is dealt to several tasks for fewer occurrences, and no part of a phrase is sent to all tasks for fewer that ask for it.
+FEW, FEW_ASKS = 1 << 14, 1000
 
 _PIECE = np.zeros(256, dtype=bool)
 _PIECE[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -239,7 +241,7 @@ def phrase_counts(spark: SparkSession, docs: DataFrame, scratch: Scratch, least:
     every = counted.filter("cell IS NULL AND n > 0").select("lang", "n")
     levels = common_words(counted, least)
     total = every.agg(F.sum("n")).first()[0] or 0
-    fair = max(1 << 14, total // (FAIR * parts(spark)))
+    fair = max(FEW, total // (FAIR * parts(spark)))
     routed = texts.mapInArrow(_routed(levels, fair), "key long, shared boolean, lang string, at byte, words string, n long")
     sorted_ = routed.repartition(parts(spark), "key").sortWithinPartitions("key")
     found = sorted_.mapInArrow(_mine(least), "lang string, phrase string, words byte, a long")
@@ -255,7 +257,7 @@ def looked_up(asked: DataFrame, counts: DataFrame, spark: SparkSession) -> DataF
     asks = asked.groupBy("lang", "part").agg(F.count(F.lit(1)).alias("_asks"))
     total = asks.agg(F.sum("_asks")).first()[0] or 0
     known = counts.select("lang", F.col("phrase").alias("part"), F.col("a").alias("f"))
-    many = asks.filter(F.col("_asks") > max(1000, total // (FAIR * parts(spark)))).select("lang", "part")
+    many = asks.filter(F.col("_asks") > max(FEW_ASKS, total // (FAIR * parts(spark)))).select("lang", "part")
     many = F.broadcast(known.join(many, ["lang", "part"], "left_semi"))
     return asked.join(many, ["lang", "part"]).unionByName(asked.join(many, ["lang", "part"], "left_anti").join(known, ["lang", "part"]))
 

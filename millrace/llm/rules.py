@@ -23,21 +23,21 @@ def statistics(text: Column) -> dict[str, Column]:
     left = lambda gone: F.length(F.regexp_replace(text, gone, ""))
     letters, n_words = left(r"\P{L}+"), F.size(words)
     return {
-        "chars": n.cast("double"),
-        "words": n_words.cast("double"),
-        "lines": F.size(lines).cast("double"),
-        "word_length": share(F.aggregate(words, F.lit(0), lambda s, w: s + F.length(w)), n_words),
-        "distinct_words": share(F.size(F.array_distinct(words)), n_words),
-        "distinct_lines": share(F.size(F.array_distinct(lines)), F.size(lines)),
-        "line_length": share(n, F.size(lines)),
-        "short_words": share(F.size(F.filter(words, lambda w: F.length(w) <= 3)), n_words),
-        "letters": share(letters, n),
-        "upper": share(left(r"\P{Lu}+"), letters),
-        "digits": share(left(r"[^0-9]+"), n),
-        "stops": share(left(r"[^.?]+"), n),
-        "commas": share(left(r"[^,;:]+"), n),
-        "shouts": share(left("[^!]+"), n),
-        "symbols": share(left(r"[^#$%&*+/<=>@\\^_`{|}~-]+"), n),
+        "stat_chars": n.cast("double"),
+        "stat_words": n_words.cast("double"),
+        "stat_lines": F.size(lines).cast("double"),
+        "stat_word_length": share(F.aggregate(words, F.lit(0), lambda s, w: s + F.length(w)), n_words),
+        "stat_distinct_words": share(F.size(F.array_distinct(words)), n_words),
+        "stat_distinct_lines": share(F.size(F.array_distinct(lines)), F.size(lines)),
+        "stat_line_length": share(n, F.size(lines)),
+        "stat_short_words": share(F.size(F.filter(words, lambda w: F.length(w) <= 3)), n_words),
+        "stat_letters": share(letters, n),
+        "stat_upper": share(left(r"\P{Lu}+"), letters),
+        "stat_digits": share(left(r"[^0-9]+"), n),
+        "stat_stops": share(left(r"[^.?]+"), n),
+        "stat_commas": share(left(r"[^,;:]+"), n),
+        "stat_shouts": share(left("[^!]+"), n),
+        "stat_symbols": share(left(r"[^#$%&*+/<=>@\\^_`{|}~-]+"), n),
     }
 
 

@@ -18,8 +18,8 @@ from .common import Scratch, parts
 HEAD, MATES = 9, 5
 #: Turns of a conversation that one task numbers or sums in order.
 CHUNK = 4096
-#: A node with more than one of FAIR * (shuffle partitions) equal parts of all children is sent to those who look for it.
-FAIR = 4
+#: A node with more than FEW children and one of FAIR * (shuffle partitions) equal parts of all is sent to those who look for it.
+FAIR, FEW = 4, 1000
 NODE = ["depth", "x1", "x2"]
 NO_ENDS = hashlib.sha256(b"").hexdigest()
 
@@ -166,7 +166,7 @@ def conversation_trie(spark: SparkSession, conversations: DataFrame) -> DataFram
     whole = scratch.table(whole.select(*NODE, "p1", "p2", "conv_id", "under_own", "n_convs", "n_children", "n_leaves", (F.col("all") - F.col("above")).alias("saved_tokens"), F.coalesce("ends_sha256", F.lit(NO_ENDS)).alias("ends_sha256")))
     # parents that are not the node's own conversation's: those of very many children, of which there can only be FAIR * partitions, go to all tasks
     named = whole.filter("n_children > 0").select((F.col("depth") + 1).alias("depth"), F.col("x1").alias("p1"), F.col("x2").alias("p2"), F.col("conv_id").alias("_parent"), "n_children")
-    fair = max(1000, whole.count() // (FAIR * parts(spark)))
+    fair = max(FEW, whole.count() // (FAIR * parts(spark)))
     many, few = F.broadcast(named.filter(F.col("n_children") > fair).drop("n_children")), named.filter(F.col("n_children") <= fair).drop("n_children")
     up = ["depth", "p1", "p2"]
     strangers = whole.filter("NOT under_own AND depth > 0")
