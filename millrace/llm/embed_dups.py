@@ -115,7 +115,7 @@ def similar_vectors(spark: SparkSession, vectors: DataFrame, threshold: float =
     """vec_id, n_links, component_id and kept for every vector: links are pairs with cosine >= threshold.
 
     Null and zero vectors and those with null or non-finite components link with nothing; vectors of different
-    lengths don't link, nor do rows without a vec_id. Equal vectors are one node with a count, so copies are linked without being paired. Rows
+    lengths don't link. Rows without a vec_id link as others do and are kept; a component of such rows only has no id. Equal vectors are one node with a count, so copies are linked without being paired. Rows
     of equal vec_id count as vectors of their own that share a component. An empty table gives no rows.
 
     Tiles are cut by quantiles of the first two principal axes. Two tiles meet unless their slabs or their boxes on the
@@ -127,8 +127,11 @@ def similar_vectors(spark: SparkSession, vectors: DataFrame, threshold: float =
     scratch = Scratch(spark)
     v = F.col("embedding")
     fine = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select("vec_id", F.when(fine & F.col("vec_id").isNotNull(), v).alias("embedding"))
-    nodes = scratch.table(rows.filter("embedding IS NOT NULL").groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")))
+    rows = vectors.select("vec_id", F.when(fine, v).alias("embedding"))
+    # a vector whose rows all lack an id stands under a hash, above all ids that are in use
+    hashed = F.xxhash64("embedding").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    nodes = rows.filter("embedding IS NOT NULL").groupBy("embedding").agg(F.min("vec_id").alias("_id"), F.count(F.lit(1)).alias("n"))
+    nodes = scratch.table(nodes.select("embedding", F.coalesce("_id", hashed).alias("id"), "n", F.col("_id").isNotNull().alias("named")))
     found = None
     for dim, count in sorted((r.d, r.c) for r in nodes.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("c")).collect()):
         some = _links(spark, nodes.filter(F.size("embedding") == dim).select("id", "n", "embedding"), dim, count, threshold, scratch)
@@ -138,10 +141,13 @@ def similar_vectors(spark: SparkSession, vectors: DataFrame, threshold: float =
     found = scratch.table(found)
     roots = components(spark, found.filter("id != root").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct(), scratch)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    of_node = nodes.join(links, "id", "left").join(roots, "id", "left").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
+    of_node = nodes.join(links, "id", "left").join(roots, "id", "left").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"), "id", "named")
+    if not nodes.filter("NOT named").isEmpty():  # the smallest id of each component that has any
+        least = of_node.groupBy("component_id").agg(F.min(F.when(F.col("named"), F.col("id"))).alias("_least"))
+        of_node = of_node.join(least, "component_id").withColumn("component_id", F.col("_least"))
     out = rows.filter("embedding IS NOT NULL").join(of_node, "embedding").select("vec_id", "n_links", "component_id")
     out = out.union(rows.filter("embedding IS NULL").select("vec_id", F.lit(0).cast("long"), "vec_id"))
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return out.withColumn("kept", F.col("vec_id").isNull() | F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def _links(spark: SparkSession, nodes: DataFrame, dim: int, count: int, threshold: float, scratch: Scratch) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -287,10 +288,11 @@ def mine_phrases(spark: SparkSession, docs: DataFrame, least: int = 30, top: int
     both = looked_up(asked, counts, spark).groupBy("lang", "phrase", "a", "k").agg(F.max(F.when(F.col("is_first"), F.col("f"))).alias("l"), F.max(F.when(~F.col("is_first"), F.col("f"))).alias("r"))
     score = F.expr("(2000000BD * cast(a AS decimal(19, 0))) div (cast(l AS decimal(19, 0)) + cast(r AS decimal(19, 0)))")
     lowest = both.withColumn("score", score).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("_c")).select("lang", "phrase", "a", "_c.l", "_c.r", "_c.score")
-    # the first of each part of a language, so that no task sorts a whole language
-    slice_ = F.pmod(F.xxhash64("phrase"), F.lit(parts(spark)))
+    # the first of each slice of a language, then of fewer slices, so that no task sorts a whole language
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    some = lowest.withColumn("_slice", slice_).withColumn("rank", place("lang", "_slice")).filter(F.col("rank") <= top)
+    some = lowest.withColumn("_slice", F.pmod(F.xxhash64("phrase"), F.lit(parts(spark))))
+    for fewer in (1, math.ceil(parts(spark) ** 0.5)):
+        some = some.withColumn("_slice", F.floor(F.col("_slice") / fewer)).withColumn("rank", place("lang", "_slice")).filter(F.col("rank") <= top)
     ranked = some.withColumn("rank", place("lang").cast("long")).filter(F.col("rank") <= top)
     return ranked.join(every, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -236,6 +236,13 @@ def spanning(rows: DataFrame, keys: list[str], carried: list[str], make: Callabl
     return first.filter("b IS NOT NULL").select("a", "b").union(second)
 
 
+def nameless_texts(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
+    """(text, node, cluster) of wanted nodes (node, cluster) all of whose documents lack a doc_id, found by a hash of their texts; copies are put together in each task first."""
+    texts = docs.filter("doc_id IS NULL").select("doc_id", "text", F.xxhash64("text").alias("_of"))
+    of = set_keys(texts, n, ("_of",)).groupBy("node").agg(F.min("_of").alias("_of"))
+    return texts.groupBy("_of").agg(F.min("text").alias("text")).join(of.join(wanted, "node"), "_of").select("text", "node", "cluster")
+
+
 def link_components(spark: SparkSession, docs: DataFrame, keyed: DataFrame, candidates: DataFrame, n: int, percent: int, scratch: Scratch, keep: tuple[str, ...] = ()) -> DataFrame:
     """component_id of every row of keyed (doc_id, n_shingles, node, and what is in keep), from candidate edges (a, b) between nodes.
 
@@ -243,7 +250,8 @@ def link_components(spark: SparkSession, docs: DataFrame, keyed: DataFrame, cand
     of size, by 128 bytes of parities, which bound the difference from below. The clusters that are left are compared
     likewise, by a larger sketch and then exactly. Either time only spanning edges are sought (spanning), so edges may
     be left out where their ends stay connected, and a cluster of copies takes work in proportion to its members.
-    Sets are rebuilt from the texts of one document for each distinct set.
+    Sets are rebuilt from the texts of one document for each distinct set. Documents without a doc_id link as others do,
+    and others link through them; as they have no id to give, a component of such documents only has none.
     """
     clusters = components(spark, candidates, scratch)
     first = keyed.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
@@ -251,8 +259,10 @@ def link_components(spark: SparkSession, docs: DataFrame, keyed: DataFrame, cand
     members = scratch.table(members)
     # few documents are members: up to so many, at 24 bytes each, they go to the texts; beyond that both are shuffled
     members = F.broadcast(members) if members.count() <= SENT else members.hint("merge")
-    sets = docs.select("doc_id", "text").join(members, "doc_id").select("text", "node", "cluster").mapInArrow(_wanted(n, percent), "cluster long, node long, band int, n long, odd binary, hashes binary")
-    sets = scratch.table(sets)
+    texts = docs.select("doc_id", "text").join(members, "doc_id").select("text", "node", "cluster")
+    if not (nameless := clusters.join(first.filter("rep IS NULL"), clusters.id == first.node).select("node", F.col("root").alias("cluster"))).isEmpty():
+        texts = texts.union(nameless_texts(docs, n, scratch.table(nameless)))
+    sets = scratch.table(texts.mapInArrow(_wanted(n, percent), "cluster long, node long, band int, n long, odd binary, hashes binary"))
     banded = sets.select("cluster", "node", "n", "odd", F.posexplode(F.array("band", F.col("band") + 1)).alias("step", "size_band"))
     near = scratch.table(spanning(banded, ["cluster", "size_band"], ["n", "step", "odd"], _by_parity(percent), scratch))
     closer = components(spark, near, scratch).select(F.col("id").alias("node"), F.col("root").alias("cluster"))

@@ -209,9 +209,10 @@ def test_vectors(spark):
     got = {r.vec_id: r for r in similar_vectors(spark, table).collect()}
     assert len(got) == len(vectors) + len(odd)
     for i in range(len(u)):
-        assert (got[i].n_links, got[i].component_id, got[i].kept) == (int((cos[i] >= 0.95).sum()) - 1, root[i], root[i] == i)
-    for i, _ in odd:
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (int((cos[i] >= 0.95).sum()) - 1 + int(cos[i, 0] >= 0.95), root[i], root[i] == i)  # one copy of the first has no id
+    for i, _ in odd[:-1]:
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
+    assert (got[None].n_links, got[None].component_id, got[None].kept) == (int((cos[0] >= 0.95).sum()), 0, True)
     assert similar_vectors(spark, table.limit(0)).collect() == []
     huge = spark.createDataFrame([(1, [1e200, 2e200]), (2, [1e-200, 2.001e-200]), (3, [-1e200, 1e-300]), (4, [5e-324, 0.0])], "vec_id long, embedding array<double>")
     assert {r.vec_id: (r.n_links, r.component_id) for r in similar_vectors(spark, huge).collect()} == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4)}
@@ -283,6 +284,26 @@ def test_joins(spark, request, table, join, n, percent):
             assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), root[r.doc_id])
 
 
+@pytest.mark.parametrize("join", [near_duplicates, jaccard_join])
+@pytest.mark.parametrize("middle", [None, 5])
+def test_rows_without_an_id_link(spark, join, middle):
+    """Two texts that are like a third only are of one component, whether that has an id or not; copies without an id too."""
+    w = [f"c{k}" for k in range(200)]
+    rows = [(1, " ".join(w[:160])), (middle, " ".join(w[:172])), (middle, " ".join(w[:172])), (2, " ".join(w[:186])), (None, "quite another text than those"), (7, "and one more that is alone")]
+    rows += [(None, f"{' '.join(w[:40])} {' '.join('z' + str(k) for k in range(40))}")] * 3
+    sets = [brute.shingles(t, 5) for _, t in rows]
+    got = join(spark, spark.createDataFrame(rows, "doc_id long, text string"), n=5, percent=90).collect()
+    assert brute.jaccard(sets[0], sets[3]) < 0.9 <= min(brute.jaccard(sets[0], sets[1]), brute.jaccard(sets[1], sets[3]))
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter([(1, 1), (middle, 1), (middle, 1), (2, 1), (None, None), (7, 7)] + [(None, None)] * 3)
+
+
+def test_vectors_without_an_id_link(spark):
+    angle = lambda a: [math.cos(a), math.sin(a)]
+    rows = [(1, angle(0.0)), (None, angle(0.25)), (2, angle(0.5)), (None, angle(3.0)), (None, angle(3.1)), (3, angle(5.0)), (None, None)]
+    got = similar_vectors(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == Counter([(1, 1, 1, True), (None, 2, 1, True), (2, 1, 1, False), (None, 1, None, True), (None, 1, None, True), (3, 0, 3, True), (None, 0, None, True)])
+
+
 def test_join_loses_no_link_at_the_threshold(spark):
     """Sets that differ by as much as is allowed, of many sizes."""
     rng, rows = random.Random(5), []
