@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.chars import char_class, range_class
 from ..operators import anonymize, chunk, dedup, filters, normalize, retrieval, select
-from . import catalog
+from . import catalog, indexed
 from .pipeline import Pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -377,6 +377,10 @@ def with_folder(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_QUERIES |= indexed.QUERIES
+_SQL |= indexed.SQL
+
+
 def _prepared(run: Query) -> Query:
     return lambda spark, sf_dir: run(with_folder(spark), sf_dir)
 
