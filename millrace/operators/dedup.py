@@ -36,54 +36,94 @@ def segments(c: Column) -> Column:
     return F.array_distinct(F.transform(F.split(strip(c), char_class(fixed.SEGMENT_ENDS)), strip))
 
 
+#: Sets that share a common element are compared in blocks of so many by so many, each two blocks in a task of their own.
+BLOCK = 2048
+#: Stands for the segments of a null text, which is like null texts only.
+NO_TEXT = 0
+
+
+def segment_nodes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, a digest of its segment set (node), and 64-bit hashes of the segments (set)."""
+    found = df.select(key, F.array_sort(segments(F.col(text))).alias("_s"))
+    hashes = F.coalesce(F.transform("_s", lambda x: F.xxhash64(x)), F.array(F.lit(NO_TEXT).cast("long")))
+    return found.select(key, F.coalesce(F.md5(F.array_join("_s", "\u0001")), F.lit("")).alias("node"), hashes.alias("set"))
+
+
+def first_of(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key and set of the row with the smallest key of each node."""
+    first = nodes.groupBy("node").agg(F.min(key).alias("_first"))
+    return nodes.join(first, "node").filter(F.col(key) == F.col("_first")).select(key, "set").dropDuplicates([key])
+
+
+def prefix_length(n: Column, limit: float) -> Column:
+    """Of a set's n elements, rarest first, so many hold one at least of those that it shares with any set of which Jaccard is at least limit."""
+    return n - F.ceil(n * F.lit(limit) - 1e-9).cast("int") + 1
+
+
+def may_reach(na: Column, ia: Column, nb: Column, ib: Column, limit: float) -> Column:
+    """Whether sets of na and nb elements, whose first common one stands at ia and ib, can have Jaccard of at least limit."""
+    return (F.least(na, nb) >= limit * F.greatest(na, nb)) & (F.least(na - ia, nb - ib) * (1 + limit) >= limit * (na + nb) - 1e-9)
+
+
+def similarity(x: Column, y: Column) -> Column:
+    both = F.size(F.array_intersect(x, y))
+    return both / (F.size(x) + F.size(y) - both)
+
+
+def met_sets(sets: DataFrame, limit: float, key: str = "doc_id") -> DataFrame:
+    """(a, b), a < b: sets that share an element of both prefixes and may have Jaccard of at least limit.
+
+    Elements of one set only come first in the order of rarity and meet nothing: they are counted, and only the others are sorted.
+    """
+    often = sets.select(F.explode("set").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    shared = sets.select(key, F.size("set").alias("n"), F.explode("set").alias("s")).join(often, "s")
+    ranked = shared.groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("o"))
+    alone = F.col("n") - F.size("o")
+    ahead = prefix_length(F.col("n"), limit) - alone
+    rows = ranked.filter(ahead > 0).select(key, "n", alone.alias("alone"), F.posexplode(F.slice("o", F.lit(1), F.greatest(F.lit(0), ahead))).alias("at", "e"))
+    blocks = F.ceil(F.col("e.f") / BLOCK).cast("int")
+    rows = rows.select(F.col(key).alias("k"), "n", (F.col("at") + F.col("alone")).alias("i"), "e.s", blocks.alias("_blocks"), F.pmod(F.xxhash64(key), blocks).cast("int").alias("_own"))
+    left = rows.withColumn("_to", F.explode(F.sequence("_own", F.col("_blocks") - 1))).select(F.col("k").alias("x"), F.col("n").alias("nx"), F.col("i").alias("ix"), "s", F.col("_own").alias("_from"), "_to")
+    right = rows.withColumn("_from", F.explode(F.sequence(F.lit(0), "_own"))).select(F.col("k").alias("y"), F.col("n").alias("ny"), F.col("i").alias("iy"), "s", "_from", F.col("_own").alias("_to"))
+    met = left.join(right, ["s", "_from", "_to"]).filter(((F.col("_from") < F.col("_to")) | (F.col("x") < F.col("y"))) & may_reach(F.col("nx"), F.col("ix"), F.col("ny"), F.col("iy"), limit))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def set_pairs(sets: DataFrame, limit: float, key: str = "doc_id") -> DataFrame:
+    """(a, b, similarity), a < b, of the sets that have Jaccard of at least limit."""
+    one, two = sets.select(F.col(key).alias("a"), F.col("set").alias("x")), sets.select(F.col(key).alias("b"), F.col("set").alias("y"))
+    return met_sets(sets, limit, key).join(one, "a").join(two, "b").select("a", "b", similarity(F.col("x"), F.col("y")).alias("similarity")).filter(F.col("similarity") >= limit)
+
+
 def segment_pairs(df: DataFrame, limit: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(a, b, similarity), a < b: documents whose segment sets have Jaccard of at least limit.
 
-    Equal sets are one node; pairs stand for the nodes' smallest keys (members: segment_nodes). Sets are joined on
-    a prefix in an order of the segments' frequencies, so that common segments seldom are candidates.
+    Equal sets are one node; pairs stand for the nodes' smallest keys (members: segment_nodes). Texts are cut once;
+    their sets are joined on a prefix in an order of the segments' frequencies, so that common segments seldom are candidates.
     """
-    nodes = segment_nodes(df, key, text).groupBy("node").agg(F.min(key).alias("id"))
-    sets = segment_nodes(df, key, text, with_set=True).join(nodes, F.col(key) == F.col("id"), "left_semi").select(key, "set")
-    often = sets.select(F.explode("set").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("f"))
-    ranked = sets.select(key, F.explode("set").alias("s")).join(often, "s").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("o"))
-    ranked = ranked.select(key, F.transform("o", lambda x: x["s"]).alias("o"))
-    prefix = F.size("o") - F.ceil(F.size("o") * F.lit(limit)).cast("int") + 1
-    ahead = ranked.select(key, F.size("o").alias("n"), F.posexplode(F.slice("o", F.lit(1), prefix)).alias("at", "s")).filter(F.col("n") > 0)
-    left, right = ahead.toDF("a", "na", "ia", "s"), ahead.toDF("b", "nb", "ib", "s")
-    # where a pair's first common segment stands bounds how many more the two can share
-    most = 1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1
-    enough = most * (1 + limit) >= limit * (F.col("na") + F.col("nb")) - 1e-9
-    met = left.join(right, "s").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= limit * F.greatest("na", "nb")) & enough).select("a", "b").distinct()
-    one, two = ranked.select(F.col(key).alias("a"), F.col("o").alias("x")), ranked.select(F.col(key).alias("b"), F.col("o").alias("y"))
-    both = met.join(one, "a").join(two, "b").withColumn("i", F.size(F.array_intersect("x", "y")))
-    return both.select("a", "b", (F.col("i") / (F.size("x") + F.size("y") - F.col("i"))).alias("similarity")).filter(F.col("similarity") >= limit)
-
-
-def segment_nodes(df: DataFrame, key: str = "doc_id", text: str = "text", with_set: bool = False) -> DataFrame:
-    """key and a digest of its segment set (and the set)."""
-    sets = df.select(key, F.array_sort(segments(F.col(text))).alias("set"))
-    sets = sets.withColumn("node", F.md5(F.array_join("set", "\u0001")))
-    return sets if with_set else sets.select(key, "node")
+    return set_pairs(first_of(segment_nodes(df, key, text).checkpoint(), key), limit, key)
 
 
-def greedy_kept(df: DataFrame, limit: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents that stay when each, in order of key, is dropped if it is like one that stays.
+def greedily_dropped(pairs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Keys that go when each, in order, is dropped if it is paired with an earlier one that stays; pairs are (a, b), a < b.
 
-    Resolved in rounds over the pairs: a document all of whose earlier neighbours are dropped stays, one with an
-    earlier neighbour that stays is dropped, until none is open. Only whether any is open comes to the driver.
+    In each round those go that are paired with an earlier one that itself has no earlier one left; pairs of what has
+    gone are left out, so a round costs what is still open. Only whether any pair is left comes to the driver.
     """
-    nodes = segment_nodes(df, key, text)
-    first = nodes.groupBy("node").agg(F.min(key).alias(key))
-    pairs = segment_pairs(df, limit, key, text).select("a", "b").checkpoint()
-    state = pairs.select(F.col("b").alias("id")).distinct().withColumn("fate", F.lit(None).cast("string")).checkpoint()
-    while not state.filter("fate IS NULL").isEmpty():
-        earlier = pairs.join(state.select(F.col("id").alias("a"), "fate", F.lit(True).alias("had")), "a", "left")
-        fate = F.when(F.col("had").isNull(), "kept").otherwise(F.col("fate"))
-        seen = earlier.select("b", fate.alias("fate")).groupBy("b").agg(F.max((F.col("fate") == "kept").cast("int")).alias("any_kept"), F.min(F.coalesce((F.col("fate") == "dropped").cast("int"), F.lit(0))).alias("all_dropped"))
-        new = F.when(F.col("any_kept") == 1, "dropped").when(F.col("all_dropped") == 1, "kept")
-        state = state.join(seen, F.col("id") == F.col("b"), "left").select("id", F.coalesce("fate", new).alias("fate")).checkpoint()
-    dropped = state.filter("fate = 'dropped'").select(F.col("id").alias(key))
-    return df.join(first, key, "left_semi").join(dropped, key, "left_anti")
+    open_ = pairs.select("a", "b").checkpoint()
+    dropped = open_.select(F.col("b").alias(key)).limit(0)
+    while not open_.isEmpty():
+        gone = open_.join(open_.select(F.col("b").alias("a")).distinct(), "a", "left_anti").select(F.col("b").alias(key)).distinct().checkpoint()
+        dropped = dropped.union(gone)
+        open_ = open_.join(gone.select(F.col(key).alias("b")), "b", "left_anti").join(gone.select(F.col(key).alias("a")), "a", "left_anti").select("a", "b").checkpoint()
+    return dropped
+
+
+def greedy_kept(df: DataFrame, limit: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Documents that stay when each, in order of key, is dropped if it is like one that stays. Null texts are like each other."""
+    sets = first_of(segment_nodes(df, key, text).checkpoint(), key)
+    dropped = greedily_dropped(set_pairs(sets, limit, key), key)
+    return df.join(sets.select(key), key, "left_semi").join(dropped, key, "left_anti")
 
 
 def simhash(df: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 60) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import vectors
 from ..sources.shared import shared_folder
 from ..streaming import watch
+from ..streaming.near_index import NearIndex
 
 HOUR = 3_600_000
 
@@ -50,12 +51,23 @@ def watched_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("user_id"), "outcome", F.date_format("last_active", STAMP).alias("last_active"), F.date_format("noticed", STAMP).alias("noticed"))
 
 
+def near_index_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, as they would arrive in four batches of rising doc_id, the third of them twice."""
+    docs = table(spark, sf_dir, "documents")
+    bounds = docs.agg(F.percentile_approx("doc_id", [0.25, 0.5, 0.75]).alias("q")).first()["q"]
+    index = NearIndex(shared_folder(spark, "near"), buckets=8)
+    of = sum((F.when(F.col("doc_id") > b, 1).otherwise(0) for b in bounds), F.lit(0))
+    for batch in (0, 1, 2, 2, 3):
+        index.add(docs.filter(of == batch), batch)
+    return index.rows(spark).select("doc_id")
+
+
 STAMP = "yyyy-MM-dd HH:mm:ss.SSS"
 NEAREST = """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
 p AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.v, v.v) AS s FROM v q JOIN v ON {where} WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS place FROM p)
 SELECT query_id, CAST(place AS INTEGER) AS place, vec_id, round(s, 6) AS score FROM r WHERE place <= {k}"""
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (ann_topk, knn_topk, knn_filtered, watched_users)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (ann_topk, knn_topk, knn_filtered, watched_users, near_index_kept)}
 SQL = {
     "knn_topk": NEAREST.format(where="true", k=10),
     "knn_filtered": NEAREST.format(where="v.label % 3 = 1", k=5),

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import dedup
+from .near_index import NearIndex
 
 
 def collect(spark: SparkSession, path: str, schema: str, to: str, state: str, form: str = "parquet") -> StreamingQuery:
@@ -28,18 +27,9 @@ def counts(stream: DataFrame, time: str, width: str, delay: str, *keys: str) ->
 
 
 def near_new(stream: DataFrame, known: str, state: str, limit: float = 0.5, key: str = "doc_id") -> StreamingQuery:
-    """Add to the table at known what is not like a document that it holds, batch by batch; keys must rise with arrival.
+    """Add to the index at known (near_index.NearIndex) what is not like a document that it holds, batch by batch; keys must rise with arrival.
 
-    A batch and the documents known are resolved together, those known first, as dedup.greedy_kept resolves a table.
-    A batch that is run again finds its own documents there and adds none twice.
+    A batch probes the index and adds to it; documents known are not compared again. One state folder goes with one index.
     """
-    def add(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(known)
-        except AnalysisException:
-            old = batch.limit(0)
-        new = batch.join(old.select(key), key, "left_anti")
-        dedup.greedy_kept(old.unionByName(new), limit, key).join(old.select(key), key, "left_anti").checkpoint().write.mode("append").parquet(known)
-
-    return stream.writeStream.foreachBatch(add).option("checkpointLocation", state).trigger(availableNow=True).start()
+    index = NearIndex(known, limit, key)
+    return stream.writeStream.foreachBatch(lambda batch, n: index.add(batch, n) and None).option("checkpointLocation", state).trigger(availableNow=True).start()

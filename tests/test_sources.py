@@ -64,7 +64,7 @@ def test_near_new_documents(spark, tmp_path):
         spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in"))
         incremental.near_new(stream, str(tmp_path / "known"), str(tmp_path / "state")).awaitTermination()
-        assert {r.doc_id for r in spark.read.parquet(str(tmp_path / "known")).collect()} == ({1, 3}, {1, 3, 5})[part]
+        assert {r.doc_id for r in spark.read.parquet(str(tmp_path / "known" / "rows")).collect()} == ({1, 3}, {1, 3, 5})[part]
 
 
 def test_archives(tmp_path):
