@@ -240,14 +240,14 @@ add("dedup_exact_md5", "documents", lambda df: dedup.exact(df, F.col("text")).se
 add("ext_document_dedup", "documents", lambda df: dedup.exact(df, dedup.normalised(F.col("text"))).select("doc_id"), r"SELECT min(doc_id) AS doc_id FROM documents GROUP BY regexp_replace(lower(text), '[\s\p{P}]+', '', 'g')")
 SEGMENT = char_class(fixed.SEGMENT_ENDS)
 SETS = f"SELECT doc_id, list_sort(list_distinct(list_transform(string_split_regex({replace(f'^{SP}+|{SP}+$')}, {quoted(SEGMENT)}), lambda x: regexp_replace(x, {quoted(f'^{SP}+|{SP}+$')}, '', 'g')))) AS s FROM documents"
-add("neardup_segment_pairs", "documents", lambda df: dedup.segment_pairs(df).select("a", "b", F.round("similarity", 9).alias("similarity")), f"WITH t AS ({SETS}), r AS (SELECT min(doc_id) AS id, s FROM t GROUP BY s), e AS (SELECT id, len(s) AS n, unnest(s) AS x FROM r) SELECT a.id AS a, b.id AS b, round(count(*) / (any_value(a.n) + any_value(b.n) - count(*)), 9) AS similarity FROM e a JOIN e b ON a.x = b.x AND a.id < b.id GROUP BY a.id, b.id HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.5")
+add("neardup_segment_pairs", "documents", lambda df: dedup.segment_pairs(spread(df.select("doc_id", "text"))).select("a", "b", F.round("similarity", 9).alias("similarity")), f"WITH t AS ({SETS}), r AS (SELECT min(doc_id) AS id, s FROM t GROUP BY s), e AS (SELECT id, len(s) AS n, unnest(s) AS x FROM r) SELECT a.id AS a, b.id AS b, round(count(*) / (any_value(a.n) + any_value(b.n) - count(*)), 9) AS similarity FROM e a JOIN e b ON a.x = b.x AND a.id < b.id GROUP BY a.id, b.id HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.5")
 #: Each document in turn, of those that have an earlier one like them, stays unless one of these stays.
 GREEDY = f"""WITH RECURSIVE t AS ({SETS}), r AS (SELECT min(doc_id) AS id, s FROM t GROUP BY s), e AS (SELECT id, len(s) AS n, unnest(s) AS x FROM r),
 p AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.x = b.x AND a.id < b.id GROUP BY a.id, b.id HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.5),
 o AS (SELECT b, list(a) AS earlier, row_number() OVER (ORDER BY b) AS turn FROM p GROUP BY b),
 g AS (SELECT 0 AS turn, []::BIGINT[] AS gone UNION ALL SELECT o.turn, CASE WHEN len(list_filter(o.earlier, lambda a: NOT list_contains(g.gone, a))) > 0 THEN list_append(g.gone, o.b) ELSE g.gone END FROM g JOIN o ON o.turn = g.turn + 1)
 SELECT id AS doc_id FROM r WHERE id NOT IN (SELECT unnest(gone) FROM g WHERE turn = (SELECT max(turn) FROM g))"""
-add("neardup_greedy_keep", "documents", lambda df: dedup.greedy_kept(df).select("doc_id"), GREEDY)
+add("neardup_greedy_keep", "documents", lambda df: dedup.greedy_kept(spread(df.select("doc_id", "text"))).select("doc_id"), GREEDY)
 HASH = "(('0x' || substr(md5(w), 1, 15))::BIGINT)"
 BITS = ", ".join(f"sum(CASE WHEN (h >> {i}) & 1 = 1 THEN 1 ELSE -1 END) AS b{i}" for i in range(60))
 SIGN = f"SELECT doc_id, {' + '.join(f'CASE WHEN b{i} > 0 THEN {1 << i} ELSE 0 END' for i in range(60))} AS simhash FROM (SELECT doc_id, {BITS} FROM (SELECT doc_id, {HASH} AS h FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^ \\t\\n\\x0B\\f\\r]+')) AS w FROM documents)) GROUP BY doc_id)"
