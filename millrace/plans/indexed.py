@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import vectors
+from ..operators import alignment, vectors
 from ..sources.shared import shared_folder
 from ..streaming import watch
 from ..streaming.near_index import NearIndex
@@ -62,12 +62,17 @@ def near_index_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.rows(spark).select("doc_id")
 
 
+def support_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of each document supports each item of the benchmark."""
+    return alignment.support_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 STAMP = "yyyy-MM-dd HH:mm:ss.SSS"
 NEAREST = """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
 p AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.v, v.v) AS s FROM v q JOIN v ON {where} WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS place FROM p)
 SELECT query_id, CAST(place AS INTEGER) AS place, vec_id, round(s, 6) AS score FROM r WHERE place <= {k}"""
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (ann_topk, knn_topk, knn_filtered, watched_users, near_index_kept)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (ann_topk, knn_topk, knn_filtered, watched_users, near_index_kept, support_passages)}
 SQL = {
     "knn_topk": NEAREST.format(where="true", k=10),
     "knn_filtered": NEAREST.format(where="v.label % 3 = 1", k=5),

@@ -1,12 +1,14 @@
 """Stored indexes and watched jobs against plain versions."""
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import vectors
+from millrace.operators import alignment, vectors
 from millrace.plans import registered
 from millrace.sources.shared import shared_folder
 from millrace.streaming import watch
@@ -119,3 +121,54 @@ def test_watched_jobs(spark, tmp_path):
     got = sorted((r.key, r.outcome, r.a, r.b) for r in found.select("key", "outcome", F.unix_millis("last_active").alias("a"), F.unix_millis("noticed").alias("b")).collect())
     want = plain_watch(polls, 240_000, 3, max(p[1] for p in polls) - 600_000)
     assert {o for _, o, _, _ in want} == {"stalled", "unreachable", "finished"} and got == want
+
+
+def plain_alignment(x, y, penalty):
+    """Every cell of the whole table."""
+    row, best = [(0, 0, j) for j in range(len(y) + 1)], (0, 0, 0, 0, 0)
+    for i, word in enumerate(x, 1):
+        new = []
+        for j in range(len(y) + 1):
+            cells = [(0, i, j), (row[j][0] - penalty, *row[j][1:])]
+            if j:
+                cells += [(row[j - 1][0] + (1 if y[j - 1] == word else -penalty), *row[j - 1][1:]), (new[-1][0] - penalty, *new[-1][1:])]
+            new.append(max(cells))
+        row = new
+        top = max(c[0] for c in row)
+        if top > best[0]:
+            j = next(j for j, c in enumerate(row) if c[0] == top)
+            best = (top, row[j][1], i, row[j][2], j)
+    return best
+
+
+def plain_words(text):
+    return re.findall(r"[^\W_]+", (text or "").lower())
+
+
+def test_support(spark, sf_dir):
+    """Seeds and bands find what a whole table of every pair finds, in the driver's texts and in edited passages."""
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet").select(k, "text") for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
+    some = items.orderBy("item_id").limit(6)
+    rng, made = random.Random(9), []
+    for r in some.collect():
+        for k in range(3):
+            w = plain_words(r.text)
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(len(w))
+                w[at : at + rng.randint(0, 2)] = [f"new{rng.randint(0, 9)}"] * rng.randint(0, 2)
+            pad = [rng.choice(["a", "of", "the"]) for _ in range(rng.randint(0, 40))]
+            made.append((10_000_000 + len(made), " ".join(pad + w + pad + w[: rng.randint(0, len(w))])))
+    odd = [(20_000_000, None), (20_000_001, ""), (None, made[0][1]), (20_000_002, "one two"), (20_000_003, made[0][1]), (20_000_003, made[0][1])]
+    docs = docs.filter("length(text) < 3000").union(spark.createDataFrame(made + odd, "doc_id long, text string"))
+    got = Counter(tuple(r) for r in alignment.supporting(docs, some).collect())
+    want = Counter()
+    texts = [(r.doc_id, plain_words(r.text)) for r in docs.collect()]
+    for r in some.collect():
+        y = plain_words(r.text)
+        grams = {tuple(y[i : i + 4]) for i in range(len(y) - 3)}
+        for i, x in texts:
+            if i is not None and any(tuple(x[k : k + 4]) in grams for k in range(len(x) - 3)) and (found := plain_alignment(x, y, 4))[0] >= 12:
+                want[(i, r.item_id, *found)] += 1
+    assert len(want) > 15 and set(got) == set(want)
+    support = {r.doc_id: r.support for r in alignment.support_texts(docs, some).collect() if r.doc_id >= 10_000_000}
+    assert all(support[i] in t for i, t in made if i in support)
