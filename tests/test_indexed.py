@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import alignment, vectors
+from millrace.operators import alignment, sentences, tags, vectors
 from millrace.plans import registered
 from millrace.sources.shared import shared_folder
 from millrace.streaming import watch
@@ -172,3 +172,59 @@ def test_support(spark, sf_dir):
     assert len(want) > 15 and set(got) == set(want)
     support = {r.doc_id: r.support for r in alignment.support_texts(docs, some).collect() if r.doc_id >= 10_000_000}
     assert all(support[i] in t for i, t in made if i in support)
+
+
+def test_abbreviations_don_t_end_sentences(spark):
+    """Planted ones, after a corpus that shows them with and without what follows; initials, marks and quotes."""
+    rng, words = random.Random(2), "mill river stone bridge noon people meet old past down".split()
+    corpus = [f"{' '.join(rng.choice(words) for _ in range(6))} {rng.choice(words)}." for _ in range(300)] + [f"We met Dr. {rng.choice('ABC')}mith at {rng.randint(1, 9)} p.m. by the {rng.choice(words)}." for _ in range(30)]
+    text = 'He saw Dr. Amith at 5 p.m. by the mill. "Stop!" cried J. Smith... Then he left. it was noon'
+    docs = spark.createDataFrame([*enumerate(corpus), (1000, text), (1001, None), (1002, " \n "), (1003, "no end")], "doc_id long, text string")
+    found = {r.word: r.score for r in sentences.abbreviations(docs).collect()}
+    assert found["dr"] >= 0.3 and found["p.m"] >= 0.3 and all(found.get(w, 0) < 0.3 for w in words)
+    got = {(r.doc_id, r["at"]): r.sentence for r in sentences.split_sentences(docs).filter("doc_id >= 1000").collect()}
+    assert got == {(1000, 0): "He saw Dr. Amith at 5 p.m. by the mill.", (1000, 1): '"Stop!"', (1000, 2): "cried J. Smith...", (1000, 3): "Then he left. it was noon", (1003, 0): "no end"}
+
+
+def test_many_abbreviations_are_joined(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "At approx. Ten or so. Then end."), (2, "None of etc. Here")], "doc_id long, text string")
+    known = spark.createDataFrame([("approx", 1.0), ("etc", 1.0), ("so", 0.1)], "word string, score double")
+    sent = sorted(map(tuple, sentences.split_sentences(docs, known).collect()))
+    monkeypatch.setattr(sentences, "SENT", 1)
+    assert sorted(map(tuple, sentences.split_sentences(docs, known).collect())) == sent == [(1, 0, "At approx. Ten or so."), (1, 1, "Then end."), (2, 0, "None of etc. Here")]
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_tags_within_edits_are_found(spark):
+    """Deletion neighbourhoods find what all pairs' distances say, short tags and ties too."""
+    rng = random.Random(6)
+    base = ["", "a", "ab", "abc", "abcd", "english", "englisch", "deutsch", "français", "conversation", "übersicht"]
+    made = {b: rng.randint(1, 9) for b in base}
+    for b in base * 12:
+        t = list(b)
+        for _ in range(rng.randint(1, 3)):
+            at = rng.randint(0, len(t))
+            t[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "e", "aa"])
+        made.setdefault("".join(t), rng.randint(1, 3))
+    most = lambda t: 0 if len(t) < 4 else 1 if len(t) < 9 else 2
+    order = sorted(made, key=lambda t: (-made[t], t))
+    want = {(a, b) for i, a in enumerate(order) for b in order[i + 1 :] if distance(a, b) <= min(most(a), most(b))}
+    df = spark.createDataFrame(list(made.items()), "tag string, n long")
+    assert len(want) > 60 and {tuple(r) for r in tags.spelled_alike(df).collect()} == want
+    rows = spark.createDataFrame([(f" {t.upper()} ",) for t, n in made.items() for _ in range(n)] + [(None,)], "tag string")
+    merged, lower = {}, Counter()
+    for t, n in made.items():
+        lower[t.upper().lower().strip()] += n
+    for t in sorted(lower, key=lambda t: (-lower[t], t)):
+        near = [a for a in merged if merged[a] == a and distance(a, t) <= min(most(a), most(t))]
+        merged[t] = near[0] if near else t
+    assert {r.tag: (r.n, r.merged) for r in tags.merged_tags(rows, F.col("tag")).collect()} == {t: (lower[t], m) for t, m in merged.items()}
