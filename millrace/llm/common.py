@@ -23,6 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def narrow_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let no more rows than these go to a Python task at once, as whole texts and their sets are held for each: workers, and the buffers of the JVM, then stay small."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(size)) <= rows:
+        spark.conf.set(size, str(rows))
+
+
 class Scratch:
     """Tables written to the shared folder: they cut the lineage, survive lost executors, and go when no longer needed."""
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, parts
+from .common import Scratch, narrow_batches, parts
 from .tokens import mix
 from .verify import bands, link_components, set_keys, set_rows
 
@@ -167,6 +167,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int
 def signed_join(spark: SparkSession, docs: DataFrame, n: int, percent: int, signer: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], keep: tuple[str, ...]) -> DataFrame:
     """Documents linked by Jaccard among those that share a signature: signer gives (row, signature) for sets given as sorted hashes by row, and their sizes."""
     scratch = Scratch(spark)
+    narrow_batches(spark)
     keyed = scratch.table(set_keys(docs, n, keep))
     # a bucket has the signatures of so many shingles on average, however much there is
     buckets = max(4 * parts(spark), (keyed.agg(F.sum("n_shingles")).first()[0] or 0) // BUCKET)
