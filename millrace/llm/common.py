@@ -51,7 +51,9 @@ class Scratch:
         self.n += 1
         name = f"millrace_{uuid.uuid4().hex}"
         df.write.option("path", f"{self.root}/{self.n}").option("compression", "uncompressed").bucketBy(n, key).saveAsTable(name)
-        return self.spark.table(name)
+        back = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")  # the catalogue's entry, not the files
+        return back
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables of this scratch that no later step reads."""

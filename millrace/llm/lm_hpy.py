@@ -214,17 +214,17 @@ def moved(c: np.ndarray, t: np.ndarray, draw: Callable[[], np.ndarray], d: float
     return t.astype(np.int64)
 
 
-def parent_tables(word: np.ndarray, guests: np.ndarray, opens: float, d: float, turn: int) -> np.ndarray:
-    """The parent restaurant's tables for each word, from numbers drawn by the word and the turn, so that every bucket sees the same.
+def parent_tables(word: np.ndarray, guests: np.ndarray, opens: float, d: float, turn: int, seed: int = 0, round_: int = 0) -> np.ndarray:
+    """The parent restaurant's tables for each word, from numbers drawn by the word, the seed, the round and the turn, so that every bucket sees the same.
 
     opens: the weight of a new table, held for all words, as no word has much of all tables.
     """
-    step = turn << 20
+    step = ((seed << 12) + (round_ << 6) + turn) << 20
 
     def draw() -> np.ndarray:
         nonlocal step
         step += 1
-        return (mix(key + np.uint64(step) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(float) / (1 << 53)
+        return (mix(key + np.uint64(step * 0x9E3779B97F4A7C15 % (1 << 64))) >> np.uint64(11)).astype(float) / (1 << 53)
 
     t = (guests > 0).astype(np.int64)
     some, many = np.flatnonzero((guests > 1) & (guests <= EXACT)), guests > EXACT
@@ -251,7 +251,7 @@ def _root(scale: dict, turns: int) -> Callable:
             word, guests, copies = (batch.column(c).to_numpy() for c in ("word", "guests", "copies"))
             first = np.flatnonzero(np.diff(word, prepend=~word[:1]))  # equal words follow each other
             share = np.diff(np.append(first, len(word))) / copies[first]
-            total = [float((parent_tables(word[first], guests[first], scale["opens"], scale["d0"], k) * share).sum()) for k in range(turns)]
+            total = [float((parent_tables(word[first], guests[first], scale["opens"], scale["d0"], k, scale["seed"], scale["round"]) * share).sum()) for k in range(turns)]
             yield pa.RecordBatch.from_arrays([pa.array(range(turns), pa.int32()), pa.array(total)], ["turn", "seats"])
 
     return root
@@ -293,7 +293,7 @@ def _sample(scale: dict, final: bool) -> Callable:
             t[i] = new
 
         def parent(turn: int) -> np.ndarray:
-            seats = parent_tables(tails, guests, scale["opens"], scale["d0"], turn)
+            seats = parent_tables(tails, guests, scale["opens"], scale["d0"], turn, scale["seed"], scale["round"])
             return (guests - scale["d0"] * seats + (scale["theta0"] + scale["d0"] * scale["seats"][turn]) / scale["cells0"]) / (scale["theta0"] + scale["guests"])
 
         def sweep(p: np.ndarray) -> None:
@@ -362,7 +362,8 @@ def score_documents(spark: SparkSession, docs: DataFrame, rounds: int = 2, burn:
     predictions are averaged over samples, during which the parent's tables are drawn draws times. Three things are held
     for a while: the parent's guests within a round, a context's tables while one in TURNS of its dishes is drawn (so
     contexts of up to TURNS dishes are exact), and the tables of a very common context's parts in other buckets
-    within a round. Buckets keep which documents have which bigrams.
+    within a round. Discounts and strengths are not sampled: the contexts' discount is estimated once from how many
+    bigrams come once and twice, the parent's is one half, both strengths are 1. Buckets keep which documents have which bigrams.
     """
     scratch = Scratch(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -137,6 +137,22 @@ def test_tables_are_drawn_from_their_conditional():
     assert t.mean() == pytest.approx(mean, rel=0.08)
 
 
+def test_parents_are_drawn_anew_by_seed_round_and_turn():
+    """Different numbers for each, the same for the same, and a word's do not depend on the others of its bucket."""
+    words, guests = np.arange(4000, dtype=np.int64) * 7919, np.full(4000, 40)
+    guests[::10] = 900
+    draws = {(s, r, k): lm_hpy.parent_tables(words, guests, 0.5, 0.5, k, s, r) for s in (1, 23) for r in (0, 1) for k in (0, 2)}
+    for a, b in itertools.combinations(draws, 2):
+        assert (draws[a] != draws[b]).mean() > 0.5 and draws[a].mean() == pytest.approx(draws[b].mean(), rel=0.03)
+    again = lm_hpy.parent_tables(words[5::3].copy(), guests[5::3].copy(), 0.5, 0.5, 2, 23, 1)
+    assert (again == draws[23, 1, 2][5::3]).all()
+
+
+def test_no_table_is_left_in_the_catalogue(spark, docs):
+    score_documents(spark, docs).count()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("millrace_")]
+
+
 def test_scores_of_a_small_corpus_are_the_models(spark):
     """Predictive probabilities summed over all tables that a corpus of a few words can have."""
     texts = ["a b a b", "a b c", "c b a b", "b a"]
