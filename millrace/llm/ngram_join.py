@@ -15,8 +15,8 @@ from .verify import bands, link_components, set_keys, set_rows
 
 #: Signatures that a task holds before it sends them on.
 HELD = 1 << 20
-#: Shingles whose signatures one bucket has on average.
-BUCKET = 1 << 20
+#: Shingles whose signatures one bucket has on average: some 6 MB, which a task holds twice.
+BUCKET = 1 << 18
 #: Signatures of at most so many elements are left out where no link can be lost.
 LIGHT = 4
 
