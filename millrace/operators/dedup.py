@@ -16,13 +16,16 @@ from .filters import words
 from .normalize import let, strip
 
 
-def exact(df: DataFrame, value: Column, key: str = "doc_id") -> DataFrame:
-    """One row of every distinct value: that with the smallest key (rows without a key last); null is a value of its own.
+def exact(df: DataFrame, value: Column, key: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """The columns in keep (by default all) of one row of every distinct value: that with the smallest key (rows without a key last); null is a value of its own.
 
     Rows are reduced to the smallest of each digest in every task before they are shuffled, so a value that a third of all rows have costs a row a task.
     """
-    names, smallest = df.columns, F.struct(F.col(key).isNull(), F.col(key))
-    first = df.groupBy(F.md5(value).alias("_digest")).agg(F.min_by(F.struct(*names), smallest).alias("_row"))
+    digest = F.md5(value).alias("_digest")
+    if keep == [key]:
+        return df.groupBy(digest).agg(F.min(key).alias(key)).select(key)
+    names, smallest = keep or df.columns, F.struct(F.col(key).isNull(), F.col(key))
+    first = df.groupBy(digest).agg(F.min_by(F.struct(*names), smallest).alias("_row"))
     return first.select(*(F.col("_row")[n].alias(n) for n in names))
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import first_by_hash, numbered
+
 
 def top_k(df: DataFrame, field: str, k: int, key: str, ascending: bool = False) -> DataFrame:
     """The k rows with the largest (or smallest) values; ties by key."""
@@ -18,9 +22,12 @@ def by_frequency(df: DataFrame, field: str, k: int) -> DataFrame:
 
 
 def by_range(df: DataFrame, field: str, low: float, high: float) -> DataFrame:
-    """Rows whose value lies between two quantiles of the field, both included."""
-    bounds = df.agg(*(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {field})").alias(n) for q, n in ((low, "_low"), (high, "_high")))).first()
-    return df.filter(F.col(field).between(bounds[0], bounds[1]))
+    """Rows whose value lies between two quantiles of the field, both included; a quantile is the first value that such a share of the rows does not exceed."""
+    values = df.select(field).filter(F.col(field).isNotNull())
+    n = values.count()
+    at = [max(1, math.ceil(q * n - 1e-9)) for q in (low, high)]
+    found = {r["place"]: r[field] for r in numbered(values, [], [field]).filter(F.col("place").isin(*at)).collect()}  # two rows
+    return df.filter(F.col(field).between(found.get(at[0]), found.get(at[1])))
 
 
 def by_hash(df: DataFrame, key: str, k: int, seed: str = "7") -> DataFrame:
@@ -44,6 +51,6 @@ def ungrouped(df: DataFrame, keys: list[str]) -> DataFrame:
 def per_source(df: DataFrame, source: str, counts: dict[str, int], key: str, seed: str = "7", eligible: Column | None = None) -> DataFrame:
     """At most counts[source] rows of each source, the first in order of a seeded md5; a row that an earlier source took is not replaced."""
     wanted = F.create_map(*(x for s, n in counts.items() for x in (F.lit(s), F.lit(n))))
-    order = Window.partitionBy(source).orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), key)
     rows = df.filter(F.col(source).isin(*counts)) if eligible is None else df.filter(F.col(source).isin(*counts) & eligible)
-    return rows.withColumn("_turn", F.row_number().over(order)).filter(F.col("_turn") <= F.element_at(wanted, F.col(source))).drop("_turn")
+    order = [F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), F.col(key)]
+    return first_by_hash(rows, source, order, max(counts.values()), F.col(key), "_turn").filter(F.col("_turn") <= F.element_at(wanted, F.col(source))).drop("_turn")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import numbered
+
 
 def search(df: DataFrame, keyword: str | None = None, fields: tuple[str, ...] = (), **equal: object) -> DataFrame:
     """Rows that hold the keyword in some field (any case) and have the given values; null or blank conditions don't hold."""
@@ -152,22 +154,14 @@ def eligible(date_range: tuple[str, str] | None = None, label: str | None = None
 
 def unique_names(df: DataFrame, folder: str, name: str, order: str) -> DataFrame:
     """Names made unique within their folder: stem_1.ext, stem_2.ext and so on after the first in order."""
-    turn = F.row_number().over(Window.partitionBy(folder, name).orderBy(order)) - 1
     stem, ext = F.regexp_extract(name, r"(?s)^(.+?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"(?s)^(.+?)(\.[^.]*)?$", 2)
-    return df.withColumn("_turn", turn).withColumn(name, F.when(F.col("_turn") > 0, F.concat(stem, F.lit("_"), F.col("_turn").cast("string"), ext)).otherwise(F.col(name))).drop("_turn")
+    turned = numbered(df, [folder, name], [order], "_turn").withColumn("_turn", F.col("_turn") - 1)
+    return turned.withColumn(name, F.when(F.col("_turn") > 0, F.concat(stem, F.lit("_"), F.col("_turn").cast("string"), ext)).otherwise(F.col(name))).drop("_turn")
 
 
 def placed(df: DataFrame, first: Column, name: str, out: str = "place") -> DataFrame:
-    """Number rows from 1, those with first before the others, then by name, without sorting all in one task.
-
-    Rows are counted by the first three characters of the name; a running sum over these few counts tells where
-    each such group begins, and only within groups are rows sorted.
-    """
-    rows = df.withColumns({"_last": ~first, "_head": F.substring(name, 1, 3)})
-    group = Window.orderBy("_last", "_head").rowsBetween(Window.unboundedPreceding, -1)
-    begins = rows.groupBy("_last", "_head").agg(F.count(F.lit(1)).alias("_n")).withColumn("_off", F.coalesce(F.sum("_n").over(group), F.lit(0))).drop("_n")
-    within = Window.partitionBy("_last", "_head").orderBy(name)
-    return rows.join(begins, ["_last", "_head"]).withColumn(out, (F.col("_off") + F.row_number().over(within)).cast("int")).drop("_last", "_head", "_off")
+    """Number rows from 1, those with first before the others, then by name, without sorting all in one task."""
+    return numbered(df.withColumn("_last", ~first), [], ["_last", name], out).withColumn(out, F.col(out).cast("int")).drop("_last")
 
 
 def bounding(points: DataFrame, key: str, x: str, y: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -236,8 +236,8 @@ add("ext_numeric_field", "documents", lambda df: df.filter(F.col("n_chars").betw
 add("ext_suffix", "pages", lambda df: df.filter(F.lower(F.regexp_extract("url", r"\.([A-Za-z0-9]+)$", 1)).isin("html", "htm")).select("page_id"), r"SELECT page_id FROM pages WHERE lower(regexp_extract(url, '\.([A-Za-z0-9]+)$', 1)) IN ('html', 'htm')")
 
 # duplicates
-add("dedup_exact_md5", "documents", lambda df: dedup.exact(df, F.col("text")).select("doc_id"), "SELECT min(doc_id) AS doc_id FROM documents GROUP BY md5(text)")
-add("ext_document_dedup", "documents", lambda df: dedup.exact(df, dedup.normalised(F.col("text"))).select("doc_id"), r"SELECT min(doc_id) AS doc_id FROM documents GROUP BY regexp_replace(lower(text), '[\s\p{P}]+', '', 'g')")
+add("dedup_exact_md5", "documents", lambda df: dedup.exact(df, F.col("text"), keep=["doc_id"]), "SELECT min(doc_id) AS doc_id FROM documents GROUP BY md5(text)")
+add("ext_document_dedup", "documents", lambda df: dedup.exact(spread(df.select("doc_id", "text")), dedup.normalised(F.col("text")), keep=["doc_id"]), r"SELECT min(doc_id) AS doc_id FROM documents GROUP BY regexp_replace(lower(text), '[\s\p{P}]+', '', 'g')")
 SEGMENT = char_class(fixed.SEGMENT_ENDS)
 SETS = f"SELECT doc_id, list_sort(list_distinct(list_transform(string_split_regex({replace(f'^{SP}+|{SP}+$')}, {quoted(SEGMENT)}), lambda x: regexp_replace(x, {quoted(f'^{SP}+|{SP}+$')}, '', 'g')))) AS s FROM documents"
 add("neardup_segment_pairs", "documents", lambda df: dedup.segment_pairs(spread(df.select("doc_id", "text"))).select("a", "b", F.round("similarity", 9).alias("similarity")), f"WITH t AS ({SETS}), r AS (SELECT min(doc_id) AS id, s FROM t GROUP BY s), e AS (SELECT id, len(s) AS n, unnest(s) AS x FROM r) SELECT a.id AS a, b.id AS b, round(count(*) / (any_value(a.n) + any_value(b.n) - count(*)), 9) AS similarity FROM e a JOIN e b ON a.x = b.x AND a.id < b.id GROUP BY a.id, b.id HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.5")
@@ -347,9 +347,9 @@ PAIRS = "SELECT q.conv_id, q.turn, q.text AS question, a.text AS answer FROM con
 
 
 def asked(df: DataFrame) -> DataFrame:
-    after = Window.partitionBy("conv_id").orderBy("turn")
-    rows = df.withColumns({"answer": F.lead("text").over(after), "to": F.lead("role").over(after), "next": F.lead("turn").over(after)})
-    return rows.filter("role = 'user' AND to = 'assistant' AND next = turn + 1").select("conv_id", "turn", F.col("text").alias("question"), "answer")
+    asks = df.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"), (F.col("turn") + 1).alias("_next"))
+    answers = df.filter("role = 'assistant'").select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), F.col("text").alias("answer"))
+    return asks.join(answers, (F.col("conv_id") == F.col("_conv")) & (F.col("_next") == F.col("_turn"))).select("conv_id", "turn", "question", "answer")
 
 
 add("qa_pairs", "conversations", asked, PAIRS)
