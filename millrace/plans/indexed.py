@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import alignment, sentences, tags, vectors
+from ..operators import alignment, language, sentences, tags, vectors
 from ..sources.shared import shared_folder
 from ..streaming import watch
 from ..streaming.near_index import NearIndex
 
 HOUR = 3_600_000
+#: A byte-level vocabulary; any that the tokenizers library reads will do.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +91,18 @@ def ext_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(spread(docs), sentences.abbreviations(docs))
 
 
+def ext_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text and its chance, by a model of the labelled ones, of which one in five is kept out."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return language.fit_languages(docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)).scored(docs).withColumn("score", F.round("score", 6))
+
+
+def ext_token_num_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of 200 to 2000 tokens of a public vocabulary."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", language.token_count(VOCABULARY)("text").alias("n_tokens")).filter("n_tokens BETWEEN 200 AND 2000")
+
+
 def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
@@ -98,7 +112,7 @@ NEAREST = """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embe
 p AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.v, v.v) AS s FROM v q JOIN v ON {where} WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS place FROM p)
 SELECT query_id, CAST(place AS INTEGER) AS place, vec_id, round(s, 6) AS score FROM r WHERE place <= {k}"""
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (ann_topk, knn_topk, knn_filtered, watched_users, near_index_kept, support_passages, ext_meta_tags_merged, ext_abbreviations, ext_sentences)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (ann_topk, knn_topk, knn_filtered, watched_users, near_index_kept, support_passages, ext_meta_tags_merged, ext_abbreviations, ext_sentences, ext_language_model, ext_token_num_vocabulary)}
 BEFORE, AFTER = "[\"''(\\[{“‘«]*", "[\"'')\\]}”’»]*"
 word = lambda t: f"regexp_replace(regexp_replace(lower({t}), '^{BEFORE}', ''), '[.,;:!?]?{AFTER}$', '')"
 dotted = lambda t: f"regexp_matches({t}, '[^.]\\.{AFTER}$')"

@@ -1,5 +1,6 @@
 """Stored indexes and watched jobs against plain versions."""
 
+import base64
 import random
 import re
 from collections import Counter
@@ -8,8 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import alignment, sentences, tags, vectors
-from millrace.plans import registered
+from millrace.operators import alignment, language, sentences, tags, vectors
+from millrace.plans import indexed, registered
 from millrace.sources.shared import shared_folder
 from millrace.streaming import watch
 
@@ -228,3 +229,53 @@ def test_tags_within_edits_are_found(spark):
         near = [a for a in merged if merged[a] == a and distance(a, t) <= min(most(a), most(t))]
         merged[t] = near[0] if near else t
     assert {r.tag: (r.n, r.merged) for r in tags.merged_tags(rows, F.col("tag")).collect()} == {t: (lower[t], m) for t, m in merged.items()}
+
+
+def test_languages(spark, sf_dir):
+    """Held-out labels are told, scores are chances, and texts without letters are undetermined."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    held = docs.filter("doc_id % 3 = 0")
+    model = language.fit_languages(docs.filter("doc_id % 3 != 0"))
+    odd = spark.createDataFrame([(-1, None, None), (-2, "", "en"), (-3, "12 34!", "en"), (-4, "Ωψ", None)], docs.schema)
+    got = {r.doc_id: (r.lang, r.score) for r in model.scored(held.union(odd)).collect()}
+    rows = held.collect()
+    assert len(got) == len(rows) + 4 and all(got[i] == ("und", 0.0) for i in (-1, -2, -3, -4))
+    known = [r for r in rows if r.lang and got[r.doc_id][0] != "und"]
+    right = [got[r.doc_id][0] == r.lang for r in known]
+    assert sum(right) >= 0.95 * len(known) > 0.95 * 40
+    assert abs(sum(got[r.doc_id][1] for r in known) / len(known) - sum(right) / len(known)) < 0.1
+    kept = {r.doc_id for r in language.language_filter(held, model, ("de",), 0.6).collect()}
+    assert kept == {i for i, (s, p) in got.items() if s == "de" and p >= 0.6 and i >= 0}
+    none = language.fit_languages(docs.filter("lang IS NULL"))
+    assert {(r.lang, r.score) for r in none.scored(held).collect()} == {("und", 0.0)}
+
+
+def test_a_model_of_languages_is_counted(spark, monkeypatch):
+    """Mean logarithms by hand, and the same where the model is joined and not sent."""
+    docs = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate([("aba ab", "x"), ("Aba?", "x"), ("abb bb", "y"), ("bba", "y")] * 5)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(language, "LEAST", 1)
+    model = language.fit_languages(docs)
+    runs = lambda t: [s[i : i + 3] for s in [f" {' '.join(re.findall(r'[^\W\d_]+', t.lower()))} "] for i in range(len(s) - 2)]
+    counted = {r.g: (r.l0, r.l1) for r in model.table.collect()}
+    seen, used = {"x": Counter(), "y": Counter()}, [r for r in docs.withColumn("apart", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(10)) == 0).collect() if not r.apart]
+    for r in used:
+        seen[r.lang].update(runs(r.text))
+    size = len(set(seen["x"]) | set(seen["y"]))
+    for g, (a, b) in counted.items():
+        assert [a, b] == pytest.approx([np.log((seen[s][g] + 0.5) / (sum(seen[s].values()) + 0.5 * size)) for s in "xy"])
+    ask = spark.createDataFrame([(1, "ab abb zz"), (2, "bbb")], "doc_id long, text string")
+    sent = {r[0]: tuple(r)[1:] for r in model.means(ask, "doc_id", "text").collect()}
+    model.small = False
+    assert {r[0]: tuple(r)[1:] for r in model.means(ask, "doc_id", "text").collect()} == {i: pytest.approx(v) for i, v in sent.items()}
+    known = [counted[g] for g in runs("ab abb zz") if g in counted]
+    assert sent[1] == pytest.approx(tuple(np.mean(known, axis=0)))
+
+
+def test_token_counts(spark, sf_dir):
+    """Those of another library with the same vocabulary."""
+    tiktoken, tokenizers = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    coder = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "<|endoftext|> naïve 文字\n\n  x" * 500)], "doc_id long, text string"))
+    got = docs.select("text", language.token_count(indexed.VOCABULARY)("text").alias("n")).collect()
+    assert [r.n for r in got] == [len(coder.encode_ordinary(r.text or "")) for r in got]
