@@ -24,10 +24,11 @@ BASE = {
 }
 #: High-recall generators: what people write instead. They overlap each other and the base spans; of spans of which one
 #: holds the other the longer is chosen. Local parts and labels of any length; the 127 labels of a domain name and the
-#: digits of an address part, a card or a number's groups are what these formats allow, not cuts.
+#: digits of an address part, a card or a number's groups are what these formats allow, not cuts. Groups of one and two
+#: digits between colons are times and ratios; an address has a letter or a longer group.
 WIDE = (
     ("email", r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++\x20?(?:@|[(\[]at[)\]])\x20?[\p{L}0-9-]++(?:\x20?(?:\.|[(\[]dot[)\]])\x20?[\p{L}0-9-]++){1,126}"),
-    ("ip", r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])|(?<![0-9.])[0-9]{1,3}(?:\x20?\.\x20?[0-9]{1,3}){3}(?![0-9.])"),
+    ("ip", r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*?(?:[A-Fa-f]|[0-9]{3}))(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])|(?<![0-9.])[0-9]{1,3}(?:\x20?\.\x20?[0-9]{1,3}){3}(?![0-9.])"),
     ("card", r"(?<![0-9])[0-9]{4}(?:[\x20./-]?[0-9]{4}){2}[\x20./-]?[0-9]{1,7}(?![0-9])"),
     ("phone", r"(?<![0-9])\(?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{3,4}[\x20./-][0-9]{3,4}(?![0-9])"),
     ("phone", r"\+[0-9]{1,3}[\x20./-]{0,2}\(?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{3,4}[\x20./-][0-9]{3,4}(?![0-9])"),

@@ -420,6 +420,7 @@ def test_personal_data_finds_what_no_base_pattern_judged(spark):
     for i in range(200):
         for hit in (f"+{num(2)} {num(3)} {num(4)} {num(3)}", f"bob{i}@host{i}.org", "".join(card()), "".join(card(False)), ".".join(card(False)), ".".join(byte() for _ in range(4)), f"{rng.randint(300, 999)}.{byte()}.{byte()}.{byte()}", f"+{num(2)} {num(3)} {num(3)}"):
             rows.append(f"{rng.choice(('phone', 'mail', 'say', 'then', 'and from', 'near'))} {hit} there")
+    rows += [f"at {hit} sharp" for i in range(10, 30) for hit in (f"10:20:30:{i}", f"{i}:9:16:1:2", f"ratio 1:2:{i}:4:5:6:7:8", f"v. 1.{i}.3", f"room {i}/4", f"@ noon {i}")]
     plain = len(rows)
     planted = []
     for i in range(20):
