@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -40,12 +41,7 @@ def _lang_keys(langs: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     found = langs.dictionary_encode()
     names = found.dictionary.to_pylist()
     at = found.indices.to_numpy(zero_copy_only=False)
-    raw = pa.array(names, pa.string())
-    keys = np.zeros(len(names), dtype=np.uint64)
-    for lo, hi, off, data in slices(raw):
-        for i in range(lo, hi):
-            part = data[off[i - lo] : off[i - lo + 1]]
-            keys[i] = mix(np.array([int.from_bytes(part[k : k + 8].tobytes(), "little") ^ (k + 1) << 56 for k in range(0, len(part), 8)] or [0], dtype=np.uint64)).sum(dtype=np.uint64)
+    keys = np.array([int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little") for name in names], dtype=np.uint64)
     return names, at, keys[at]
 
 

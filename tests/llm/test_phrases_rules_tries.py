@@ -50,7 +50,7 @@ def texts_of():
     rng = random.Random(11)
     words = ["the", "The", "of", "mill", "old", "naïve", "Ä", "x", "ha", "_", "a-b", "'"]
     rows = [(rng.choice(["en", "de", None, "und"]), talk(rng, words[: rng.randint(2, 12)], rng.randint(1, 60))) for _ in range(120)]
-    return [*rows, rows[0], rows[0], ("en", None), ("en", ""), ("fr", " \n,. "), ("en", "ha " * 3000), ("en", " ".join(f"w{i % 977} the+{i % 31}" for i in range(60_000)))]
+    return [*rows, rows[0], rows[0], ("en", None), ("en", ""), ("fr", " \n,. "), ("a language with a very long name " * 20, "one two one two one two"), ("en", "ha " * 3000), ("en", " ".join(f"w{i % 977} the+{i % 31}" for i in range(60_000)))]
 
 
 @pytest.mark.parametrize("few", [False, True])
