@@ -15,8 +15,9 @@ from .verify import bands, link_components, set_keys, set_rows
 
 #: Signatures that a task holds before it sends them on.
 HELD = 1 << 20
-#: Shingles whose signatures one bucket has on average: some 6 MB, which a task holds twice.
-BUCKET = 1 << 18
+#: Shingles whose signatures one bucket has on average, some 12 MB, and how many buckets there are at least: the more there
+#: are, the fewer signatures of a node meet in one, whose bytes then differ less between small inputs and large ones.
+BUCKET, BUCKETS = 1 << 19, 256
 #: Signatures of at most so many elements are left out where no link can be lost.
 LIGHT = 4
 
@@ -90,17 +91,19 @@ def stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def packed(sig: np.ndarray, node: np.ndarray) -> tuple[bytes, bytes]:
-    """Six bytes of each signature (if unequal ones meet so, they are compared in vain), and runs of equal nodes."""
-    first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-    runs = np.diff(np.append(first, len(node))).astype(np.uint32)
+    """Six bytes of each signature (if unequal ones meet so, they are compared in vain), and runs of up to 255 equal nodes."""
+    begins = np.concatenate([[True], node[1:] != node[:-1]])
+    at = np.flatnonzero(begins)
+    first = np.flatnonzero(begins | ((np.arange(len(node)) - np.repeat(at, np.diff(np.append(at, len(node))))) % 255 == 0))
+    runs = np.diff(np.append(first, len(node))).astype(np.uint8)
     return sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), node[first].tobytes() + runs.tobytes()
 
 
 def unpacked(sig: bytes, node: bytes) -> tuple[np.ndarray, np.ndarray]:
     whole = np.zeros((len(sig) // 6, 8), dtype=np.uint8)
     whole[:, :6] = np.frombuffer(sig, np.uint8).reshape(-1, 6)
-    n = len(node) // 12
-    return whole.view("<u8").ravel().astype(np.uint64), np.frombuffer(node, np.uint64, n).repeat(np.frombuffer(node, np.uint32, n, 8 * n))
+    n = len(node) // 9
+    return whole.view("<u8").ravel().astype(np.uint64), np.frombuffer(node, np.uint64, n).repeat(np.frombuffer(node, np.uint8, n, 8 * n))
 
 
 def _sign(n: int, signer: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], buckets: int) -> Callable:
@@ -170,7 +173,7 @@ def signed_join(spark: SparkSession, docs: DataFrame, n: int, percent: int, sign
     narrow_batches(spark)
     keyed = scratch.table(set_keys(docs, n, keep))
     # a bucket has the signatures of so many shingles on average, however much there is
-    buckets = max(4 * parts(spark), (keyed.agg(F.sum("n_shingles")).first()[0] or 0) // BUCKET)
+    buckets = max(BUCKETS, 4 * parts(spark), (keyed.agg(F.sum("n_shingles")).first()[0] or 0) // BUCKET)
     signed = docs.select("text").mapInArrow(_sign(n, signer, buckets), "bucket int, sig binary, node binary")
     edges = scratch.table(signed.groupBy("bucket").applyInArrow(_meet, "a long, b long"))
     return link_components(spark, docs, keyed, edges, n, percent, scratch, keep)
