@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -55,6 +56,11 @@ class Scratch:
         self.spark.sql(f"DROP TABLE {name}")  # the catalogue's entry, not the files
         return back
 
+    def freed(self) -> None:
+        """Let the shuffle files of written tables go now: they stay until the driver collects its garbage, which a large one seldom does."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables of this scratch that no later step reads."""
         for t in tables:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, narrow_batches, parts
 from .tokens import mix
-from .verify import bands, link_components, set_keys, set_rows
+from .verify import SHORT, bands, link_components, set_keys, set_rows
 
 #: Signatures that a task holds before it sends them on.
 HELD = 1 << 20
@@ -91,26 +91,30 @@ def stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def packed(sig: np.ndarray, node: np.ndarray) -> tuple[bytes, bytes]:
-    """Six bytes of each signature (if unequal ones meet so, they are compared in vain), and runs of up to 255 equal nodes."""
+    """Five bytes of each signature (if unequal ones meet so, they are compared in vain), and runs of up to 255 equal short nodes, of five bytes, too."""
     begins = np.concatenate([[True], node[1:] != node[:-1]])
     at = np.flatnonzero(begins)
     first = np.flatnonzero(begins | ((np.arange(len(node)) - np.repeat(at, np.diff(np.append(at, len(node))))) % 255 == 0))
     runs = np.diff(np.append(first, len(node))).astype(np.uint8)
-    return sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), node[first].tobytes() + runs.tobytes()
+    short = lambda x: x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    return short(sig), short(node[first]) + runs.tobytes()
 
 
 def unpacked(sig: bytes, node: bytes) -> tuple[np.ndarray, np.ndarray]:
-    whole = np.zeros((len(sig) // 6, 8), dtype=np.uint8)
-    whole[:, :6] = np.frombuffer(sig, np.uint8).reshape(-1, 6)
-    n = len(node) // 9
-    return whole.view("<u8").ravel().astype(np.uint64), np.frombuffer(node, np.uint64, n).repeat(np.frombuffer(node, np.uint8, n, 8 * n))
+    def whole(short: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(short) // 5, 8), dtype=np.uint8)
+        out[:, :5] = short.reshape(-1, 5)
+        return out.view("<u8").ravel().astype(np.uint64)
+
+    n = len(node) // 6
+    return whole(np.frombuffer(sig, np.uint8)), whole(np.frombuffer(node, np.uint8, 5 * n)).repeat(np.frombuffer(node, np.uint8, n, 5 * n))
 
 
 def _sign(n: int, signer: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], buckets: int) -> Callable:
     def rows_of(sig: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Nodes that share a signature here go out as edges; others may meet them only through its smallest node."""
-        sig, node, a, b = stars(sig, node)
-        to = (sig % np.uint64(buckets)).astype(np.int64)
+        sig, node, a, b = stars(sig, node & np.uint64(SHORT))
+        sig, to = sig // np.uint64(buckets), (sig % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((node, to))
         sig, node, to = sig[order], node[order], to[order]
         cut = np.searchsorted(to, np.arange(buckets + 1))
@@ -168,7 +172,10 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int
 
 
 def signed_join(spark: SparkSession, docs: DataFrame, n: int, percent: int, signer: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], keep: tuple[str, ...]) -> DataFrame:
-    """Documents linked by Jaccard among those that share a signature: signer gives (row, signature) for sets given as sorted hashes by row, and their sizes."""
+    """Documents linked by Jaccard among those that share a signature: signer gives (row, signature) for sets given as sorted hashes by row, and their sizes.
+
+    While candidates are sought a node goes by its short form, which takes fewer bytes; what is compared are whole sets.
+    """
     scratch = Scratch(spark)
     narrow_batches(spark)
     keyed = scratch.table(set_keys(docs, n, keep))
@@ -176,4 +183,5 @@ def signed_join(spark: SparkSession, docs: DataFrame, n: int, percent: int, sign
     buckets = max(BUCKETS, 4 * parts(spark), (keyed.agg(F.sum("n_shingles")).first()[0] or 0) // BUCKET)
     signed = docs.select("text").mapInArrow(_sign(n, signer, buckets), "bucket int, sig binary, node binary")
     edges = scratch.table(signed.groupBy("bucket").applyInArrow(_meet, "a long, b long"))
+    scratch.freed()
     return link_components(spark, docs, keyed, edges, n, percent, scratch, keep)

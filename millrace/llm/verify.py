@@ -16,6 +16,8 @@ from .tokens import distinct, mix, shingles, slices, words
 BLOCK, REST = 256, 1024
 #: Members of candidate clusters that are sent to all tasks at most: 24 MB.
 SENT = 1_000_000
+#: The bits of a node by which it goes in candidate edges.
+SHORT = (1 << 40) - 1
 #: Pivots of a group, on average; groups of no more sets consist of pivots only.
 PIVOTS = 32
 #: A group of more nodes than one of FAIR * (shuffle partitions) equal parts of all is split where it meets its count.
@@ -243,8 +245,17 @@ def nameless_texts(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
     return texts.groupBy("_of").agg(F.min("text").alias("text")).join(of.join(wanted, "node"), "_of").select("text", "node", "cluster")
 
 
+def clusters_of(spark: SparkSession, nodes: DataFrame, candidates: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, root) of the nodes that candidate edges between short forms lead to others from; nodes of one short form are candidates of each other."""
+    short = nodes.select(F.col("node").alias("id"), F.col("node").bitwiseAND(F.lit(SHORT)).alias("_short"))
+    alike = short.groupBy("_short").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("_short").alias("id"), F.col("_short").alias("root"))
+    roots = components(spark, candidates, scratch)
+    roots = roots.union(alike.join(roots, "id", "left_anti")).withColumnRenamed("id", "_short")
+    return scratch.table(short.join(roots, "_short").select("id", "root"))
+
+
 def link_components(spark: SparkSession, docs: DataFrame, keyed: DataFrame, candidates: DataFrame, n: int, percent: int, scratch: Scratch, keep: tuple[str, ...] = ()) -> DataFrame:
-    """component_id of every row of keyed (doc_id, n_shingles, node, and what is in keep), from candidate edges (a, b) between nodes.
+    """component_id of every row of keyed (doc_id, n_shingles, node, and what is in keep), from candidate edges (a, b) between nodes in short form.
 
     Candidate edges only say which sets must be compared: all sets of a connected cluster of them are, within bands
     of size, by 128 bytes of parities, which bound the difference from below. The clusters that are left are compared
@@ -253,8 +264,8 @@ def link_components(spark: SparkSession, docs: DataFrame, keyed: DataFrame, cand
     Sets are rebuilt from the texts of one document for each distinct set. Documents without a doc_id link as others do,
     and others link through them; as they have no id to give, a component of such documents only has none.
     """
-    clusters = components(spark, candidates, scratch)
-    first = keyed.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
+    first = scratch.table(keyed.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep")))
+    clusters = clusters_of(spark, first, candidates, scratch)
     members = clusters.join(first, clusters.id == first.node).select(F.col("rep").alias("doc_id"), "node", F.col("root").alias("cluster"))
     members = scratch.table(members)
     # few documents are members: up to so many, at 24 bytes each, they go to the texts; beyond that both are shuffled

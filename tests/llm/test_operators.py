@@ -13,16 +13,18 @@ import xxhash
 from pyspark.sql import functions as F
 
 from millrace.llm import lm_hpy, queries, secrets
+from millrace.llm.common import Scratch
 from millrace.llm.embed_dups import similar_vectors
 from millrace.llm.langid import identify_language
 from millrace.llm.lm_hpy import score_documents
 from millrace.llm.minhash import fingerprint_documents, near_duplicates
 from millrace.llm.mixing import fit_budget, mix_sources, targets
-from millrace.llm.ngram_join import jaccard_join
+from millrace.llm.ngram_join import jaccard_join, packed, unpacked
 from millrace.llm.packing import best_boundaries, pack_documents
 from millrace.llm.pii import KINDS, find_personal_data, redacted, report
 from millrace.llm.secrets import scan_secrets
 from millrace.llm.sharding import shard_documents
+from millrace.llm.verify import clusters_of
 
 from . import brute
 
@@ -632,3 +634,20 @@ def test_large_groups_of_near_copies(spark):
     rows = [(i, changed(base if i < 1500 else far, i)) for i in range(1900)] + [(i, " ".join(f"q{r.randrange(9999)}" for _ in range(50))) for i in range(1900, 2000)]
     got = {x.doc_id: x.component_id for x in jaccard_join(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(8), 3, 90).collect()}
     assert got == {i: 0 if i < 1500 else 1500 if i < 1900 else i for i in range(2000)}
+
+
+def test_signatures_travel_in_eleven_bytes():
+    rng = np.random.default_rng(1)
+    sig, node = (rng.integers(0, 1 << 40, 700, dtype=np.uint64) for _ in "ab")
+    node = np.sort(np.concatenate([node[:300], node[:1].repeat(400)]))
+    blobs = packed(sig, node)
+    assert all((a == b).all() for a, b in zip(unpacked(*blobs), (sig, node)))
+    assert sum(map(len, packed(sig[:300], np.unique(node)[:300]))) <= 11 * 300
+
+
+def test_nodes_of_one_short_form_are_candidates(spark):
+    same = [5, 5 + (7 << 40), 5 - (1 << 62)]
+    nodes = spark.createDataFrame([(n,) for n in (*same, 6, 8 + (1 << 40), 9)], "node long")
+    for edges, joined in (([(6, 8)], [same, [6, 8 + (1 << 40)]]), ([(5, 9)], [[*same, 9]])):
+        roots = dict(clusters_of(spark, nodes, spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect())
+        assert sorted(sorted(n for n in roots if roots[n] == r) for r in set(roots.values())) == sorted(map(sorted, joined))
