@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .normalize import let
+
 #: A score of this or more makes an abbreviation (Kiss and Strunk, 2006).
 LEAST = 0.3
 #: So many abbreviations at most are sent to all tasks; more are joined by word.
@@ -65,6 +67,7 @@ def split_sentences(df: DataFrame, found: DataFrame | None = None, key: str = "d
         mine = rows.select(key, F.explode(F.array_distinct(F.transform(F.filter("w", dotted), word_type))).alias("word")).join(short, "word")
         rows = rows.join(mine.groupBy(key).agg(F.collect_list("word").alias("known")), key, "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
     last = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: (i == F.size("w")) | ends_sentence(F.get("w", i - 1), F.get("w", i), F.col("known")))
-    cut = rows.select(key, "w", last.alias("last")).select(key, "w", "last", F.posexplode("last").alias("at", "to"))
-    start = F.when(F.col("at") > 0, F.get("last", F.col("at") - 1)).otherwise(0)
-    return cut.select(key, "at", F.array_join(F.slice("w", start + 1, F.col("to") - start), " ").alias("sentence"))
+    start = lambda ends, i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+    # sentences are put together before they become rows, or else each would carry its whole text
+    found = let(last, lambda ends: F.transform(ends, lambda to, i: F.array_join(F.slice("w", start(ends, i) + 1, to - start(ends, i)), " ")))
+    return rows.select(key, F.posexplode(found).alias("at", "sentence"))

@@ -279,3 +279,19 @@ def test_token_counts(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "<|endoftext|> naïve 文字\n\n  x" * 500)], "doc_id long, text string"))
     got = docs.select("text", language.token_count(indexed.VOCABULARY)("text").alias("n")).collect()
     assert [r.n for r in got] == [len(coder.encode_ordinary(r.text or "")) for r in got]
+
+
+def test_slices_by_cells_are_bounded():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000))], ["i"])
+    parts = list(vectors.sliced(iter([batch]), 4096))
+    assert max(p.num_rows for p in parts) * 4096 <= vectors.PRODUCTS and [x for p in parts for x in p.column(0).to_pylist()] == list(range(10_000))
+
+
+def test_sentences_do_not_carry_their_text(spark):
+    rows = spark.createDataFrame([(1, "One is here. Two is there! Three"), (2, " "), (3, None)], "doc_id long, text string")
+    found = sentences.split_sentences(rows)
+    assert sorted((r.doc_id, r["at"], r.sentence) for r in found.collect()) == [(1, 0, "One is here."), (1, 1, "Two is there!"), (1, 2, "Three")]
+    generate = next(line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in line)
+    assert generate.count("last") == 0
