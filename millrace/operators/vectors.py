@@ -13,6 +13,8 @@ from pyspark.sql.types import StructType
 
 #: Vectors, and queries, of one block: a block of either side meets in one group.
 VECTORS, QUERIES = 4096, 1024
+#: Numbers of a table of rows by cells, of which a task holds a few: 2 MB each.
+PRODUCTS = 1 << 18
 #: Scores are compared by so many decimals, so that equal vectors tie wherever they lie.
 DECIMALS = 9
 #: What rounding may add to an angle.
@@ -68,9 +70,16 @@ class Index:
         return spark.read.parquet(f"{self.path}/vectors")
 
 
+def sliced(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that a table of a slice's rows by all cells has no more than PRODUCTS numbers, however many cells there are."""
+    rows = max(1, PRODUCTS // max(1, cells))
+    for batch in batches:
+        yield from (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
+
+
 def _placed(cells: np.ndarray, vector: str) -> Callable:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, len(cells)):
             product = units(batch.column(vector)) @ cells.T
             own = product.argmax(axis=1)
             angle = np.arccos(np.clip(product[np.arange(len(own)), own], -1, 1))
@@ -103,7 +112,7 @@ def build_index(vectors: DataFrame, path: str, cells: int | None = None, key: st
 def _probed(cells: np.ndarray, probes: int) -> Callable:
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each query with the cells it looks in first."""
-        for batch in batches:
+        for batch in sliced(batches, len(cells)):
             product = units(batch.column(1)) @ cells.T
             near = np.argsort(-product, axis=1, kind="stable")[:, : min(probes, len(cells))]
             rows = np.repeat(np.arange(len(near)), near.shape[1])
@@ -115,7 +124,7 @@ def _probed(cells: np.ndarray, probes: int) -> Callable:
 def _others(cells: np.ndarray, probes: int, radius: np.ndarray) -> Callable:
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each query with the cells left that may hold a vector at least as near as its k-th: within the cell's radius of that angle."""
-        for batch in batches:
+        for batch in sliced(batches, len(cells)):
             product = units(batch.column(1)) @ cells.T
             near = np.argsort(-product, axis=1, kind="stable")[:, : min(probes, len(cells))]
             least = batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
