@@ -67,9 +67,15 @@ def okapi_scores(texts: list[list[str]], k1: float = 1.5, b: float = 0.75) -> Ca
     floor = 0.25 * sum(idf.values()) / max(1, len(idf))
     idf = {w: v if v >= 0 else floor for w, v in idf.items()}
 
+    def part(c: Counter, size: int) -> dict[str, float]:
+        length = k1 * (1 - b + b * size / mean) if mean else k1
+        return {w: idf[w] * k * (k1 + 1) / (k + length) for w, k in c.items()}
+
+    parts = [part(c, len(t)) for c, t in zip(counts, texts)]
+
     def score(i: int, j: int) -> float:
-        length = k1 * (1 - b + b * len(texts[j]) / mean) if mean else k1
-        return sum(idf[w] * counts[j][w] * (k1 + 1) / (counts[j][w] + length) for w in texts[i] if counts[j][w])
+        of = parts[j]
+        return sum(of[w] for w in texts[i] if w in of)
 
     return score
 

@@ -218,3 +218,22 @@ def test_words_are_cut_once_for_all_profiles(spark):
     found = rows.select(filters.profile_language(F.col("text"), {"de": ("der", "die", "und"), "en": ("the",), "fr": ("le",)}).alias("f"))
     assert [(r.f.lang, round(r.f.score, 6)) for r in found.collect()] == [("de", 1.0), ("de", 0.0), ("en", 0.5)]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_few_texts_go_to_a_task_at_once(spark):
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "10000")
+    try:
+        chunk.chunks(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), chunk.split_text(800, 100)(F.col("text")))
+        assert int(spark.conf.get(size)) <= 500
+    finally:
+        spark.conf.set(size, before)
+
+
+def test_pairs_need_no_task_a_block(spark):
+    rows = spark.createDataFrame([(1, i, f"word{i % 3} x") for i in range(7)] + [(2, 0, "alone")], "doc_id long, at int, chunk string")
+    pairs = chunk.knowledge_pairs(rows)
+    assert "FlatMapGroups" not in pairs._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.doc_id, r["at"], r.chunk) for r in pairs.collect())
+    assert [g[:2] for g in got] == [(1, 0), (1, 1), (1, 2), (1, 3), (2, 0)] and got[0][2] == "word0 xword0 x" and got[-1][2] == "alone"
