@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import fixed
-from ..functions.chars import char_class, range_class
+from ..functions.chars import char_class, fast_class, range_class
 
 #: What str.strip() of Python removes.
-STRIP = r"[\x09-\x0D\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+STRIPPED = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -24,19 +24,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{STRIP}+|{STRIP}+\z", "")
+    """c without the blanks at its ends; only the ends are looked at."""
+    return F.btrim(c, F.lit(STRIPPED))
 
 
 def unicode_spaces(c: Column) -> Column:
     """Unusual spaces become U+0020."""
-    return F.regexp_replace(c, char_class(fixed.UNICODE_SPACES), " ")
+    return F.regexp_replace(c, fast_class(fixed.UNICODE_SPACES), " ")
 
 
 def extra_spaces(c: Column) -> Column:
     """Runs of spaces and of blank lines become one; none stay between CJK characters and signs, as which the text's edges count."""
-    near = rf"\x{{4E00}}-\x{{9FA5}}{char_class(fixed.SPACELESS_CHARS)[1:-1]}"
+    near = rf"[\x{{4E00}}-\x{{9FA5}}{fast_class(fixed.SPACELESS_CHARS)}]"
     lines = F.array_join(F.transform(F.split(strip(unicode_spaces(c)), "\n"), strip), "\n")
-    text = F.regexp_replace(F.regexp_replace(lines, " {2,}", " "), rf"(?<![^{near}]) +(?![^{near}])", "")
+    # what is before a run is looked at where a blank was found, not at every character
+    text = F.regexp_replace(F.regexp_replace(lines, " {2,}", " "), rf" (?:(?<={near} )|(?<=\A )) *+(?:(?={near})|\z)", "")
     return F.regexp_replace(text, "[ \n]{2,}", "\n")
 
 
