@@ -10,7 +10,8 @@ from . import normalize
 
 
 def urls(c: Column) -> Column:
-    return F.regexp_replace(c, fixed.URL, "<url>")
+    """Links as <url>; texts that can hold none are not searched."""
+    return normalize.let(c, lambda t: F.when(t.contains("://") | t.contains("www."), F.regexp_replace(t, fixed.URL, "<url>")).otherwise(t))
 
 
 def emails(c: Column) -> Column:
