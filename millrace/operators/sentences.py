@@ -13,19 +13,29 @@ LEAST = 0.3
 SENT = 100_000
 #: What may stand before a word, and after its full stop.
 BEFORE, AFTER = "[\"'(\\[{“‘«]*", "[\"')\\]}”’»]*"
+#: The same as characters to be trimmed.
+OPENING, CLOSING = "\"'([{“‘«", "\"')]}”’»"
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"[^\x09-\x0D\x20]+"), F.lit(0))
+    """What stands between blanks; the other blanks become spaces, at which a text is cut without a pattern."""
+    for blank in "\t\n\v\f\r":
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
 
 
 def word_type(token: Column) -> Column:
-    """A token in lower case without what opens and closes around it, and without its last full stop or other mark."""
-    return F.regexp_replace(F.lower(token), rf"^{BEFORE}|[.,;:!?]?{AFTER}$", "")
+    """A token in lower case without what opens and closes around it, and without its last full stop or other mark.
+
+    A token of such characters only is a type without letters, whichever; ends are trimmed, as words are many.
+    """
+    closed = F.rtrim(F.ltrim(F.lower(token), F.lit(OPENING)), F.lit(CLOSING))
+    return let(closed, lambda t: F.when(F.right(t, F.lit(1)).isin(*".,;:!?"), F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t))
 
 
 def dotted(token: Column) -> Column:
-    return token.rlike(rf"[^.]\.{AFTER}$")
+    """Whether a token ends with a single full stop, and what closes after it."""
+    return let(F.rtrim(token, F.lit(CLOSING)), lambda t: t.endswith(".") & ~t.endswith("..") & (t != "."))
 
 
 def abbreviations(df: DataFrame, text: str = "text") -> DataFrame:
@@ -42,7 +52,9 @@ def abbreviations(df: DataFrame, text: str = "text") -> DataFrame:
     likely = k * F.log(F.lit(0.99)) + (n - k) * F.log(F.lit(0.01)) - k * F.log(stop) - F.when(n > k, (n - k) * F.log(1 - stop)).otherwise(0.0)
     length = F.length(F.replace("word", F.lit("."), F.lit("")))
     weight = F.exp(-length.cast("double")) * (F.length("word") - length + 1) * F.pow(length.cast("double"), -F.col("plain").cast("double"))
-    scored = counts.filter(F.col("word").rlike(r"\p{L}") & (F.col("dotted") > 0)).join(F.broadcast(total))  # one row
+    # one condition: letters asked for below the counting would make it another than the totals', and both would be done
+    named = F.when(F.col("dotted") > 0, F.col("word").rlike(r"\p{L}")).otherwise(False)
+    scored = counts.filter(named).join(F.broadcast(total))  # one row
     return scored.select("word", "dotted", "plain", (2 * likely * weight).alias("score"))
 
 
