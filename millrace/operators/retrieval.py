@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .normalize import let
+
 
 def terms(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
@@ -48,12 +50,24 @@ def okapi(df: DataFrame, query: str, key: str = "doc_id", text: str = "text", k1
     return scored.groupBy(key).agg(F.sum(part).alias("score"))
 
 
+def counted(values: Column) -> Column:
+    """The distinct values of an array, in order, as (term, tf); it is sorted, so that equal ones are neighbours."""
+    starts = lambda s: F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
+    runs = lambda s: let(starts(s), lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i - 1).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s) + 1) - i).alias("tf"))))
+    return let(F.sort_array(values), lambda s: F.when(F.size(s) > 0, runs(s)))
+
+
 def keywords(df: DataFrame, k: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, place, term, score) of each text's k terms of largest tf * ln(N / n); ties by term."""
-    counts = df.select(key, F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    often = counts.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    """(key, place, term, score) of each text's k terms of largest tf * ln(N / n); ties by term.
+
+    Terms are counted within their text and dealt by term once: there the rows of one key are summed, its keys
+    counted and scores made; only what is among a task's k best of a key is dealt by key.
+    """
+    each = df.select(key, F.explode(counted(terms(F.col(text)))).alias("_c")).select(key, "_c.*").repartition("term")
+    counts = each.groupBy("term", key).agg(F.sum("tf").alias("tf"))
+    often = counts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("n"))  # always: it reads the same columns, and so the same shuffle
     docs = df.agg(F.count(F.lit(1)).alias("docs"))
-    scored = counts.join(often, "term").join(docs).select(key, "term", F.round(F.col("tf") * F.log(F.col("docs") / F.col("n")), 6).alias("score"))
+    scored = counts.join(often, "term").join(F.broadcast(docs)).select(key, "term", F.round(F.col("tf") * F.log(F.col("docs") / F.col("n")), 6).alias("score"))
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "term"))
     return scored.withColumn("place", place).filter(F.col("place") <= k)
 
