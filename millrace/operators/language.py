@@ -8,11 +8,11 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .normalize import let
-
 #: So many runs of characters at most are sent to all tasks; a larger model is joined by run.
 SENT = 200_000
 #: A run counts as one that is not known if it comes fewer times in all labelled texts.
@@ -23,11 +23,50 @@ ADDED = 0.5
 JUDGED = 4000
 
 
-def grams(text: Column, n: int = 3) -> Column:
-    """All runs of n characters of a text: letters in lower case, anything else as one blank, one before and after the text."""
-    chars = F.split(F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"\P{L}+", " ")), F.lit(" ")), "")
-    runs = lambda c: F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.concat(*(F.get(c, i + k) for k in range(n)))))
-    return let(F.filter(chars, lambda c: c != ""), runs)
+#: A run's three characters are the 63 bits of its number.
+BITS = 21
+
+
+def plain(text: Column) -> Column:
+    """Letters in lower case, anything else as one blank, one before and after the text."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"\P{L}+", " ")), F.lit(" "))
+
+
+def runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all runs of three characters of plain texts, and the text that each is of."""
+    sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
+    points = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    whole = of[2:] == of[:-2]
+    return ((points[:-2] << 2 * BITS) | (points[1:-1] << BITS) | points[2:])[whole], of[2:][whole]
+
+
+def named(number: Column) -> Column:
+    """A run's characters."""
+    one = lambda k: F.decode(F.unhex(F.lpad(F.hex(F.shiftright(number, k * BITS).bitwiseAND(F.lit((1 << BITS) - 1))), 8, "0")), "UTF-32")
+    return F.concat(one(2), one(1), one(0))
+
+
+def slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of about so many bytes of the column _plain at most; a longer text is one of its own."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column("_plain")).to_numpy(zero_copy_only=False)) // most
+        cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
+        yield from (batch.slice(i, j - i) for i, j in zip(cuts, cuts[1:]) if j > i)
+
+
+def counted_runs(df: DataFrame, by: str, text: str) -> DataFrame:
+    """(by, number, n): how often texts of each value of by hold each run; a batch's runs are counted before they leave it."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found, of = runs(batch.column("_plain"))
+            values, index = np.unique(np.asarray(batch.column(0).to_pylist(), dtype=object), return_inverse=True)
+            for i, value in enumerate(values):
+                number, n = np.unique(found[index[of] == i], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([value] * len(number), pa.string()), pa.array(number), pa.array(n)], [by, "number", "n"])
+
+    rows = df.select(F.col(by).cast("string").alias(by), plain(F.col(text)).alias("_plain")).mapInArrow(count, f"{by} string, number long, n long")
+    return rows.groupBy(by, "number").agg(F.sum("n").alias("n"))
 
 
 def has_letter(text: Column) -> Column:
@@ -44,10 +83,35 @@ class LanguageModel:
     small: bool
 
     def means(self, df: DataFrame, key: str, text: str) -> DataFrame:
-        """key and the mean logarithm for each language over the known runs of each text that has any."""
-        known = F.broadcast(self.table) if self.small else self.table
-        each = df.filter(has_letter(F.col(text))).select(key, F.explode(grams(F.col(text))).alias("g")).join(known, "g")
-        return each.groupBy(key).agg(*(F.avg(f"l{i}").alias(f"l{i}") for i in range(len(self.langs))))
+        """key and the mean logarithm for each language over the known runs of each text that has any; rows of one key are one text."""
+        rows, wide = df.filter(has_letter(F.col(text))).select(key, plain(F.col(text)).alias("_plain")), range(len(self.langs))
+        kind = rows.schema[key].dataType.simpleString()
+        if self.small:
+            known = self.table.select("number", *(f"l{i}" for i in wide)).toPandas()
+            numbers, logs = known["number"].to_numpy(), known.drop(columns="number").to_numpy(dtype=float)
+
+            def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                place = pd.Index(numbers)
+                for batch in slices(batches):
+                    found, of = runs(batch.column("_plain"))
+                    at = place.get_indexer(found)
+                    of, at = of[at >= 0], at[at >= 0]
+                    each = [np.bincount(of, logs[at, i], batch.num_rows).astype(float) for i in wide]
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bincount(of, minlength=batch.num_rows)), *map(pa.array, each)], [key, "n", *(f"l{i}" for i in wide)])
+
+            added = rows.mapInArrow(sums, ", ".join([f"{key} {kind}", "n long", *(f"l{i} double" for i in wide)])).filter("n > 0")
+        else:
+            def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in slices(batches):
+                    found, of = runs(batch.column("_plain"))
+                    order = np.lexsort((found, of))
+                    found, of = found[order], of[order]
+                    first = np.flatnonzero(np.concatenate([[True], (np.diff(found) != 0) | (np.diff(of) != 0)])) if len(found) else np.array([], dtype=int)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of[first])), pa.array(found[first]), pa.array(np.diff(np.append(first, len(found))))], [key, "number", "n"])
+
+            each = rows.mapInArrow(single, f"{key} {kind}, number long, n long").join(self.table, "number")
+            added = each.select(key, "n", *((F.col("n") * F.col(f"l{i}")).alias(f"l{i}") for i in wide))
+        return added.groupBy(key).agg(*((F.sum(f"l{i}") / F.sum("n")).alias(f"l{i}") for i in wide))
 
     def scored(self, df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         """(key, lang, score) of every row, keys being unique: the likeliest language and its chance; `und` and 0 for texts without letters or known runs."""
@@ -76,14 +140,14 @@ def fit_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
     """Count the runs of all labelled texts by language; a tenth of the keys, by hash, are kept out and tell how sharp the scores are to be."""
     rows = docs.filter(F.col(lang).isNotNull() & has_letter(F.col(text))).select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
     apart = F.pmod(F.xxhash64(F.lit(3), "_key"), F.lit(10)) == 0
-    counts = rows.filter(~apart).select("_lang", F.explode(grams(F.col("_text"))).alias("g")).groupBy("_lang", "g").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    counts = counted_runs(rows.filter(~apart), "_lang", "_text").checkpoint()
     langs = sorted(r["_lang"] for r in counts.select("_lang").distinct().collect())
     if not langs:
         return LanguageModel([], counts, 1.0, True)
-    wide = counts.groupBy("g").agg(*(F.sum(F.when(F.col("_lang") == s, F.col("n")).otherwise(0)).alias(f"n{i}") for i, s in enumerate(langs))).filter(sum((F.col(f"n{i}") for i in range(len(langs))), F.lit(0)) >= LEAST)
+    wide = counts.groupBy("number").agg(*(F.sum(F.when(F.col("_lang") == s, F.col("n")).otherwise(0)).alias(f"n{i}") for i, s in enumerate(langs))).filter(sum((F.col(f"n{i}") for i in range(len(langs))), F.lit(0)) >= LEAST)
     sums = wide.agg(F.count(F.lit(1)).alias("v"), *(F.sum(f"n{i}").alias(f"n{i}") for i in range(len(langs)))).first()
     size = sums["v"]
-    table = wide.select("g", *(F.log((F.col(f"n{i}") + ADDED) / ((sums[f"n{i}"] or 0) + ADDED * size)).alias(f"l{i}") for i in range(len(langs)))).checkpoint()
+    table = wide.select("number", named(F.col("number")).alias("g"), *(F.log((F.col(f"n{i}") + ADDED) / ((sums[f"n{i}"] or 0) + ADDED * size)).alias(f"l{i}") for i in range(len(langs)))).checkpoint()
     model = LanguageModel(langs, table, 1.0, size <= SENT)
     held = rows.filter(apart)
     share = min(1.0, JUDGED / max(1, held.count()))
