@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.chars import char_class
+from ..functions.chars import fast_class
 from .filters import words
 from .normalize import let, strip
 
@@ -36,7 +36,7 @@ def normalised(c: Column) -> Column:
 
 def segments(c: Column) -> Column:
     """The distinct stripped pieces between punctuation marks and line ends."""
-    return F.array_distinct(F.transform(F.split(strip(c), char_class(fixed.SEGMENT_ENDS)), strip))
+    return F.array_distinct(F.transform(F.split(strip(c), fast_class(fixed.SEGMENT_ENDS)), strip))
 
 
 #: Sets that share a common element are compared in blocks of so many by so many, each two blocks in a task of their own.
