@@ -22,7 +22,8 @@ class Watch(StatefulProcessor):
     """One job's polls in order of time, whatever order they come in.
 
     Polls later than the watermark are kept until it has passed them, so that none can come between; a timer then
-    replays them. Beside these the state is a row: the last progress, when it was made, and how many polls failed since.
+    replays them. All of a job's state is one value, the polls as arrays in it, as each reading and writing of state is a
+    trip out of the worker: the last progress, when it was made, how many polls failed since, and the timer that is set.
     """
 
     def __init__(self, timeout_ms: int, failures: int):
@@ -30,22 +31,22 @@ class Watch(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.job = handle.getValueState("job", "watched boolean, progress string, active long, failed int")
-        self.polls = handle.getListState("polls", "at long, progress string, done boolean")
+        self.job = handle.getValueState("job", "watched boolean, progress string, active long, failed int, wake long, at array<long>, seen array<string>, done array<boolean>")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         new = []
         for df in rows:
             at = df["time"].astype("datetime64[ms]").astype("int64")
             new += [(int(t), None if p is None else str(p), bool(d)) for t, p, d in zip(at, df["progress"].astype(object).where(df["progress"].notna(), None), df["done"].fillna(False))]
-        yield self.replay(key, new, timerValues.getCurrentWatermarkInMs())
+        yield from self.replay(key, new, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        yield self.replay(key, [], timerValues.getCurrentWatermarkInMs())
+        yield from self.replay(key, [], timerValues.getCurrentWatermarkInMs())
 
-    def replay(self, key: Any, new: list[tuple], now: int) -> pd.DataFrame:
-        polls = sorted([*self.polls.get(), *new], key=lambda p: (p[0], p[1] is not None, p[1] or "", p[2]))
-        watched, progress, active, failed = self.job.get() if self.job.exists() else (False, None, 0, 0)
+    def replay(self, key: Any, new: list[tuple], now: int) -> Iterator[pd.DataFrame]:
+        kept = self.job.get()
+        watched, progress, active, failed, before, *waiting = kept or (False, None, 0, 0, None, [], [], [])
+        polls = sorted([*zip(*waiting), *new], key=lambda p: (p[0], p[1] is not None, p[1] or "", p[2]))
         out = []
         for at, seen, done in (p for p in polls if p[0] <= now):
             if watched and at >= active + self.timeout:
@@ -67,16 +68,21 @@ class Watch(StatefulProcessor):
             out.append(("stalled", active, active + self.timeout))
             watched = False
         later = [p for p in polls if p[0] > now]
-        self.polls.put(later) if later else self.polls.clear()
-        self.job.update((watched, progress, active, failed)) if watched or failed or later else self.job.clear()
-        wake = [p[0] for p in later[:1]] + ([active + self.timeout] if watched else [])
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if wake:
-            self.handle.registerTimer(max(min(wake), now + 1))
+        waking = [p[0] for p in later[:1]] + ([active + self.timeout] if watched else [])
+        wake = max(min(waking), now + 1) if waking else None
+        if watched or failed or later:
+            self.job.update((watched, progress, active, failed, wake, *(map(list, zip(*later)) if later else ([], [], []))))
+        elif kept:
+            self.job.clear()
+        if before is not None and before != wake:
+            self.handle.deleteTimer(before)
+        if wake is not None and before != wake:
+            self.handle.registerTimer(wake)
+        if not out:
+            return
         stamp = lambda i: pd.to_datetime([r[i] for r in out], unit="ms")
         plain = lambda values: pd.Series(values, dtype=object)
-        return pd.DataFrame({"key": plain([key[0]] * len(out)), "outcome": plain([r[0] for r in out]), "last_active": stamp(1), "noticed": stamp(2)})
+        yield pd.DataFrame({"key": plain([key[0]] * len(out)), "outcome": plain([r[0] for r in out]), "last_active": stamp(1), "noticed": stamp(2)})
 
     def close(self) -> None:
         pass
