@@ -5,7 +5,10 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -97,27 +100,69 @@ def ranked(df: DataFrame, keys: list[str], h: str, out: str = "rank", extra: Dat
     return salted.join(slices, [*keys, "_salt"]).withColumn(out, F.col("_off") + F.row_number().over(within) - 1).drop("_salt", "_off")
 
 
-def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataFrame:
+#: Edges that one task joins at most: 4 MB.
+TASK_EDGES = 1 << 18
+
+
+def rooted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, root) for every id of the edges: larger roots are hung below smaller ones that an edge leads to until no edge is between two."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, root = at[: len(a)], at[len(a) :], np.arange(len(ids))
+    while len(x):
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+        x, y = root[x], root[y]
+        x, y = x[x != y], y[x != y]
+    return ids, ids[root]
+
+
+def _rooted(names: tuple[str, str], most: int) -> Callable:
+    def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        a, b = (np.concatenate([x.column(i).to_numpy() for x in held]) for i in (0, 1))
+        ids, roots = rooted(a, b)
+        keep = np.full(len(ids), True) if names[0] == "id" else ids != roots
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in ((ids, roots) if names[0] == "id" else (roots, ids))], list(names))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= most:
+                held = [out(held)]
+                if held[0].num_rows * 2 > most:
+                    yield from held
+                    held = []
+        if held:
+            yield out(held)
+
+    return each
+
+
+def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, most: int = TASK_EDGES) -> DataFrame:
     """(id, root) for every id in edges (a, b): root is the smallest id that edges lead to.
 
-    Each round maps every vertex to the smallest of its neighbours and itself and contracts the edges accordingly;
-    a component's smallest vertex never moves, and edges vanish within few rounds. Walking the maps back
-    gives the roots. Rounds are written tables; only whether edges are left comes to the driver.
+    Each task first puts a star for every group that its own edges connect. While there are more edges than one task
+    joins (most), rounds over all tasks map every vertex to the smallest of its neighbours and itself and contract the
+    edges accordingly; a component's smallest vertex never moves. The edges that are left, a number that doesn't grow
+    with the input, are joined at once, and walking the maps back gives the roots. Only how many edges are left comes to the driver.
     """
-    edges = scratch.table(edges.select("a", "b").filter("a != b").distinct())
+    stars = lambda df: df.mapInArrow(_rooted(("a", "b"), most), "a long, b long")
+    edges = scratch.table(stars(edges.select("a", "b").filter("a != b")))
     maps: list[DataFrame] = []
-    while not edges.isEmpty():
+    while edges.count() > most:
         ends = edges.select(F.col("a").alias("id"), F.col("b").alias("near")).union(edges.select("b", "a"))
         step = scratch.table(ends.groupBy("id").agg(F.min("near").alias("near")).select("id", F.least("id", "near").alias("root")))
         maps.append(step)
         to_a, to_b = step.select(F.col("id").alias("a"), F.col("root").alias("ra")), step.select(F.col("id").alias("b"), F.col("root").alias("rb"))
         moved = edges.join(to_a, "a").join(to_b, "b").filter("ra != rb")
-        left = scratch.table(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        left = scratch.table(stars(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()))
         scratch.drop(edges)
         edges = left
+    found = scratch.table(edges.coalesce(1).mapInArrow(_rooted(("id", "root"), 2 * most), "id long, root long"))
+    scratch.drop(edges)
     if not maps:
-        return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
-    found = maps.pop()
+        return found
     while maps:
         later = found.select(F.col("id").alias("root"), F.col("root").alias("last"))
         found = maps.pop().join(later, "root", "left").select("id", F.coalesce("last", "root").alias("root"))

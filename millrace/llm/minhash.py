@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import parts, text_of
@@ -53,21 +53,45 @@ def likeness(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p.astype(np.uint16) == q.astype(np.uint16)).mean(axis=1)
 
 
-def search_tree(at: Column, splits: list[int], lo: int = 0, hi: int | None = None) -> Column:
-    """How many of the sorted splits are at most the value, by halving: a row makes log2(n) comparisons."""
-    hi = len(splits) if hi is None else hi
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(at < splits[mid], search_tree(at, splits, lo, mid)).otherwise(search_tree(at, splits, mid + 1, hi))
+DEALT = "doc_id long, _of long, bucket int, follows int, kind int, n_shingles long, component long, body binary"
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed one by one, as all of them are shuffled."""
-    press = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        texts = batch.column("text").cast(pa.binary())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names[1:]), pa.array([press.compress(t.as_buffer()) if t.is_valid else None for t in texts], pa.binary())], [*batch.schema.names[1:], "body"])
+def _tops(splits: np.ndarray) -> Callable:
+    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The highest id of each bucket in a batch; buckets are told by how many of the sorted splits are at most the id."""
+        for batch in batches:
+            ids = np.sort(batch.column("_id").to_numpy())
+            bucket = np.searchsorted(splits, ids, "right")
+            last = np.flatnonzero(np.diff(bucket, append=-1))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[last], pa.int32()), pa.array(ids[last])], ["b", "top"])
+
+    return tops
+
+
+def _packed(splits: np.ndarray, tops: np.ndarray, closes: np.ndarray) -> Callable:
+    """Rows by bucket, texts compressed one by one, as all of them are shuffled; a row whose id is a bucket's highest also closes the bucket above. Rows of kind 0 have no texts."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        names = [f.split()[0] for f in DEALT.split(", ")]
+        for batch in batches:
+            ids = batch.column("_id").to_numpy()
+            kind = np.full(len(ids), int("text" in batch.schema.names))
+            none = pa.nulls(len(ids), pa.int64())
+            body = pa.nulls(len(ids), pa.binary())
+            if kind.any():
+                body = pa.array([press.compress(t.as_buffer()) if t.is_valid else None for t in batch.column("text").cast(pa.binary())], pa.binary())
+            size, component = (batch.column(c) if c in batch.schema.names else none for c in ("n_shingles", "component_id"))
+            bucket = np.searchsorted(splits, ids, "right")
+            at = np.minimum(np.searchsorted(tops, ids), max(0, len(tops) - 1))
+            again = np.flatnonzero((kind > 0) & (tops[at] == ids)) if len(tops) else np.zeros(0, np.int64)
+            for rows, where, follows in ((np.arange(len(ids)), bucket, 0), (again, closes[at[again]] if len(again) else again, 1)):
+                if len(rows):
+                    take = lambda c: c.take(pa.array(rows))  # noqa: E731, B023
+                    cols = [take(batch.column("doc_id")), take(batch.column("_of")), pa.array(where, pa.int32()), pa.array(np.full(len(rows), follows), pa.int32()), pa.array(kind[rows], pa.int32()), take(size), take(component), take(body)]
+                    yield pa.RecordBatch.from_arrays(cols, names)
+
+    return packed
 
 
 def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,20 +143,12 @@ def fingerprint_documents(spark: SparkSession, docs: DataFrame, percent: int = 8
     near = near_duplicates(spark, docs, percent=percent, keep=("_id", "_of"))
     ids = docs.select("_id")
     found = ids.agg(F.percentile_approx("_id", [i / n for i in range(1, n)], 20 * n).alias("p")).first().p
-    splits = sorted(set(found or []))
-    bucket = search_tree(F.col("_id"), splits)
-    tops = sorted((r.b, r.top) for r in ids.groupBy(bucket.alias("b")).agg(F.max("_id").alias("top")).collect())
-    above = {top: tops[(i + 1) % len(tops)][0] for i, (_, top) in enumerate(tops)}
-    follows = search_tree(F.col("_id"), sorted(above))  # 1 + the place of the row's doc_id among the tops, if it is one
-    place = [above[t] for t in sorted(above)]
-    none = [F.lit(None).cast("long").alias(c) for c in ("n_shingles", "component")]
-    own = docs.select("text", "doc_id", "_of", bucket.alias("bucket"), F.lit(0).alias("follows"), F.lit(1).alias("kind"), *none)
-    at = F.element_at(F.array(*map(F.lit, place or [0])), F.greatest(F.lit(1), follows)).alias("bucket")
-    top = F.element_at(F.array(*(F.lit(t).cast("long") for t in sorted(above) or [0])), F.greatest(F.lit(1), follows))
-    closing = docs.filter(F.col("_id") == top).select("text", "doc_id", "_of", at, F.lit(1).alias("follows"), F.lit(1).alias("kind"), *none)
-    fields = "doc_id long, _of long, bucket int, follows int, kind int, n_shingles long, component long, body binary"
-    texts = own.union(closing).mapInArrow(_packed, fields)
-    told = near.select("doc_id", "_of", bucket.alias("bucket"), F.lit(0).alias("follows"), F.lit(0).alias("kind"), "n_shingles", F.col("component_id").alias("component"), F.lit(None).cast("binary").alias("body"))
+    splits = np.array(sorted(set(found or [])), np.int64)
+    tops = sorted((r.b, r.top) for r in ids.mapInArrow(_tops(splits), "b int, top long").groupBy("b").agg(F.max("top").alias("top")).collect())
+    above = sorted((top, tops[(i + 1) % len(tops)][0]) for i, (_, top) in enumerate(tops))
+    dealt = _packed(splits, np.array([t for t, _ in above], np.int64), np.array([b for _, b in above], np.int64))
+    texts = docs.select("text", "doc_id", "_id", "_of").mapInArrow(dealt, DEALT)
+    told = near.select("doc_id", "_id", "_of", "n_shingles", "component_id").mapInArrow(dealt, DEALT)
     rows = texts.union(told).repartition(parts(spark), "bucket").sortWithinPartitions("bucket", "follows", F.desc("doc_id"), "_of", "kind")
     return rows.mapInArrow(_edited, FIELDS)
 

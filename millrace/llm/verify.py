@@ -172,6 +172,7 @@ def _pivoted(make: Callable[[pa.Table, np.ndarray], Linker], keys: list[str], sc
         for i in pivots:
             group.meet(link, i, members)
         rest = np.flatnonzero(own & (group.label != group.label[core])) if core is not None else np.flatnonzero(own)
+        rest = rest if table.column("wide")[0].as_py() else rest[:0]  # among the pivots all pairs have been compared
         a = np.concatenate([np.array([i for i, _ in group.edges], dtype=np.int64), rest])
         b = np.array([node[j] for _, j in group.edges] + [0] * len(rest), dtype=np.int64)
         cols = {k: pa.array(np.full(len(a), table.column(k)[0].as_py())).cast(schema.field(k).type) for k in keys}
@@ -220,15 +221,16 @@ def spanning(rows: DataFrame, keys: list[str], carried: list[str], make: Callabl
     dealt = sized.withColumn("pivot", pivot).withColumn("mine", mine).withColumn("block", F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("mine"))))
     # one column names the block: rows dealt by the group's keys, as a join leaves them, would count as dealt by group and block
     cell = lambda *names: F.concat_ws(":", *(F.col(c).cast("string") for c in (*keys, *names))).alias("cell")
-    dealt = dealt.select(cell("block"), *keys, "node", "pivot", (F.col("block") == F.col("mine")).alias("own"), *carried)
+    dealt = dealt.select(cell("block"), *keys, "node", "pivot", (F.col("_m") > PIVOTS).alias("wide"), (F.col("block") == F.col("mine")).alias("own"), *carried)
     out = rows.select(*keys).schema
     edges_of = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out)
     arrow = pa.schema([(f.name, pa.int64() if f.dataType.simpleString() == "bigint" else pa.int32()) for f in out])
     first = scratch.table(dealt.groupBy("cell").applyInArrow(_pivoted(make, keys, arrow), f"{edges_of}, a long, b long"))
     over = first.filter("b IS NULL").select(*keys, F.col("a").alias("node")).distinct()
+    if over.isEmpty():
+        return first.select("a", "b")
     many = over.groupBy(*keys).agg(F.count(F.lit(1)).alias("_o")).join(counts.select(*salted), keys)
-    # among the pivots all pairs have been compared
-    left = sized.filter(F.col("_m") > PIVOTS).join(many, salted).join(over.withColumn("left_over", F.lit(True)), [*keys, "node"], "left").withColumn("left_over", F.coalesce("left_over", F.lit(False)))
+    left = sized.join(many, salted).join(over.withColumn("left_over", F.lit(True)), [*keys, "node"], "left").withColumn("left_over", F.coalesce("left_over", F.lit(False)))
     place = lambda n: F.pmod(F.xxhash64("node"), F.ceil(F.col(n) / REST)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / REST).cast("int") - 1))
     names = [cell("i", "j"), "node", "over", "left_over", *carried]

@@ -158,3 +158,18 @@ def test_a_job_costs_few_trips_to_its_state():
     assert state.trips == 9 and state.timers == {2000} and found[0]["outcome"].tolist() == ["stalled"]
     found = list(watching.replay(("a",), [(2050, None, True)], 3000))
     assert found[0]["outcome"].tolist() == ["stalled"]
+
+
+def test_components_take_few_tables(spark):
+    """A chain of rising ids lost one vertex a round; what one task can join takes two tables, however long the chain is."""
+    from millrace.llm.common import Scratch, components
+
+    chain = [(i, i + 1) for i in range(1, 60)] + [(200, 100), (300, 200), (7, 7), (-5, 400)]
+    want = {i: 1 for i in range(1, 61)} | {100: 100, 200: 100, 300: 100, -5: -5, 400: -5}
+    edges = spark.createDataFrame(chain, "a long, b long").repartition(4)
+    scratch = Scratch(spark)
+    got = [tuple(r) for r in components(spark, edges, scratch).collect()]
+    assert dict(got) == want and len(got) == len(want) and scratch.n == 2
+    assert components(spark, edges.limit(0), scratch).count() == 0
+    rounds = [tuple(r) for r in components(spark, edges, Scratch(spark), most=20).collect()]
+    assert dict(rounds) == want and len(rounds) == len(want)
