@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,19 +109,37 @@ def segment_pairs(df: DataFrame, limit: float = 0.5, key: str = "doc_id", text:
     return set_pairs(first_of(segment_nodes(df, key, text).checkpoint(), key), limit, key)
 
 
-def greedily_dropped(pairs: DataFrame, key: str = "doc_id") -> DataFrame:
+#: Pairs that are left to one task at most.
+TASK_PAIRS = 1 << 18
+
+
+def _in_order(key: str) -> Callable:
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What goes of all pairs of the task, decided in order of the later one."""
+        if held := list(batches):
+            pairs, gone = pa.Table.from_batches(held).sort_by("b"), {}
+            for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
+                if a not in gone:
+                    gone[b] = None
+            yield pa.RecordBatch.from_arrays([pa.array(list(gone), pairs.schema.field("b").type)], [key])
+
+    return decide
+
+
+def greedily_dropped(pairs: DataFrame, key: str = "doc_id", most: int = TASK_PAIRS) -> DataFrame:
     """Keys that go when each, in order, is dropped if it is paired with an earlier one that stays; pairs are (a, b), a < b.
 
-    In each round those go that are paired with an earlier one that itself has no earlier one left; pairs of what has
-    gone are left out, so a round costs what is still open. Only whether any pair is left comes to the driver.
+    While there are more pairs than one task decides (most), in each round those go that are paired with an earlier one
+    that itself has no earlier one left; pairs of what has gone are left out, so a round costs what is still open.
+    The pairs that are left, a number that doesn't grow with the input, are gone through in order. Only how many they are comes to the driver.
     """
     open_ = pairs.select("a", "b").checkpoint()
     dropped = open_.select(F.col("b").alias(key)).limit(0)
-    while not open_.isEmpty():
+    while open_.count() > most:
         gone = open_.join(open_.select(F.col("b").alias("a")).distinct(), "a", "left_anti").select(F.col("b").alias(key)).distinct().checkpoint()
         dropped = dropped.union(gone)
         open_ = open_.join(gone.select(F.col(key).alias("b")), "b", "left_anti").join(gone.select(F.col(key).alias("a")), "a", "left_anti").select("a", "b").checkpoint()
-    return dropped
+    return dropped.union(open_.coalesce(1).mapInArrow(_in_order(key), f"{key} {open_.schema['b'].dataType.simpleString()}"))
 
 
 def greedy_kept(df: DataFrame, limit: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from ..operators import dedup
 
 
+#: Tasks that write one bucket of a batch at most.
+SHARES = 16
+
+
 @dataclass
 class NearIndex:
     """Documents kept so far, below path: rows as they came, their segment sets, and the sets' prefixes as postings.
@@ -80,7 +84,8 @@ class NearIndex:
         kept = fresh.join(dedup.greedily_dropped(dedup.set_pairs(fresh, self.limit, self.key), self.key), self.key, "left_anti").checkpoint()
         keys = kept.select(self.key)
         for what, table in (("postings", ahead.join(keys, self.key, "left_semi")), ("sets", kept.select(self.key, "set", self.bucket(self.key)))):
-            table.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{what}/batch={batch}")
+            # a bucket is written by several tasks, else no more tasks write than there are buckets
+            table.repartition("bucket", F.pmod(F.xxhash64(self.key), F.lit(SHARES))).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{what}/batch={batch}")
         rows.join(keys, self.key, "left_semi").dropDuplicates([self.key]).write.mode("overwrite").parquet(f"{self.path}/rows/batch={batch}")
         return rows.sparkSession.read.parquet(f"{self.path}/rows/batch={batch}")
 

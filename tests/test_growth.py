@@ -173,3 +173,27 @@ def test_components_take_few_tables(spark):
     assert components(spark, edges.limit(0), scratch).count() == 0
     rounds = [tuple(r) for r in components(spark, edges, Scratch(spark), most=20).collect()]
     assert dict(rounds) == want and len(rounds) == len(want)
+
+
+def test_greedy_choice_by_tasks_and_by_rounds(spark):
+    """The last pairs are decided in one task, in order; more than that in rounds, with the same result."""
+    import random
+
+    from millrace.operators import dedup
+
+    rng = random.Random(5)
+    pairs = sorted({tuple(sorted(rng.sample(range(60), 2))) for _ in range(90)} | {(i, i + 1) for i in range(70, 95)})
+    want: set[int] = set()
+    for a, b in sorted(pairs, key=lambda p: p[1]):
+        if a not in want:
+            want.add(b)
+    rows = spark.createDataFrame(pairs, "a long, b long").repartition(4)
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("greedy", "greedy")
+    got = [r[0] for r in dedup.greedily_dropped(rows).collect()]
+    assert set(got) == want and len(got) == len(want) and len(jobs.getJobIdsForGroup("greedy")) <= 8
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(r[0] for r in dedup.greedily_dropped(rows, most=40).collect()) == sorted(want)
+    assert dedup.greedily_dropped(rows.limit(0)).count() == 0
+    words = spark.createDataFrame([("é", "zü"), ("z", "é"), ("a", "z")], "a string, b string")
+    assert {r.tag for r in dedup.greedily_dropped(words, "tag").collect()} == {"z", "zü"}
