@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,19 @@ def narrow_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(size, str(rows))
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """What is written in here lets its shuffle files go at its end. Otherwise they stay until the driver collects its garbage, which a large one
+    seldom does, and a collection that is asked for comes too early where Spark still holds the plan. Other plans' shuffles stay."""
+    freed = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(freed, None)
+    spark.conf.set(freed, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(freed) if before is None else spark.conf.set(freed, before)
+
+
 class Scratch:
     """Tables written to the shared folder: they cut the lineage, survive lost executors, and go when no longer needed."""
 
@@ -45,7 +58,8 @@ class Scratch:
         """Write df once and read it again."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        with shuffles_freed(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back.scratch_path = path
         return back
@@ -59,11 +73,6 @@ class Scratch:
         self.spark.sql(f"DROP TABLE {name}")  # the catalogue's entry, not the files
         return back
 
-    def freed(self) -> None:
-        """Let the shuffle files of written tables go now: they stay until the driver collects its garbage, which a large one seldom does."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables of this scratch that no later step reads."""
         for t in tables:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ HELD = 1 << 20
 BUCKET, BUCKETS = 1 << 19, 256
 #: Signatures of at most so many elements are left out where no link can be lost.
 LIGHT = 4
+#: Signatures are made anew and met in so many turns, each of an equal share of all, so that the disk holds a share at once.
+TURNS = 2
 
 
 def signatures(rows: np.ndarray, h: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +113,7 @@ def unpacked(sig: bytes, node: bytes) -> tuple[np.ndarray, np.ndarray]:
     return whole(np.frombuffer(sig, np.uint8)), whole(np.frombuffer(node, np.uint8, 5 * n)).repeat(np.frombuffer(node, np.uint8, n, 5 * n))
 
 
-def _sign(n: int, signer: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], buckets: int) -> Callable:
+def _sign(n: int, signer: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], buckets: int, turn: int = 0, turns: int = 1) -> Callable:
     def rows_of(sig: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Nodes that share a signature here go out as edges; others may meet them only through its smallest node."""
         sig, node, a, b = stars(sig, node & np.uint64(SHORT))
@@ -132,8 +135,9 @@ def _sign(n: int, signer: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[n
         for batch in batches:
             for _, rows, h, size, key in set_rows(batch.column(0), n):
                 row, sig = signer(rows, h, size)
-                held.append((sig, key[row]))
-                count += len(sig)
+                mine = sig % np.uint64(turns) == turn
+                held.append((sig[mine] // np.uint64(turns), key[row[mine]]))
+                count += len(held[-1][0])
                 if count >= HELD:
                     yield from rows_of(*map(np.concatenate, zip(*held)))
                     held, count = [], 0
@@ -168,20 +172,19 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, n: int = 5, percent: int
     first, so a common signature costs one row a task. Repeated rows give a row each; an empty table gives none;
     other columns are ignored.
     """
-    return signed_join(spark, docs, n, percent, lambda rows, h, size: signatures(rows, h, size, percent), keep)
+    return signed_join(spark, docs, n, percent, lambda rows, h, size: signatures(rows, h, size, percent), keep, TURNS)
 
 
-def signed_join(spark: SparkSession, docs: DataFrame, n: int, percent: int, signer: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], keep: tuple[str, ...]) -> DataFrame:
+def signed_join(spark: SparkSession, docs: DataFrame, n: int, percent: int, signer: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], keep: tuple[str, ...], turns: int = 1) -> DataFrame:
     """Documents linked by Jaccard among those that share a signature: signer gives (row, signature) for sets given as sorted hashes by row, and their sizes.
 
-    While candidates are sought a node goes by its short form, which takes fewer bytes; what is compared are whole sets.
+    Each of the turns makes all signatures and sends on its share. While candidates are sought a node goes by its short form, which takes fewer bytes; what is compared are whole sets.
     """
     scratch = Scratch(spark)
     narrow_batches(spark)
     keyed = scratch.table(set_keys(docs, n, keep))
     # a bucket has the signatures of so many shingles on average, however much there is
-    buckets = max(BUCKETS, 4 * parts(spark), (keyed.agg(F.sum("n_shingles")).first()[0] or 0) // BUCKET)
-    signed = docs.select("text").mapInArrow(_sign(n, signer, buckets), "bucket int, sig binary, node binary")
-    edges = scratch.table(signed.groupBy("bucket").applyInArrow(_meet, "a long, b long"))
-    scratch.freed()
+    buckets = -(-max(BUCKETS, 4 * parts(spark), (keyed.agg(F.sum("n_shingles")).first()[0] or 0) // BUCKET) // turns)
+    signed = [docs.select("text").mapInArrow(_sign(n, signer, buckets, turn, turns), "bucket int, sig binary, node binary") for turn in range(turns)]
+    edges = reduce(DataFrame.union, [scratch.table(s.groupBy("bucket").applyInArrow(_meet, "a long, b long")) for s in signed])
     return link_components(spark, docs, keyed, edges, n, percent, scratch, keep)

@@ -197,3 +197,54 @@ def test_greedy_choice_by_tasks_and_by_rounds(spark):
     assert dedup.greedily_dropped(rows.limit(0)).count() == 0
     words = spark.createDataFrame([("é", "zü"), ("z", "é"), ("a", "z")], "a string, b string")
     assert {r.tag for r in dedup.greedily_dropped(words, "tag").collect()} == {"z", "zü"}
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """They stayed until the driver collected its garbage, and what was asked for right after writing came too early."""
+    import time
+
+    from millrace.llm.common import Scratch
+
+    jvm = spark.sparkContext._jvm.org.apache.spark.SparkEnv
+    blocks = lambda: {f.getName() for f in iterated(jvm.get().blockManager().diskBlockManager().getAllFiles())}
+
+    def iterated(seq):
+        it = seq.iterator()
+        while it.hasNext():
+            yield it.next()
+
+    before, freed = blocks(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(freed, None)
+    df = spark.range(20_000).repartition(3, "id")
+    back = Scratch(spark).table(df)
+    until = time.time() + 10
+    while (left := {b for b in blocks() - before if b.startswith("shuffle_")}) and time.time() < until:
+        time.sleep(0.1)
+    assert not left and spark.conf.get(freed, None) == was
+    assert back.count() == 20_000 and Scratch(spark).table(df.groupBy((F.col("id") % 7).alias("k")).count()).count() == 7
+
+
+def test_signatures_go_in_turns():
+    """Each turn sends on its own share of the signatures, about half of the bytes; together they are all of them."""
+    import numpy as np
+    import pyarrow as pa
+
+    from millrace.llm.ngram_join import _sign, signatures, unpacked
+
+    rng = random.Random(2)
+    texts = pa.RecordBatch.from_arrays([pa.array([" ".join(str(rng.randint(0, 9999)) for _ in range(rng.randint(5, 300))) for _ in range(60)])], ["text"])
+
+    def sent(buckets, *turn):
+        out, size = set(), 0
+        for batch in _sign(5, lambda rows, h, n: signatures(rows, h, n, 80), buckets, *turn)(iter([texts])):
+            for row in batch.to_pylist():
+                size += len(row["sig"]) + len(row["node"])
+                if row["sig"]:
+                    out |= {(row["bucket"], int(s), int(n)) for s, n in zip(*unpacked(row["sig"], row["node"]))}
+        return out, size
+
+    (one, whole), (a, first), (b, second) = sent(64), sent(32, 0, 2), sent(32, 1, 2)
+    assert len(a) + len(b) == len(one)
+    # a signature of bucket k of 64 is in bucket k // 2 of the turn k % 2, with the same bytes
+    assert one == {(2 * k, s, n) for k, s, n in a} | {(2 * k + 1, s, n) for k, s, n in b}
+    assert max(first, second) < 0.6 * whole and np.isclose(first + second, whole, rtol=0.1)
